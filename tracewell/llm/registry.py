@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, token_counts, token_files
+from . import licenses, packing, pii, quality, secrets, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
+        "op2_licenses": licenses.op2_licenses,
+        "op4_pii": pii.op4_pii,
         "op6_packing": packing.op6_packing,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_token_counts": token_counts.op8_token_counts,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, pii, quality, secrets, token_counts, token_files
+from . import decontamination, licenses, packing, pii, preferences, quality, secrets, token_counts, token_files
 
 
 def queries() -> dict:
@@ -10,12 +10,14 @@ def queries() -> dict:
         "op1_token_files": token_files.op1_token_files,
         "op2_licenses": licenses.op2_licenses,
         "op4_pii": pii.op4_pii,
+        "op5_preferences": preferences.op5_preferences,
         "op6_packing": packing.op6_packing,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": secrets.oracle(), "op9_quality_rules": quality.oracle()}
+    return {"op5_preferences": preferences.oracle(), "op10_decontamination": decontamination.oracle(), "op7_secret_scan": secrets.oracle(), "op9_quality_rules": quality.oracle()}

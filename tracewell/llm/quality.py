@@ -94,6 +94,14 @@ def quality(docs: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & ~_fails(RULES)).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass every rule."""
+    rows = _measured(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    # The number, and the filter's use of it, keep the optimizer from computing words anew inside every lambda below.
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    return rows.where(~_fails(BASE_RULES) & ~_fails(RULES) & (F.col("at") >= 0)).select("row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 

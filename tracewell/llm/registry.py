@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, packing, pii, preferences, quality, secrets, token_counts, token_files
+from . import decontamination, licenses, near_duplicates, packing, pii, preferences, quality, secrets, token_counts, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.op1_token_files,
         "op2_licenses": licenses.op2_licenses,
+        "op3_near_duplicates": near_duplicates.op3_near_duplicates,
         "op4_pii": pii.op4_pii,
         "op5_preferences": preferences.op5_preferences,
         "op6_packing": packing.op6_packing,

@@ -20,7 +20,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 NOT_LETTER = "!-@\\[-`{-~"
 #: Chunks remembered by a worker, about 200 bytes each; those that come later are remembered in a second
 #: table of a quarter of this size, which starts afresh when it is full.
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 800_000
 #: Characters; longer chunks are encoded but not remembered.
 LONG_CHUNK = 64
 
@@ -32,6 +32,17 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def lowered(text: str) -> str:
+    """A-Z lower-cased where no mark can follow that composes with small letters only; otherwise the text itself."""
+    try:
+        return text.encode("latin-1").translate(_LOWER).decode("latin-1")
+    except UnicodeEncodeError:
+        return text
+
+
 class ChunkEncoder:
     """``encode([text])[0]`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian unsigned 32-bit bytes.
 
@@ -70,8 +81,8 @@ class ChunkEncoder:
         return np.array(self._ids(chunk), "<u4").tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        fresh = set().union(*cut) - self.known.keys()
+        cut = [self.chunks(t if self.keeps_space else lowered(t)) for t in texts]
+        fresh = set().union(*cut).difference(self.known)  # looks its own members up; ``-`` would walk all that is known
         if not fresh:
             of = self.known.__getitem__
             return [b"".join(map(of, chunks)) for chunks in cut]

@@ -2,8 +2,8 @@
 
 Plain identifiers are matched in the text itself.  Then transducers rewrite what disguises use - homoglyphs and
 zero-width characters, spelled digits, bracketed or spoken "at" and "dot" - and keep, for every piece of the rewritten
-text, the source piece it stands for.  Identifiers found in the rewritten text are mapped back piece by piece; those that
-overlap a plain one of their kind are left out.
+text, the source piece it stands for.  Identifiers found in the rewritten text are mapped back piece by piece; one that
+overlaps a plain one of its kind is left out, unless it covers it.
 """
 
 from __future__ import annotations
@@ -47,7 +47,11 @@ _SPOKEN_RUN = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORD})(?:(?:[\s,-]+dot)?[\s,-]
 _SPOKEN_WORD = re.compile(rf"(?:[\s,-]*)\b({_WORD}|plus|dot)\b", re.IGNORECASE)
 #: Digits a spoken run has at least; shorter ones are speech.
 SPOKEN_DIGITS = 4
-_AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)[A-Za-z0-9-])", re.IGNORECASE)
+#: Last labels without which a spoken "at ... dot ..." is prose.
+LAST_LABELS = "com org net edu gov info io de fr es it uk eu ch nl co us ai dev app example test invalid"
+_LABEL = "[A-Za-z0-9-]+"
+_SPOKEN_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
+_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|(?<=[A-Za-z0-9])\s+at\s+(?=(?:{_LABEL}{_SPOKEN_DOT})+(?:{LAST_LABELS.replace(' ', '|')})\b)", re.IGNORECASE)
 _DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -163,7 +167,7 @@ def detect(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
         for kind, spans in plain(new.text).items():
             for a, b in spans:
                 start, end, changed = new.source(a, b)
-                if changed and not any(x < end and start < y for x, y in base[kind]):
+                if changed and all(y <= start or end <= x or start <= x and y <= end for x, y in base[kind]):
                     both[kind].append((start, end))
     flat = lambda d: [(k, a, b) for k in KINDS for a, b in sorted(d[k])]
     return flat(base), flat(both)

@@ -252,7 +252,7 @@ def connected_flag(found: DataFrame, linked: DataFrame) -> DataFrame:
 
 def tombstones(files: DataFrame) -> DataFrame:
     """One row per file of ``capture_id, filename, modified_at, text``: the first match of each field counts."""
-    breaks = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+    breaks = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
     lines = files.select("capture_id", "filename", "modified_at", F.posexplode(F.split("text", breaks)).alias("line_no", "line"))
     line = F.col("line")
     head = lambda k: first_of(grab(line, rf"^{k}:\s*'?([^']*)'?\s*$"))
@@ -272,7 +272,7 @@ def tombstones(files: DataFrame) -> DataFrame:
 
 def anrs(files: DataFrame) -> DataFrame:
     """One row per file of ``capture_id, filename, text``: its first line is the subject."""
-    subject = F.get(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), F.lit(0))
+    subject = F.get(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"), F.lit(0))
     shape = r"^Subject: Process ProcessRecord\{[0-9a-f]+ (\d+):([\w.]+)/\S+\} (.+)$"
     return files.select(
         "capture_id", "filename", grab(F.col("filename"), r"^anr_([\d-]+)$").alias("timestamp"), F.regexp_replace(subject, "^Subject: ", "").alias("subject"), grab(subject, shape, 1).try_cast("int").alias("pid"),

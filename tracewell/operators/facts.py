@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 #: What makes two events of live and rotated logs the same.
@@ -39,9 +42,17 @@ def freeze_summary(events: DataFrame) -> DataFrame:
 
 def persist(df: DataFrame, store: str, table: str) -> None:
     """Append facts to the store, a folder per capture so that scans of a few captures read no others."""
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{store}/_schemas/{table}")
     df.write.mode("append").partitionBy("capture_id").parquet(f"{store}/{table}")
 
 
+def stored(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """A table of the store, with its own schema even while it is empty."""
+    schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{store}/_schemas/{table}").first().schema))
+    rest = T.StructType([f for f in schema.fields if f.name != "capture_id"] + [schema["capture_id"]])
+    return spark.read.schema(rest).parquet(f"{store}/{table}").select(*schema.names)
+
+
 def get_or_create(spark: SparkSession, store: str, table: str, labels: DataFrame) -> DataFrame:
     """Rows ``id, label`` of a label table, those of ``labels`` that are new appended first."""
     schema = "id long, label string"

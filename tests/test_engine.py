@@ -314,3 +314,15 @@ def test_streams(spark, tmp_path):
 def test_queries_and_sql_agree_on_names(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.flagship(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_exported_fields(spark, tmp_path):
+    from tracewell.operators.packets import field_analysis
+    from tracewell.sources.fields import exported_fields, field_anomalies, field_names
+
+    (tmp_path / "f.txt").write_text("0|8|0|-50|home|aa:bb||1.5||||\n0|12|1|-60||aa:bb|3|2.5||||\n||||||| 3.5|10.0.0.1|10.0.0.2|1|\n2|8|1|||||4.5||||x.org\n")
+    rows = exported_fields(spark, str(tmp_path / "f.txt"))
+    a = one(field_analysis(rows))
+    assert (a.packets_analyzed, a.retry_count, a.retry_rate_pct, a.rssi_min_dbm, a.rssi_avg_dbm) == (4, 2, 66.67, -60, -55.0)
+    assert [(r.kind, r.mac_or_ip, r.detail, r.timestamp) for r in field_anomalies(rows).orderBy("rec_no").collect()] == [("deauthentication", "aa:bb", "Deauthenticated: station leaving", "2.5"), ("tcp_reset", "10.0.0.1", "10.0.0.2", "3.5")]
+    assert {(r.kind, r.value, r["count"]) for r in field_names(rows).collect()} == {("ssid", "home", 1), ("bssid", "aa:bb", 2), ("dns_name", "x.org", 1)}

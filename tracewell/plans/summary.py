@@ -91,6 +91,8 @@ def capture_summary(captures: DataFrame, facts: dict[str, DataFrame], lists: dic
     for name, rows in lists.items():
         rest = [c for c in rows.columns if c not in ("capture_id", "id")]
         key = [c for c in ("timestamp", "kind_ord", "ord") if c in rest]
-        many = rows.groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*key).alias("k"), F.struct(*rest).alias("v")))), lambda x: x["v"]).alias(name))
+        by = [(-F.col(c)).alias("a") for c in ("total_mah",) if c in rest] + [F.col(c) for c in key] or [F.lit(0).alias("a")]
+        less = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)  # noqa: E731 - rows may hold maps, which have no order
+        many = rows.groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*by).alias("k"), F.struct(*rest).alias("v"))), less), lambda x: x["v"]).alias(name))
         out = out.join(many, "capture_id", "left").withColumn(name, F.coalesce(name, F.array().cast(many.schema[name].dataType)))
     return out.select("capture_id", F.to_json(F.struct("*")).alias("summary"))

@@ -279,7 +279,13 @@ def test_near_duplicates(spark, docs, monkeypatch):
         base[rnd.randrange(120)] = f"edit{i}"
         base[rnd.randrange(120)] = f"mark{i}"
         rows.append((i, " ".join(base)))
+    for i in range(60, 110):  # copies with two or three edits of one text: some link, most do not quite
+        own = prose(100, 10).split()
+        for at in rnd.sample(range(100), rnd.choice([1, 2, 3])):
+            own[at] = f"own{i}at{at}"
+        rows.append((i, " ".join(own)))
     monkeypatch.setattr(near_duplicates, "RUN", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
     made = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more; else they stay as long as the driver has memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

@@ -5,7 +5,8 @@
 2. A second pass orders each set by (bucket count, hash) and posts its prefix: ``n - ceil(0.8 n) + 1`` shingles.  Any
    order all sets share finds every pair of similarity 0.8; this one puts what many documents hold last, so that common
    passages and lines are in a prefix only where little else is.  Postings travel as packed arrays, split by shingle.
-3. Nodes with a common shingle and sizes within 0.8 are candidates.  A run of nodes that share a shingle is paired off
+3. Nodes with a common shingle, sizes within 0.8, and the shingle at places that leave room for enough others, are
+   candidates.  A run of nodes that share a shingle is paired off
    in full up to ``RUN``.  In a longer run each node meets one pivot first, and what these links leave in different
    components is paired in later rounds: with other pivots, then, for what is still apart, all of it.  Links inside a
    component are not looked for, as they change no component.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, rows_of, table, texts, written
+from .common import discard, release, rows_of, table, texts, written
 from .components import components
 from .shingling import set_hash, shingle_sets
 
@@ -31,7 +32,13 @@ RUN = 24
 #: Rounds of pivots before everything left in a long run is paired.
 ROUNDS = 2
 #: Postings a task gathers before it hands them on, and parts they are split into per shuffle partition.
-FLUSH, PARTS = 1 << 20, 8
+FLUSH, PARTS = 1 << 18, 4
+#: Members of a long run compared at a time, and in one task.
+TILE, BLOCK = 128, 20_000
+#: Names of nodes, of about 30 bytes, that are sent to every executor at most.
+FEW = 100_000
+#: Documents a task turns into sets at a time.
+DOCS = 1024
 
 
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -43,8 +50,10 @@ def prefix_length(n: int) -> int:
     return n - -(-8 * n // 10) + 1
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, DOCS):
+            yield batch.slice(at, DOCS)
 
 
 def sets_pass(docs: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def sets_pass(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH, np.uint32)
         names = ["kind", "doc_id", "n", "h", "counts"]
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
@@ -86,7 +95,7 @@ def bucket_counts(first: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
-    """``part, payload``: shingle, set hash and set size of every prefix entry, as three arrays one after another."""
+    """``part, payload``: shingle, set hash, set size and place in the order of every prefix entry, as four arrays one after another."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,22 +109,23 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             token = np.concatenate([t for t, _, _ in held])
             node = np.repeat(np.array([h for _, h, _ in held], np.int64), lengths)
             n = np.repeat(np.array([n for _, _, n in held], np.int32), lengths)
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
             part = (token % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            token, node, n = token[order], node[order], n[order]
+            token, node, n, place = token[order], node[order], n[order], place[order]
             keys, at = np.unique(part[order], return_index=True)
             ends = [*at[1:], len(token)]
-            payload = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+            payload = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() + place[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
             return pa.record_batch([pa.array(keys, pa.int64()), pa.array(payload, pa.binary())], ["part", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for s in shingle_sets(batch.column(batch.schema.get_field_index("text"))):
                 if not len(s):
                     continue
                 key = (len(s), set_hash(s))
                 if key in seen:
                     continue
-                if len(seen) < FLUSH:
+                if len(seen) < 1 << 16:
                     seen.add(key)
                 order = np.lexsort((s, heat[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))[: prefix_length(len(s))]
                 held.append((s[order], key[1], key[0]))
@@ -145,52 +155,65 @@ def _unique(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[fresh] for c in columns]
 
 
-def pair_up(token: np.ndarray, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Candidates (kind 0) of all runs of one part, and the members of long runs (kind 1)."""
-    token, n, h = _unique(token, n, h)
+def may_link(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, with a shingle at these places of their orders, can be a pair to find by that shingle.
+
+    Sets that share ``k = needed(na, nb)`` or more have a common shingle within the first ``na - k + 1`` and ``nb - k + 1``
+    of their orders, so a pair is lost by none of the places it is turned down at.
+    """
+    na, nb = na.astype(np.int64), nb.astype(np.int64)
+    k = needed(na, nb)
+    return (pa_ <= na - k) & (pb <= nb - k) & (10 * np.minimum(na, nb) >= 8 * np.maximum(na, nb))
+
+
+def pair_up(token: np.ndarray, h: np.ndarray, n: np.ndarray, place: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Candidates (kind 0) of all runs of one part, and the members of long runs (kind 1, with the place for ``nb``)."""
+    token, n, h, place = _unique(token, n, h, place)
     same = token[1:] == token[:-1]
     if not same.any():
         return
     start = np.flatnonzero(np.concatenate([[True], ~same]))
     length = np.diff(np.concatenate([start, [len(token)]]))
     keep = np.repeat(length > 1, length)
-    token, n, h, length = token[keep], n[keep], h[keep], length[length > 1]
+    token, n, h, place, length = token[keep], n[keep], h[keep], place[keep], length[length > 1]
     start = np.concatenate([[0], np.cumsum(length)[:-1]])
     size, first = np.repeat(length, length), np.repeat(start, length)
+    short = np.flatnonzero(size <= most)
     found = []
-    for d in range(1, RUN):
-        a = np.flatnonzero((size <= RUN) & (np.arange(len(token)) - first + d < size))
+    for d in range(1, most):
+        a = short[short - first[short] + d < size[short]]
         if not len(a):
             break
-        b = a + d
-        fits = 10 * n[a].astype(np.int64) >= 8 * n[b].astype(np.int64)
-        found.append((a[fits], b[fits]))
-    long = np.flatnonzero(size > RUN)
+        found.append((a, a + d))
+    long = np.flatnonzero(size > most)
     if len(long):
         pivot = long.copy()
-        for s, m in zip(start[length > RUN], length[length > RUN], strict=True):
+        for s, m in zip(start[length > most], length[length > most], strict=True):
             own = slice(np.searchsorted(long, s), np.searchsorted(long, s + m))
             pivot[own] = s + np.searchsorted(n[s : s + m], -(-8 * n[s : s + m].astype(np.int64) // 10))
         apart = pivot != long
         found.append((pivot[apart], long[apart]))
-        yield _rows(1, token[long], n[long], h[long], n[long], h[long])
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([x for _, x in found]) if found else a
+        yield _rows(1, token[long], n[long], h[long], place[long], h[long])
+    a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    fits = may_link(n[a], place[a], n[b], place[b])
+    a, b = a[fits], b[fits]
     if len(a):
         na, ha, nb, hb = _unique(n[a], h[a], n[b], h[b])
         yield _rows(0, np.zeros(len(na), np.uint64), na, ha, nb, hb)
 
 
 def candidates(posted: DataFrame) -> DataFrame:
+    most = RUN
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            cut = [(len(p) // 20, p) for p in held]
+            cut = [(len(p) // 24, p) for p in held]
             token = np.concatenate([np.frombuffer(p, np.uint64, k) for k, p in cut])
             node = np.concatenate([np.frombuffer(p, np.int64, k, 8 * k) for k, p in cut])
-            n = np.concatenate([np.frombuffer(p, np.int32, k, 16 * k) for k, p in cut])
-            yield from pair_up(token, node, n)
+            n, place = (np.concatenate([np.frombuffer(p, np.int32, k, w * k) for k, p in cut]) for w in (16, 20))
+            yield from pair_up(token, node, n, place, most)
 
         for batch in batches:
             for key, payload in zip(*rows_of(batch, "part", "payload"), strict=True):
@@ -209,67 +232,218 @@ def node(n: str, h: str):
     return F.concat_ws(":", F.lpad(F.col(n).cast("string"), 10, "0"), F.col(h).cast("string"))
 
 
+def shared(x: bytes, y: bytes, kind: type) -> int:
+    """Size of the multiset intersection of two sorted arrays."""
+    x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    if len(x) > len(y):
+        x, y = y, x
+    if kind is np.uint64:
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        return int((y[at] == x).sum())
+    a, na = np.unique(x, return_counts=True)
+    b, nb = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[i], nb[j]).sum())
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``a, b``, those whose sets link.  sets: ``node, members``."""
+    """Of ``a, b``, those whose sets link.  sets: ``node, brief, members``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``brief`` has two bytes of each member: what two of them share is never less than what the sets share, so most pairs
+    that do not link are told by a quarter of the bytes.  Whole sets decide on the others.
+    """
+
+    def check(column: str, kind: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            width = np.dtype(kind).itemsize
+            for batch in batches:
+                out = []
+                for a, b, x, y in zip(*rows_of(batch, "a", "b", "x", "y"), strict=True):
+                    both = shared(x, y, kind)
+                    if 100 * both >= 80 * ((len(x) + len(y)) // width - both):
+                        out.append((a, b))
+                yield pa.record_batch([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["a", "b"])
+
+        def step(rows: DataFrame) -> DataFrame:
+            sets = those_of(rows, column)
+            left = rows.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
+            return left.join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+        return step
+
+    def those_of(rows: DataFrame, column: str) -> DataFrame:
+        """The sets that the pairs name; so far as these are few, the others are passed over where they lie."""
+        names = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        names = F.broadcast(names) if names.count() <= FEW else names
+        return sets.select("node", column).join(names, "node", "left_semi")
+
+    likely = written(check("brief", np.uint16)(pairs), "likely")
+    links = written(check("members", np.uint64)(likely), "links")
+    discard(pairs.sparkSession, likely)
+    release(pairs.sparkSession)
+    return links
+
+
+def _spots(text: str, bits: int) -> tuple[int, int]:
+    h = zlib.crc32(text.encode())
+    return h % bits, (h * 0x9E3779B1 + zlib.adler32(text.encode())) % bits
+
+
+def filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter over ``doc_id``, and over ``doc_id`` with ``node``, of ``wanted``: 16 bits a row, from 128 KB to 16 MB whatever their number.
+
+    What passes it wrongly is carried along and never used, so its fill affects cost alone.
+    """
+    size = min(1 << 27, max(1 << 20, 1 << (16 * wanted.count()).bit_length()))
+    width = size // 8 // SLICES
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*rows_of(batch, "a", "b", "x", "y"), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                if 100 * both >= 80 * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield pa.record_batch([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["a", "b"])
+            for doc_id, key in zip(*rows_of(batch, "doc_id", "node"), strict=True):
+                bits[list(_spots(f"d{doc_id}", size) + _spots(f"{key}/{doc_id}", size))] = True
+        packed = np.packbits(bits)
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(packed[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)], pa.binary())], ["n", "bits"])
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(*rows_of(batch, "n", "bits"), strict=True):
+                total[i] = total.get(i, np.zeros(width, np.uint8)) | np.frombuffer(zlib.decompress(packed), np.uint8)
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], ["n", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in wanted.mapInArrow(own, "n int, bits binary").repartition(SLICES, "n").mapInArrow(merge, "n int, bits binary").collect():
+        out[r.n * width : (r.n + 1) * width] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    return out
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, members`` for the nodes of ``wanted``: ``doc_id, node``, one document each."""
+    """``node, brief, members`` for the nodes of ``wanted``: ``doc_id, node``, one document each, and perhaps a few others."""
+    shared_bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
-            keys = [f"{len(s):010d}:{set_hash(s)}" for s in sets]
-            out = [(k, s.tobytes()) for k, s, w in zip(keys, sets, *rows_of(batch, "node"), strict=True) if k == w]
-            yield pa.record_batch([pa.array([k for k, _ in out], pa.string()), pa.array([s for _, s in out], pa.binary())], ["node", "members"])
+        bits, seen = shared_bits.value, set()
+        has = lambda text: all(bits[at >> 3] >> (7 - (at & 7)) & 1 for at in _spots(text, 8 * len(bits)))
+        for batch in slices(batches):
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            some = [has(f"d{i}") for i in ids]
+            batch = batch.filter(pa.array(some, pa.bool_()))
+            out = []
+            for doc_id, s in zip([i for i, x in zip(ids, some, strict=True) if x], shingle_sets(batch.column(batch.schema.get_field_index("text"))), strict=True):
+                key = f"{len(s):010d}:{set_hash(s)}"
+                if len(s) and key not in seen and has(f"{key}/{doc_id}"):
+                    seen.add(key)
+                    out.append((key, np.sort(s.astype(np.uint16)).tobytes(), s.tobytes()))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["node", "brief", "members"])
+
+    found = written(docs.mapInArrow(run, "node string, brief binary, members binary"), "members")
+    told = found.groupBy("node").count().agg(F.sum("count").alias("n"), F.count("*").alias("d"), F.max("count").alias("most")).first()
+    if not told.n or told.most <= 4 and told.n <= 1.05 * told.d:
+        return found  # a few nodes twice: their pairs are verified twice and count once
+    once = written(found.dropDuplicates(["node"]), "members")
+    discard(docs.sparkSession, found)
+    return once
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int, *names: str) -> Iterator[list[tuple]]:
+    """Rows that agree in the first ``keys`` columns, of rows sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*rows_of(batch, *names), strict=True):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """From members ``token, n, h, place, label`` of long runs, pairs of one member of each run with those of other labels."""
 
-    chosen = docs.join(wanted.withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w"))).select("text", "node")
-    return chosen.mapInArrow(run, "node string, members binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+        for held in runs(batches, 1, "token", "n", "h", "place", "label"):
+            token, n, h, place, label = (np.array(c) for c in zip(*held, strict=True))
+            i = (int(token[0]) + 7919 * turn) % len(n)
+            j = np.flatnonzero(label != label[i])
+            j = j[may_link(n[j], place[j], np.full(len(j), n[i]), np.full(len(j), place[i]))]
+            found.append([np.full(len(j), n[i]), np.full(len(j), h[i]), n[j], h[j]])
+        if found:
+            columns = _unique(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            yield _rows(0, np.zeros(len(columns[0]), np.uint64), *columns)
 
+    parts = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return apart.repartition(parts, "token").sortWithinPartitions("token", "n", "h").select("token", "n", "h", "place", "label").mapInArrow(run, PAIRS)
 
-def further_pairs(apart: DataFrame, everything: bool, turn: int) -> DataFrame:
-    """From members ``token, n, h, label`` of long runs, pairs of different labels: with one pivot of each run, or all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def incidence(briefs: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+    """How often each text has each value of the sorted array ``of``."""
+    flat = np.concatenate(briefs)
+    row = np.repeat(np.arange(len(briefs)), [len(x) for x in briefs])
+    at = np.minimum(np.searchsorted(of, flat), len(of) - 1)
+    own = of[at] == flat
+    out = np.zeros((len(briefs), len(of)), np.float32)
+    np.add.at(out, (row[own], at[own]), 1)
+    return out
 
-        def close() -> Iterator[pa.RecordBatch]:
-            token, n, h, label = (np.array(c) for c in zip(*held, strict=True))
-            pivots = range(len(n)) if everything else [hash((int(token[0]), turn)) % len(n)]
-            for i in pivots:
-                lo, hi = np.minimum(n, n[i]).astype(np.int64), np.maximum(n, n[i]).astype(np.int64)
-                j = np.flatnonzero((label != label[i]) & (10 * lo >= 8 * hi) & ((np.arange(len(n)) > i) | (not everything)))
-                if len(j):
-                    yield _rows(0, np.zeros(len(j), np.uint64), np.full(len(j), n[i]), np.full(len(j), h[i]), n[j], h[j])
 
-        for batch in batches:
-            for row in zip(*rows_of(batch, "token", "n", "h", "label"), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from close()
-                    held = []
-                held.append(row)
-        if held:
-            yield from close()
+def tile_pairs(n: np.ndarray, place: np.ndarray, label: np.ndarray, block: np.ndarray, briefs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one run, in ascending order of ``n``, that may link: sizes, places, labels, blocks, and what their briefs share.
+
+    A product of counts is never less than the smaller one, so the product of two tiles bounds all overlaps at once.
+    """
+    mixed = (block != block[0]).any()  # two blocks of one run: pairs inside a block are compared elsewhere
+    for p in range(0, len(n), TILE):
+        for q in range(p, len(n), TILE):
+            if 10 * int(n[min(p + TILE, len(n)) - 1]) < 8 * int(n[q]):
+                break
+            a, b = np.arange(p, min(p + TILE, len(n))), np.arange(q, min(q + TILE, len(n)))
+            i, j = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
+            fits = (label[i] != label[j]) & (i < j) & may_link(n[i], place[i], n[j], place[j])
+            if mixed:
+                fits &= block[i] != block[j]
+            if not fits.any():
+                continue
+            left, right = [briefs[x] for x in a], [briefs[x] for x in b]
+            common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+            if not len(common):
+                continue
+            i, j = i[fits], j[fits]
+            both = (incidence(left, common) @ incidence(right, common).T)[i - p, j - q].astype(np.int64)
+            likely = both >= needed(n[i], n[j])
+            if likely.any():
+                yield i[likely], j[likely]
+
+
+def all_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """From the same members, all pairs of different labels that sizes, places and briefs do not rule out.
+
+    A run is compared inside a task, in tiles, so pairs that do not link are never rows.  A run of more than ``BLOCK``
+    members is dealt out as pairs of blocks.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in runs(batches, 3, "token", "x", "y", "n", "h", "place", "label", "block", "brief"):
+            _, x, y, n, h, place, label, block, brief = zip(*held, strict=True)
+            n, h, place, block = (np.array(c, np.int64) for c in (n, h, place, block))
+            if x[0] != y[0] and (block == block[0]).all():
+                continue
+            codes = np.unique(np.array(label), return_inverse=True)[1]
+            texts_ = [np.frombuffer(t, np.uint16) for t in brief]
+            for i, j in tile_pairs(n, place, codes, block, texts_):
+                yield _rows(0, np.zeros(len(i), np.uint64), n[i], h[i], n[j], h[j])
+
+    rows = apart.join(sets.select("node", "brief"), "node")
+    many = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod("h", many).cast("int")).withColumn("z", F.explode(F.sequence(F.lit(0), many - 1)))
+    rows = rows.withColumns({"x": F.least("block", "z"), "y": F.greatest("block", "z")})
     parts = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return apart.repartition(parts, "token").sortWithinPartitions("token", "n", "h").select("token", "n", "h", "label").mapInArrow(run, PAIRS)
+    dealt = rows.select("token", "x", "y", "n", "h", "place", "label", "block", "brief").repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "h")
+    return dealt.mapInArrow(run, PAIRS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -287,31 +461,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = postings(own, bucket_counts(first), parts).repartition(parts // PARTS, "part").sortWithinPartitions("part")
     found = written(candidates(posted), "candidates")
     nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = found.where("kind = 1").select("token", F.col("na").alias("n"), F.col("ha").alias("h"), node("na", "ha").alias("node"))
+    members = found.where("kind = 1").select("token", F.col("na").alias("n"), F.col("ha").alias("h"), F.col("nb").alias("place"), node("na", "ha").alias("node"))
     pairs = lambda f: f.where("kind = 0").select(node("na", "ha").alias("a"), node("nb", "hb").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     todo = written(pairs(found), "pairs")
     wanted = todo.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
-    sets = written(sets_of(own, nodes.join(wanted, "node")).dropDuplicates(["node"]), "members")
-    links = written(verify(todo, sets), "links")
+    release(spark)
+    sets = sets_of(own, nodes.join(wanted, "node"))
+    links = verify(todo, sets)
     labels = written(components(links), "labels")
+    left, before = members, None  # members of the runs that are still apart: what is joined never comes apart again
     for turn in range(ROUNDS + 1):
-        told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        apart = written(told.join(split, "token", "left_semi").select("token", "n", "h", "label"), "apart")
+        told = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
+        apart = written(told.join(split, "token").select("token", "m", "n", "h", "place", "node", "label"), "apart")
+        if before is not None:
+            discard(spark, before)
+        left, before = apart.drop("m", "label"), apart
         if apart.isEmpty():
             break
-        todo = written(pairs(further_pairs(apart, turn == ROUNDS, turn)), "pairs")
-        more = written(verify(todo, sets), "links")
+        todo = written(pairs(all_pairs(apart, sets) if turn == ROUNDS else pivot_pairs(apart, turn)), "pairs")
+        more = verify(todo, sets)
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
             labels = written(components(links), "labels")
-        discard(spark, apart, todo)
+        discard(spark, todo, more)
+        release(spark)
     linked = nodes.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     placed = nodes.join(labels, "node", "left").join(linked, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    discard(spark, sets)
-    return ids.join(placed, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = ids.join(placed, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = written(out, "near-duplicates")
+    discard(spark, first, found, sets, links, labels)
+    return out
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """Every pair of texts that shares a shingle, and the closure of links."""
+    big, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{big}', '{small}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT r, w[i:i + 4] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5) UNION ALL SELECT r, w FROM t WHERE len(w) BETWEEN 1 AND 4),
+    n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+    p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    c AS (SELECT r, r AS m FROM t UNION SELECT l.b, c.m FROM c JOIN l ON c.r = l.a),
+    g AS (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN t o ON o.r = c.m GROUP BY 1)
+    SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, g.component_id FROM t JOIN g USING (r) LEFT JOIN n USING (r)"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": preferences.oracle(), "op10_decontamination": decontamination.oracle(), "op7_secret_scan": secrets.oracle(), "op9_quality_rules": quality.oracle()}
+    return {"op3_near_duplicates": near_duplicates.oracle(), "op5_preferences": preferences.oracle(), "op10_decontamination": decontamination.oracle(), "op7_secret_scan": secrets.oracle(), "op9_quality_rules": quality.oracle()}

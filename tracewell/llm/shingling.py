@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text hashed at a time; longer texts are cut between words.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

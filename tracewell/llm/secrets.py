@@ -83,7 +83,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules_version: str = RU
     found = written(found, "found")
     new = fresh.select("blob").join(found, "blob", "left").select("blob", F.lit(rules_version).alias("rules"), "found")
     new.write.mode("append").parquet(ledger_path)
-    hits = ledger().where(F.col("found").isNotNull()).dropDuplicates(["blob"]).select("blob", "found")
+    # A table of its own: the join below then has only its own exchanges, and Spark can split a blob that many paths hold.
+    hits = written(ledger().where(F.col("found").isNotNull()).dropDuplicates(["blob"]).select("blob", "found"), "hits")
     return ids.join(hits, "blob", "left").select("path", "version", "blob", "found")
 
 

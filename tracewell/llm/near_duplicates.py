@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import discard, release, rows_of, table, texts, written
 from .components import components
 from .shingling import set_hash, shingle_sets
+from .tokenizing import forget
 
 SKETCH, SLICES = 20, 64
 RUN = 24
@@ -51,6 +52,7 @@ def prefix_length(n: int) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()  # workers are used again: one may still hold an earlier operator's chunks
     for batch in batches:
         for at in range(0, batch.num_rows, DOCS):
             yield batch.slice(at, DOCS)

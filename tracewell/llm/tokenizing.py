@@ -114,5 +114,11 @@ def encoder(name: str, keeps_space: bool) -> ChunkEncoder:
     return _ENCODERS[name, keeps_space]
 
 
+def forget() -> None:
+    """Give up what this worker's encoders remember; for operators that need its memory for something else."""
+    for enc in _ENCODERS.values():
+        enc.known, enc.late = {}, {}
+
+
 WORD_BPE = ("word_bpe_49k.json", False)
 BYTE_BPE = ("byte_bpe_50k.json", True)

@@ -159,6 +159,24 @@ def test_licenses(spark):
     assert got[7].labels == "bsd" and got[7].score > 0.99
 
 
+def test_every_license_of_a_notice_file_is_found():
+    known = licenses.index()
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    notice = "\n\n".join([texts[2], texts[12], texts[13], texts[7], "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"])
+    assert known.scan(licenses.words_of(notice))[2] == {"gpl", "lgpl", "mit", "bsd", "isc", "cc-by-nc", "cc-by-sa"}
+    assert known.scan(licenses.words_of("\n".join(texts)))[2] == set(known.labels)
+    for i in range(20):  # the best share is that of a search of all alignments
+        words = licenses.words_of(" ".join(w for t in rnd.sample(texts, 6) for w in t.split() if rnd.random() < 0.85))
+        shares = {}
+        for t, own in enumerate(known.texts):
+            if all(any(words[s : s + len(p)] == p for s in range(len(words))) for p in known.keys[t]):
+                near = lambda d, q: own[q] in words[max(0, d + q - licenses.SLACK) : max(0, d + q + licenses.SLACK + 1)]  # noqa: B023, E731
+                shares[t] = max(sum(known.idf[w] for q, w in enumerate(own) if near(d, q)) for d in range(-len(own) - 3, len(words) + 3)) / known.weight[t]
+        found = known.scan(words)
+        assert found[2] - found[1] == {known.labels[t] for t, x in shares.items() if x >= licenses.LEAST_SHARE} - found[1]
+        assert found[3] == pytest.approx(min(1.0, max((x for x in shares.values() if x >= licenses.LEAST_SHARE), default=0.0)))
+
+
 def regex_base(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):

@@ -1,10 +1,9 @@
 """Licence scan by a positional index of rare words.
 
 Licence texts are indexed word by word: word -> postings ``(template, position)``, with the inverse document frequency
-of the word among templates.  A file looks up its ``RAREST`` words of highest frequency weight that the index knows.
-Every occurrence at ``p`` that meets a posting at ``q`` votes for the template at relative position ``p - q``; two
-different rare words (or all that a short template has) must agree on a place, give or take ``SLACK`` words.  There the
-template's words are aligned and weighed, and its key phrases must stand in the file.
+of the word among templates.  A template's key phrases must stand in the file; they are looked up by their rarest word.
+Then every occurrence at ``p`` of the template's word at ``q`` gives its weight to the alignments around ``p - q``, give
+or take ``SLACK`` words, and the best of all alignments counts.  No template depends on what else the file holds.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,8 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("unencumbered software", "public domain")),
 )
-#: Words of the index that a file looks up, words two votes may differ by, and the weight share that verifies a template.
-RAREST, SLACK, LEAST_SHARE = 24, 3, 0.7
+#: Words that a word may stand away from its aligned place, and the weight share that verifies a template.
+SLACK, LEAST_SHARE = 3, 0.7
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -73,30 +73,19 @@ class Index:
         n = len(phrase)
         return [s for s in starts if s >= 0 and words[s : s + n] == list(phrase)]
 
-    def candidates(self, where: dict[bytes, list[int]]) -> dict[int, set[int]]:
-        """Template -> relative positions that enough rare words agree on."""
-        rare = sorted(where, key=lambda w: (-self.idf[w], w))[:RAREST]
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for w in rare:
-            for t, q in self.postings[w]:
-                for p in where[w]:
-                    votes[t, p - q].add(w)
-        rare_of = [sum(w in rare for w in set(words)) for words in self.texts]
-        out: dict[int, set[int]] = defaultdict(set)
-        for t, d in votes:
-            agree = set().union(*(votes.get((t, d + x), ()) for x in range(-SLACK, SLACK + 1)))
-            if len(agree) >= min(2, rare_of[t]):
-                out[t].add(d)
-        return out
-
-    def share(self, t: int, d: int, where: dict[bytes, list[int]], places: dict[bytes, set[int]]) -> float:
-        """Weight of the template's words that stand where the alignment has them, give or take ``SLACK``."""
-        got = 0.0
-        for q, w in enumerate(self.texts[t]):
-            own = places.get(w)
-            if own and any(d + q + x in own for x in range(-SLACK, SLACK + 1)):
-                got += self.idf[w]
-        return got / self.weight[t]
+    def share(self, t: int, n: int, where: dict[bytes, list[int]], around: dict[bytes, np.ndarray]) -> float:
+        """The greatest weight share, over all alignments with a file of ``n`` words, of the template's words that stand where it has them, give or take ``SLACK``; 0 where their sum cannot reach ``LEAST_SHARE``."""
+        words = self.texts[t]
+        if sum(self.idf[w] for w in words if w in where) < LEAST_SHARE * self.weight[t]:
+            return 0.0
+        last = len(words) - 1
+        got = np.zeros(n + last + 2 * SLACK)  # the alignment that has the template's first word at d is at d + last + SLACK
+        for q, w in enumerate(words):
+            if w in where:
+                if w not in around:
+                    around[w] = np.unique(np.add.outer(np.array(where[w]), np.arange(2 * SLACK + 1)))
+                got[around[w] + (last - q)] += self.idf[w]
+        return float(got.max()) / self.weight[t]
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
         """Places of base phrases, base labels, all labels, and the best share of a verified template."""
@@ -115,12 +104,11 @@ class Index:
                 labels.add(label)
         all_labels, best = set(labels), 0.0
         keyed = {t for t, keys in enumerate(self.keys) if all(self.places(words, p, where) for p in keys)}
-        if keyed:
-            sets = {w: set(p) for w, p in where.items()}
-            for t, shifts in self.candidates(where).items():
-                if t in keyed and (share := max(self.share(t, d, where, sets) for d in shifts)) >= LEAST_SHARE:
-                    all_labels.add(self.labels[t])
-                    best = max(best, share)
+        around: dict[bytes, np.ndarray] = {}
+        for t in keyed:
+            if (share := self.share(t, len(words), where, around)) >= LEAST_SHARE:
+                all_labels.add(self.labels[t])
+                best = max(best, share)
         return base, labels, all_labels, min(1.0, best)
 
 

@@ -286,6 +286,27 @@ def test_shingle_sets_have_the_right_sizes():
     assert [len(s) for s in shingle_sets(pa.array(texts))] == [len(s) for _, s in brute_sets([(0, t) for t in texts])]
 
 
+def test_a_run_of_any_length_is_one_word(spark, monkeypatch):
+    import pyarrow as pa
+
+    import tracewell.llm.shingling as shingling
+
+    run = "".join(rnd.choices("abcXYZ0189+/é", k=600_000))
+    texts = [run, f"a b {run} c d", f" {run} {LONG} {run}", run * 5, run * 5 + "x", f"{run * 2} {run * 2}", "x" * shingling.PIECE, "x" * shingling.PIECE + " y", "x" * shingling.PIECE + "y "]
+    sets = shingle_sets(pa.array(texts))
+    assert [len(s) for s in sets] == [len(s) for _, s in brute_sets([(0, t) for t in texts])]
+    assert not set(sets[3].tolist()) & set(sets[4].tolist())
+    short = [prose(rnd.randint(0, 60), i) + rnd.choice(["", " ", "\n", "y" * rnd.randint(1, 300)]) for i in range(50)] + [t or "" for t in ODD]
+    whole = [s.tolist() for s in shingle_sets(pa.array(short))]
+    for piece in (7, 16, 61):
+        monkeypatch.setattr(shingling, "PIECE", piece)
+        assert [s.tolist() for s in shingle_sets(pa.array(short))] == whole
+    monkeypatch.undo()
+    rows = [(1, run * 5), (2, run * 5 + "x"), (3, (run * 5).replace("X", "x")), (4, f"{LONG} {run}"), (5, f"{LONG} {run}z")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
+
+
 def test_near_duplicates(spark, docs, monkeypatch):
     got = sorted(tuple(-1 if v is None else v for v in r) for r in near_duplicates.near_duplicates(docs).collect())
     assert got == brute_components(collected(docs))

@@ -7,16 +7,18 @@ A text of fewer words is one shingle of all its words; one without words has non
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-#: Bytes of text hashed at a time; longer texts are cut between words.
+#: Bytes of text hashed at a time; longer texts are cut between words, and the hash of a longer word is carried on.
 PIECE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NEXT_SPACE = re.compile(rb"[\x20\x09-\x0D]").search
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 _BASE = 0x9E3779B97F4A7C15
@@ -78,17 +80,32 @@ def _of_words(words: np.ndarray) -> np.ndarray:
     return np.array([total], np.uint64)
 
 
+def _one_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, carried on from piece to piece."""
+    values, power, _, _ = _tables()
+    total = len(data)
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE]
+        total += int((values[piece] * power[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([total % (1 << 64)], np.uint64))
+
+
 def _long(raw: bytes) -> np.ndarray:
     """Word hashes of one text longer than a piece."""
+    data = np.frombuffer(raw, np.uint8)
     out, at = [], 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         if end < len(raw):
-            while end > at and raw[end - 1] not in b" \t\n\r\x0b\x0c":
-                end -= 1
-            if end == at:  # one word longer than a piece: its pieces count as words, alike in every text that holds it
-                end = min(len(raw), at + PIECE)
-        out.append(_word_hashes(np.frombuffer(raw, np.uint8, end - at, at), np.array([0, end - at]))[0])
+            spaces = np.flatnonzero(_SPACE[data[at:end]])
+            if not len(spaces):
+                space = _NEXT_SPACE(raw, end)
+                end = space.start() if space else len(raw)
+                out.append(_one_word(data[at:end]))
+                at = end
+                continue
+            end = at + int(spaces[-1]) + 1
+        out.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

@@ -410,3 +410,17 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
         assert step.columns == docs.columns
+
+
+def test_stages_tell_rows_without_an_id_of_their_own_apart(spark, tmp_path):
+    leak, clean = prose(30, 300), [prose(150, 400 + i) for i in range(4)]
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, clean[0]), (1, clean[0]), (None, clean[0]), (None, clean[1]), (None, clean[1]), (2, clean[2]), (2, f"{clean[3]} {leak}"), (None, f"x {leak}"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] or -1, r[1] or "")
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    want = [(1, clean[0]), (None, clean[1]), *rows[5:]]
+    assert sorted(map(tuple, near.collect()), key=key) == sorted(want, key=key)
+    left = corpus_pipeline.decontamination_stage(spark, near, str(tmp_path))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([(1, clean[0]), (None, clean[1]), (2, clean[2]), (3, None), (3, None)], key=key)

@@ -44,7 +44,8 @@ def lowered(text: str) -> str:
 
 
 class ChunkEncoder:
-    """``encode([text])[0]`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian unsigned 32-bit bytes.
+    """``encode([text])[0]`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian unsigned 32-bit bytes,
+    with ``encode_special_tokens`` set, which is not the library's default.
 
     keeps_space: the vocabulary encodes white space (then it leads the chunk after it); otherwise white space is
     dropped and letters are lower-cased.  A chunk of letters alone is one pre-token and goes straight to the merges of

@@ -12,20 +12,20 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, spans_key, table, texts
+from .common import rows_of, spans_key, table, texts, trimmed
 
 #: The kinds, in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
 _RUN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"[0-9](?<![0-9]{2})[0-9]*(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -42,22 +42,33 @@ LOOKALIKES = {
 UNSEEN = "­​‌‍⁠﻿"
 #: Spoken digits.
 SPOKEN = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = "|".join(SPOKEN)
-_SPOKEN_RUN = re.compile(rf"\b(?:plus[\s-]+)?(?:{_WORD})(?:(?:[\s,-]+dot)?[\s,-]+(?:{_WORD}))+\b", re.IGNORECASE)
-_SPOKEN_WORD = re.compile(rf"(?:[\s,-]*)\b({_WORD}|plus|dot)\b", re.IGNORECASE)
+
+
+def either(words: Iterable[str]) -> str:
+    """Words in either case of ASCII letters."""
+    return "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in words)
+
+
+_WORD, _DOT, _AT = either(SPOKEN), either(["dot"]), either(["at"])
+_SPOKEN_RUN = re.compile(rf"\b(?:{either(['plus'])}[\s-]+)?(?:{_WORD})(?:(?:[\s,-]+{_DOT})?[\s,-]+(?:{_WORD}))+\b")
+_SPOKEN_WORD = re.compile(rf"(?:[\s,-]*)\b({_WORD}|{either(['plus', 'dot'])})\b")
+_DIGIT_WORDS = frozenset(SPOKEN)
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 #: Digits a spoken run has at least; shorter ones are speech.
 SPOKEN_DIGITS = 4
 #: Last labels without which a spoken "at ... dot ..." is prose.
 LAST_LABELS = "com org net edu gov info io de fr es it uk eu ch nl co us ai dev app example test invalid"
 _LABEL = "[A-Za-z0-9-]+"
-_SPOKEN_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
-_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|(?<=[A-Za-z0-9])\s+at\s+(?=(?:{_LABEL}{_SPOKEN_DOT})+(?:{LAST_LABELS.replace(' ', '|')})\b)", re.IGNORECASE)
-_DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+_SPOKEN_DOT = rf"(?:\s+{_DOT}\s+|\s*[\[({{<]\s*{_DOT}\s*[\])}}>]\s*)"
+_AT_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=(?:{_LABEL}{_SPOKEN_DOT})+(?:{either(LAST_LABELS.split())})\b)")
+_DOT_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_DOT}\s+(?=[A-Za-z0-9])")
+_AT_CLOSED, _DOT_CLOSED = (re.compile(rf"[\[({{<]\s*{w}\s*[\])}}>]\s*") for w in (_AT, _DOT))
 
 
 @cache
 def homoglyphs() -> tuple[dict[str, str], re.Pattern]:
-    """Characters that compatibility forms or looks reduce to one ASCII character, or to none, and a pattern for them."""
+    """Characters that compatibility forms or looks reduce to one ASCII character, or to none, and a pattern for those of
+    the basic plane: with others in it, the pattern would be tried character by character."""
     table: dict[str, str] = {}
     for c in map(chr, range(0x80, 0x1FC00)):
         plain = unicodedata.normalize("NFKC", c)
@@ -66,7 +77,7 @@ def homoglyphs() -> tuple[dict[str, str], re.Pattern]:
         elif unicodedata.category(c) == "Nd":
             table[c] = str(unicodedata.decimal(c))
     table |= LOOKALIKES | dict.fromkeys(UNSEEN, "")
-    return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + "]")
+    return table, re.compile("[" + "".join(re.escape(c) for c in sorted(table) if c <= "\uffff") + "]")
 
 
 class Rewritten:
@@ -137,12 +148,20 @@ def plain(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def disguises(text: str) -> list[tuple[int, int, str]]:
-    """What the transducers would replace: (start, end, replacement), not overlapping within a kind of disguise."""
-    changes: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        table, glyph = homoglyphs()
-        changes += [(m.start(), m.end(), table[m[0]]) for m in glyph.finditer(text)]
+def closed(pattern: re.Pattern, text: str, new: str) -> list[tuple[int, int, str]]:
+    """Bracketed words with the white space around them."""
+    changes, done = [], 0
+    for m in pattern.finditer(text):
+        a = m.start()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        done = m.end()
+        changes.append((a, done, new))
+    return changes
+
+
+def spoken_digits(text: str) -> list[tuple[int, int, str]]:
+    changes = []
     for m in _SPOKEN_RUN.finditer(text):
         words = list(_SPOKEN_WORD.finditer(text, m.start(), m.end()))
         if sum(w[1].lower() in SPOKEN for w in words) < SPOKEN_DIGITS:
@@ -150,14 +169,32 @@ def disguises(text: str) -> list[tuple[int, int, str]]:
         for w in words:
             a = w.start(1) if w is words[0] else w.start()
             changes.append((a, w.end(), {"plus": "+", "dot": "."}.get(w[1].lower()) or SPOKEN[w[1].lower()]))
-    if _AT.search(text):
-        changes += [(m.start(), m.end(), "@") for m in _AT.finditer(text)]
-        changes += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
-    elif "@" in text:
-        changes += [(m.start(), m.end(), ".") for m in _DOT.finditer(text)]
     return changes
 
 
+def disguises(text: str) -> list[tuple[int, int, str]]:
+    """What the transducers would replace: (start, end, replacement), not overlapping within a kind of disguise.
+
+    A transducer is run where the text holds what none of its matches is without: the inner words of a run of spoken
+    digits stand between separators, and a spoken "at" or "dot" needs the letters of "dot".
+    """
+    changes: list[tuple[int, int, str]] = []
+    if not text.isascii():
+        table, glyph = homoglyphs()
+        changes += [(m.start(), m.end(), table[m[0]]) for m in glyph.finditer(text)]
+        if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text):
+            changes += [(m.start(), m.end(), table[m[0]]) for m in _BEYOND.finditer(text) if m[0] in table]
+    low = text.lower()
+    if not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()):
+        changes += spoken_digits(text)
+    at, dots = closed(_AT_CLOSED, text, "@"), "dot" in low
+    if dots and "at" in low:
+        at += [(m.start(), m.end(), "@") for m in _AT_SPOKEN.finditer(text)]
+    if dots and (at or "@" in text):
+        at += closed(_DOT_CLOSED, text, ".") + [(m.start(), m.end(), ".") for m in _DOT_SPOKEN.finditer(text)]
+    return changes + at
+
+
 def detect(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans; both by kind as listed, then start."""
     base = plain(text)
@@ -201,7 +238,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(spans_key(base).encode()).hexdigest() for base, _ in found]
             yield pa.record_batch([pa.array(ids, pa.int64()), *counts, pa.array(sha, pa.string()), pa.array([spans_key(s) for _, s in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -213,7 +250,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
             text = [None if t is None else redact(t, detect(t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(text, batch.schema.field(at).type))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(trimmed(run), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -37,13 +39,12 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
-    """
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share; without it there is no such folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = (Path(spark.conf.get("spark.local.dir", "/tmp").split(",")[0]) / "tracewell-scratch").as_uri()  # one process: every folder is shared
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -69,6 +70,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, returning freed memory to the system at the task's end: workers are used again, and idle ones keep theirs."""
+
+    @wraps(run)
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return own
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     """Columns of a batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

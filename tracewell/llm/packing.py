@@ -3,8 +3,9 @@
 Every whole ``capacity`` ids of a document are a sequence of their own; what remains of it, shorter than that, waits in
 a window.  Each sequence takes the longest remainder and then the multiset of others whose sum comes closest to the
 room left (one bit for each reachable sum, one snapshot for each length and power-of-two count, walked back to
-counts).  What a task cannot fill at its end is cut: a remainder is split to close a gap, and the very last ids go to
-sequences whose lengths are powers of two, which are not padded.  No shuffle: a task packs the rows it reads, holding
+counts).  Where no multiset fills a sequence, the next window may; once as many remainders wait as the window holds, and
+at a task's end, one is split to close the gap.  The very last ids go to sequences whose lengths are powers of two, which
+are not padded.  No shuffle: a task packs the rows it reads, holding
 one window.
 """
 
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import rows_of, table, texts
+from .common import rows_of, table, texts, trimmed
 from .tokenizing import BYTE_BPE, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 CAPACITY = 1024
-#: Remainders a task holds before it packs; it goes on packing while sequences come out full.
+#: Remainders a task holds before it packs, and at most between two batches of texts.
 WINDOW = 4096
 
 
@@ -52,8 +53,8 @@ def fill(counts: dict[int, int], room: int) -> dict[int, int]:
 class Packer:
     """Collects pieces; ``rows`` holds finished ones."""
 
-    def __init__(self, capacity: int, first_sequence: int) -> None:
-        self.capacity, self.sequence = capacity, first_sequence
+    def __init__(self, capacity: int, first_sequence: int, window: int) -> None:
+        self.capacity, self.sequence, self.window = capacity, first_sequence, window
         self.pool: dict[int, list[tuple]] = defaultdict(list)
         self.size = 0
         self.rows: list[tuple] = []
@@ -87,7 +88,7 @@ class Packer:
             counts = {k: len(v) - (k == longest) for k, v in self.pool.items()}
             chosen = fill({k: c for k, c in counts.items() if c}, self.capacity - longest)
             total = longest + sum(k * c for k, c in chosen.items())
-            if total < self.capacity and not last:
+            if total < self.capacity and not last and self.size < self.window:
                 return  # the next window may close this gap
             pieces = [self.pop(longest)] + [self.pop(k) for k, c in chosen.items() for _ in range(c)]
             if total < self.capacity and self.size:
@@ -131,19 +132,19 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(*tokenizer), np.array([end_id], "<u4").tobytes()
-        packer = Packer(capacity, TaskContext.get().partitionId() << 36)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 36, window)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, text = rows_of(batch.slice(at, 256), "doc_id", "text")
                 for doc_id, b in zip(ids, enc.encode(text), strict=True):
                     packer.add(doc_id, b + end)
-                if packer.size >= window:
-                    packer.pack(last=False)
+                    if packer.size >= window:
+                        packer.pack(last=False)
                 yield packer.taken()
         packer.pack(last=True)
         yield packer.taken()
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(trimmed(run), PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

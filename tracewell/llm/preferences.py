@@ -55,13 +55,16 @@ def preferences(turns: DataFrame) -> DataFrame:
 def pairs_of(conversations: DataFrame) -> DataFrame:
     """Two sides for every conversation: as it is, and with its last turn's text taken from the next conversation's last turn.
 
-    The next one has the id that is larger by one; where there is none the text is empty.
+    The next one has the id that is larger by one; where there is none the text is empty.  Of a last turn that stands
+    there more than once, one copy is replaced.
     """
-    rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = rows.groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("z"))
-    follow = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("z.text").alias("other"))
-    swap = last.join(follow, "pair_id", "left").select("pair_id", F.col("z.turn").alias("turn"), F.col("z.role").alias("role"), F.coalesce("other", F.lit("")).alias("text"))
-    rest = rows.join(last.select(F.col("pair_id").alias("p"), "z"), F.col("pair_id").eqNullSafe(F.col("p"))).where(~F.struct("turn", "role", "text").eqNullSafe(F.col("z"))).select("pair_id", "turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    back = W.partitionBy("pair_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    counted = rows.withColumn("back", F.row_number().over(back))
+    last = counted.where("back = 1").drop("back")
+    follow = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("text").alias("other"))
+    swap = last.join(follow, "pair_id", "left").select("pair_id", "turn", "role", F.coalesce("other", F.lit("")).alias("text"))
+    rest = counted.where("back > 1").drop("back")
     return rows.withColumn("side", F.lit("chosen")).unionByName(rest.unionByName(swap).withColumn("side", F.lit("rejected")))
 
 
@@ -72,12 +75,12 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     return f"""
     WITH r AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-    l AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM r),
+    l AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back FROM r),
     s AS (SELECT pair_id, 'chosen' AS side, turn, role, text FROM r UNION ALL
           SELECT pair_id, 'rejected', turn, role, text FROM l WHERE back > 1 UNION ALL
           SELECT a.pair_id, 'rejected', a.turn, a.role, coalesce(b.text, '') FROM l a LEFT JOIN l b ON b.pair_id = a.pair_id + 1 AND b.back = 1 WHERE a.back = 1),
     t AS (SELECT *, '{OPEN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{CLOSE}' || chr(10) AS said FROM s),
-    u AS (SELECT *, row_number() OVER w AS pos, sum(length(said)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM t WINDOW w AS (PARTITION BY pair_id, side ORDER BY turn, role, text)),
+    u AS (SELECT *, row_number() OVER w AS pos, sum(length(said)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM t WINDOW w AS (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text)),
     c AS (SELECT * FROM u WHERE side = 'chosen'), d AS (SELECT * FROM u WHERE side = 'rejected'),
     m AS (SELECT coalesce(c.pair_id, d.pair_id) AS pair_id, min(coalesce(c.pos, d.pos)) FILTER (WHERE c.said IS DISTINCT FROM d.said) - 1 AS k, count(*) AS n
           FROM c FULL JOIN d ON c.pair_id = d.pair_id AND c.pos = d.pos GROUP BY 1),

@@ -23,15 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, rows_of, scratch, table, texts, written
+from .common import discard, rows_of, scratch, table, texts, trimmed, written
 from .tokenizing import WORD_BPE, encoder
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
 INDEX = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
 BLOCKS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("dict_hash", pa.string()), ("index", INDEX), ("payload", pa.binary())])
 BLOCKS_DDL = "shard long, block long, dict_hash string, index array<struct<doc_id:long,start:long,n_tokens:long,offset:long,length:long>>, payload binary"
-#: The dictionary is fitted on so many documents at most (those with the smallest hash), so many bytes of each, and has so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
+#: The dictionary is fitted on so many documents at most (those with the smallest hash), so many bytes of each, in so many pieces
+#: spread over the document, and has so many bytes.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_PIECES, DICT_BYTES = 1000, 8192, 4, 65536
 BLOCK_BYTES = 1 << 20
 
 
@@ -47,7 +48,7 @@ def encode_documents(docs: DataFrame, tokenizer: tuple[str, bool], end_id: int,
                 packed = out if width == 4 else [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() for b in out]
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(b) // 4 for b in out], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return texts(docs).mapInArrow(run, ENCODED)
+    return texts(docs).mapInArrow(trimmed(run), ENCODED)
 
 
 def fit_dictionary(samples: list[bytes]) -> bytes:
@@ -61,6 +62,18 @@ def fit_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:]
 
 
+def samples(encoded: DataFrame) -> list[bytes]:
+    """Bytes of the documents with the smallest hashes.  Hashes below a bound that the number of rows gives are grouped
+    first, so that a few thousand rows, however many tasks or copies there are, carry bytes."""
+    bound = min(1.0, 2 * SAMPLE_DOCS / max(1, encoded.count()))
+    least, piece = int((bound - 0.5) * 2**64) - 1, SAMPLE_BYTES // SAMPLE_PIECES
+    far = f"CAST((length(ids) - {piece}) / {SAMPLE_PIECES - 1} AS INT)"
+    spread = F.concat(*[F.expr(f"substring(ids, 1 + {i} * ({far} - {far} % 4), {piece})") for i in range(SAMPLE_PIECES)])
+    taken = F.when(F.length("ids") <= SAMPLE_BYTES, F.col("ids")).otherwise(spread)
+    low = encoded.withColumn("h", F.xxhash64("doc_id", "ids")).where(F.col("h") <= min(least, 2**63 - 1)).select("h", taken.alias("s"))
+    return [bytes(r.s) for r in low.groupBy("h").agg(F.first("s").alias("s")).orderBy("h").limit(SAMPLE_DOCS).select("s").collect()]
+
+
 def codec(data: bytes):
     """Compressor and decompressor for a dictionary."""
     import zstandard
@@ -77,8 +90,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: tuple[str, bool] =
     """
     spark = docs.sparkSession
     encoded = written(encode_documents(docs, tokenizer, end_id, width), "encoded")
-    chosen = encoded.select(F.xxhash64("doc_id", "ids").alias("h"), F.expr(f"substring(ids, 1, {SAMPLE_BYTES})").alias("s")).orderBy("h").limit(SAMPLE_DOCS)
-    data = fit_dictionary([bytes(r.s) for r in chosen.select("s").collect()])
+    data = fit_dictionary(samples(encoded))
     mark = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(mark, width, data)], "dict_hash string, width int, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
 

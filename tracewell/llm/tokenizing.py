@@ -9,18 +9,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
-
-import numpy as np
+from array import array
+from collections.abc import Callable, Iterable
 
 #: Unicode White_Space, as the vocabularies' patterns read ``\s``.
 WHITE = "\t-\r\x20\x85\xa0  -     　"
 #: Letters whose byte-level form and lower case need no context, and ASCII characters that no letter run contains.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 NOT_LETTER = "!-@\\[-`{-~"
-#: Chunks remembered by a worker, about 200 bytes each; those that come later are remembered in a second
-#: table of a quarter of this size, which starts afresh when it is full.
-MOST_CHUNKS = 600_000
+#: Bytes that an encoder's remembered chunks take at most, about: two generations of half of it each.
+MOST_BYTES = 80 << 20
+#: What an entry takes beside the characters of its chunk and the bytes of its ids.
+ENTRY_BYTES = 190
 #: Characters; longer chunks are encoded but not remembered.
 LONG_CHUNK = 64
 
@@ -43,14 +43,37 @@ def lowered(text: str) -> str:
         return text
 
 
+class Remembered(dict):
+    """Chunk -> ids, learned on demand, in two generations: a full one takes the place of the one before it, and what is
+    met again moves back, so that what a text keeps using stays whatever came first."""
+
+    def __init__(self, learn: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.learn, self.most, self.size = learn, most, 0
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            cost = ENTRY_BYTES + len(ids) + len(chunk) * (1 if chunk.isascii() else 4)
+            if 2 * (self.size + cost) > self.most:
+                self.before = dict(self)
+                self.clear()
+                self.size = 0
+            self.size += cost
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """``encode([text])[0]`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian unsigned 32-bit bytes,
-    with ``encode_special_tokens`` set, which is not the library's default.
+    """``encode([text])[0]`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` as little-endian unsigned 32-bit bytes.
 
     keeps_space: the vocabulary encodes white space (then it leads the chunk after it); otherwise white space is
     dropped and letters are lower-cased.  A chunk of letters alone is one pre-token and goes straight to the merges of
     the library's model; every other chunk takes the library's whole way.
-    The strings of special tokens are ordinary text, as anyone can write them in a document.
+    As with the library's default, the strings of special tokens stand for these tokens; what is between them is encoded on its own.
     """
 
     def __init__(self, path: str, keeps_space: bool) -> None:
@@ -58,7 +81,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # for chunks, whose letters may have been lowered; ``encode`` cuts out special tokens before
         self.merge = self.tokenizer.model.tokenize
         self.keeps_space = keeps_space
         ends = f"(?=[{NOT_LETTER}{WHITE}])"
@@ -69,8 +92,12 @@ class ChunkEncoder:
         self.chunks = re.compile(chunk).findall
         self.is_word = re.compile(f"[ ]?[{LETTER}]+" if keeps_space else f"[{LETTER}]+").fullmatch
         self.bytes = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.late: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("only added tokens that are taken as they stand can be cut out of a text")
+        self.special = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, self.special))})").split
+        self.known = Remembered(self._learn, MOST_BYTES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -78,28 +105,19 @@ class ChunkEncoder:
     def _learn(self, chunk: str) -> bytes:
         if len(chunk) <= LONG_CHUNK and self.is_word(chunk):
             word = chunk if self.keeps_space else chunk.lower()
-            return np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.bytes))], "<u4").tobytes()
-        return np.array(self._ids(chunk), "<u4").tobytes()
+            return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        return array("I", self._ids(chunk)).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.chunks(text if self.keeps_space else lowered(text))))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.chunks(t if self.keeps_space else lowered(t)) for t in texts]
-        fresh = set().union(*cut).difference(self.known)  # looks its own members up; ``-`` would walk all that is known
-        if not fresh:
-            of = self.known.__getitem__
-            return [b"".join(map(of, chunks)) for chunks in cut]
-        now = {c: self.late[c] if c in self.late else self._learn(c) for c in fresh}
-        if len(self.known) + len(now) <= MOST_CHUNKS:
-            keep = self.known
-            keep.update(now)
-            of = keep.__getitem__
-        else:
-            keep = self.late = {} if len(self.late) > MOST_CHUNKS // 4 else self.late
-            keep.update(now)
-            old = self.known
-            of = lambda c: old[c] if c in old else now[c]
-        out = [b"".join(map(of, chunks)) for chunks in cut]
-        for c in [c for c in now if len(c) > LONG_CHUNK]:
-            keep.pop(c, None)
+        out = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                out.append(b"".join(self.special[p] if p in self.special else self._one(p) for p in self.cut(text)))
+            else:
+                out.append(self._one(text))
         return out
 
 
@@ -118,7 +136,7 @@ def encoder(name: str, keeps_space: bool) -> ChunkEncoder:
 def forget() -> None:
     """Give up what this worker's encoders remember; for operators that need its memory for something else."""
     for enc in _ENCODERS.values():
-        enc.known, enc.late = {}, {}
+        enc.known = Remembered(enc._learn, MOST_BYTES)
 
 
 WORD_BPE = ("word_bpe_49k.json", False)

@@ -48,16 +48,17 @@ def hci_status(code: Column) -> Column:
 
 
 def wifi_reason(code: Column) -> Column:
-    return F.coalesce(F.try_element_at(_map(WIFI_REASON), code.cast("int")), F.format_string("Unknown (%d)", code.cast("int")))
+    return F.coalesce(F.try_element_at(_map(WIFI_REASON), code.cast("int")), F.format_string("Unknown (802.11 reason %d)", code.cast("int")))
 
 
 def link_type(code: Column) -> Column:
-    return F.coalesce(F.try_element_at(_map(LINK_TYPE), code.cast("int")), F.format_string("Unknown (%d)", code.cast("int")))
+    return F.coalesce(F.try_element_at(_map(LINK_TYPE), code.cast("int")), F.format_string("LinkType %d", code.cast("int")))
 
 
 def frame_label(kind: Column, subtype: Column) -> Column:
     named = _map({t * 16 + s: n for t, own in FRAMES.items() for s, n in own.items()})
-    generic = F.format_string("%s subtype %d", F.try_element_at(_map({0: "Management", 1: "Control", 2: "Data", 3: "Extension"}), kind.cast("int")), subtype.cast("int"))
+    name = F.coalesce(F.try_element_at(_map({0: "Management", 1: "Control", 2: "Data"}), kind.cast("int")), F.format_string("Type %d", kind.cast("int")))
+    generic = F.format_string("%s (subtype %d)", name, subtype.cast("int"))
     return F.coalesce(F.try_element_at(named, (kind * 16 + subtype).cast("int")), generic)
 
 

@@ -102,7 +102,8 @@ def wifi_events(lines: DataFrame) -> DataFrame:
 def pairing_events(lines: DataFrame) -> DataFrame:
     """Companion-device and fast-pair lines, by the first of ten kinds that fits; other warnings and errors are anomalies."""
     line, rest = F.col("line"), F.col("rest")
-    rows = lines.where(matches(line, TAGGED)).withColumns({
+    likely = line.contains("CDM_") | line.contains("fastpair") | line.contains("Failed to find provider info for ")
+    rows = lines.where(likely & matches(line, TAGGED)).withColumns({
         "timestamp": F.regexp_extract(line, rx(TAGGED), 1), "level": F.regexp_extract(line, rx(TAGGED), 2),
         "tag": F.regexp_extract(line, rx(TAGGED), 3), "rest": F.regexp_extract(line, rx(TAGGED), 4),
     })
@@ -115,7 +116,8 @@ def pairing_events(lines: DataFrame) -> DataFrame:
         .when(F.col("level").isin("W", "E"), "anomaly")
     )
     other = F.when(matches(rest, FAST_PAIR), "fast_pair_ui_opened").when(matches(rest, PROVIDER), "provider_lookup_failed")
-    rows = rows.withColumn("kind", F.when(cdm, of_cdm).otherwise(other)).where(F.col("kind").isNotNull())
+    # Exploded, so that the patterns are tried once and not in every column below.
+    rows = rows.withColumn("kind", F.explode(F.array(F.when(cdm, of_cdm).otherwise(other)))).where(F.col("kind").isNotNull())
     stored = F.col("kind").isin("association_added", "association_updated")
     address = (
         F.when(F.col("kind") == "device_found", grab(rest, FOUND)).when(F.col("kind") == "association_approved", grab(rest, APPROVED)).when(stored, grab(rest, STORED, 4))

@@ -20,6 +20,10 @@ LOG_START = r"^------ ([\w .'\-]+?)(?: \(.*\))? ------\s*$"
 LOG_END = r"^------ .* was the duration of '(.+?)' ------\s*$"
 
 
+#: Lines that meet their sections in one group: a long report is dealt out by ranges of lines.
+RANGE = 1 << 16
+
+
 def log_name(name: Column) -> Column:
     return F.when(name == "SYSTEM LOG", "system_log").when(name == "SYSTEM PROPERTIES", "system_properties").otherwise(F.replace(F.lower(name), F.lit(" "), F.lit("_")))
 
@@ -61,6 +65,7 @@ def section_intervals(lines: DataFrame, wanted: tuple[str, ...] = WANTED) -> Dat
 
 def section_lines(lines: DataFrame, wanted: tuple[str, ...] = WANTED) -> DataFrame:
     """``capture_id, section, line_no, line`` of the wanted sections, without a trailing carriage return."""
-    spans = section_intervals(lines, wanted).select(F.col("capture_id").alias("c"), F.col("name").alias("section"), "line_start", "line_end")
-    within = (F.col("capture_id") == F.col("c")) & F.col("line_no").between(F.col("line_start"), F.col("line_end"))
+    spans = section_intervals(lines, wanted).where("line_start <= line_end").select(F.col("capture_id").alias("c"), F.col("name").alias("section"), "line_start", "line_end")
+    spans = spans.withColumn("r", F.explode(F.sequence(F.floor(F.col("line_start") / RANGE), F.floor(F.col("line_end") / RANGE))))
+    within = (F.col("capture_id") == F.col("c")) & (F.floor(F.col("line_no") / RANGE) == F.col("r")) & F.col("line_no").between(F.col("line_start"), F.col("line_end"))
     return lines.join(spans, within).select("capture_id", "section", "line_no", F.regexp_replace("line", r"\r+\z", "").alias("line"))

@@ -45,7 +45,7 @@ def parse_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     reports = found.where("kind IN ('.zip', '.txt')").select("capture_id", "kind")
     have = section_intervals(report).select("capture_id", F.col("name").alias("section"))
     wanted = spark.createDataFrame(list(MISSING.items()), "section string, warning string")
-    missing = reports.select("capture_id", F.explode(F.array(*[F.lit(n) for n in MISSING])).alias("section")).join(have, ["capture_id", "section"], "left_anti").join(F.broadcast(wanted), "section")
+    missing = reports.select("capture_id", F.explode(F.array(*[F.lit(n) for n in MISSING])).alias("section")).join(have, ["capture_id", "section"], "left_anti").join(wanted, "section")
     plain = reports.where("kind = '.txt'").select("capture_id", F.lit(files.TXT_WARNING).alias("warning"))
     no_hci = reports.where("kind = '.zip'").join(hci.select("capture_id"), "capture_id", "left_anti").select("capture_id", F.lit("no readable Bluetooth HCI log in this capture").alias("warning"))
     out["warnings"] = reduce(DataFrame.unionByName, [missing.select("capture_id", "warning"), plain, no_hci])
@@ -57,20 +57,27 @@ def parse_packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     found = files.files(spark, path)
     records = files.packet_records(found)
     kinds = files.packet_files(found)
-    layered = records.join(F.broadcast(kinds.select("capture_id", "linktype")), "capture_id")
+    layered = records.join(kinds.select("capture_id", "linktype"), "capture_id")
     frames = packets.wireless_frames(layered.where(packets.layer_of(F.col("linktype")) == "802.11"))
     ethernet = packets.ethernet_packets(layered.where(packets.layer_of(F.col("linktype")) == "ethernet"))
-    totals = packets.packet_summary(records, kinds)
+    totals = packets.packet_summary(records, kinds.where("error IS NULL").drop("error"))
     resets = ethernet.where("reset").select("capture_id", "rec_no", F.lit(None).cast("string").alias("timestamp"), F.lit("tcp_reset").alias("kind"), F.col("source").alias("mac_or_ip"))
     odd = totals.where(packets.layer_of(F.col("linktype")).isNull()).select("capture_id", F.concat(F.lit("link type not analysed: "), "linktype_name").alias("warning"))
     return {
         "packet_capture_summary": totals, "packet_analysis": packets.wireless_analysis(frames), "ethernet_analysis": packets.ethernet_analysis(ethernet, totals),
-        "identity_signals": packets.identity_signals(frames), "packet_anomalies": packets.wireless_anomalies(frames).unionByName(packets.first_anomalies(resets)), "warnings": odd,
+        "identity_signals": packets.identity_signals(frames), "packet_anomalies": packets.wireless_anomalies(frames).unionByName(packets.first_anomalies(resets)),
+        "warnings": odd.unionByName(kinds.where("error IS NOT NULL").select("capture_id", F.concat(F.lit("unreadable packet capture: "), "error").alias("warning"))),
     }
 
 
+def fact_counts(captures: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``captures`` with ``fact_counts``: facts of each table by name, 0 where there are none."""
+    counted = summary.capture_counts(captures, tables)
+    return captures.join(counted.select("capture_id", F.struct(*[c for c in counted.columns if c != "capture_id"]).alias("fact_counts")), "capture_id")
+
+
 def ingest(spark: SparkSession, path: str, store: str, device: str, investigation: str | None = None) -> DataFrame:
-    """Append all facts of the files below ``path`` to ``store``; the receipt: captures with their number of warnings."""
+    """Append all facts of the files below ``path`` to ``store``; the receipt: captures with the number of facts of each table and their warnings."""
     devices = facts.get_or_create(spark, store, "device", spark.createDataFrame([(device,)], "label string"))
     device_id = devices.where(F.col("label") == device).first().id
     found = files.files(spark, path)
@@ -86,6 +93,7 @@ def ingest(spark: SparkSession, path: str, store: str, device: str, investigatio
     for name, rows in (tables | more).items():
         facts.persist(rows, store, name)
     stored = spark.read.parquet(f"{store}/capture").join(found.select("capture_id"), "capture_id", "left_semi")
+    stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in (tables | more) if n != "warnings"})
     return stored.join(tables["warnings"].groupBy("capture_id").agg(F.sort_array(F.collect_list("warning")).alias("parse_warnings")), "capture_id", "left")
 
 
@@ -114,6 +122,27 @@ class Store:
     def device_captures(self, label: str) -> DataFrame:
         return self._badged(self.table("capture").where(F.col("device_id") == self._of_label("device", label)))
 
+    def device_labels(self, captures: DataFrame) -> DataFrame:
+        return evidence.device_labels(captures, self.devices())
+
+    def siblings(self, captures: DataFrame) -> DataFrame:
+        """All captures of the devices that these are of, themselves included."""
+        return evidence.siblings(self.table("capture"), captures)
+
+    def device_summary(self, label: str) -> DataFrame:
+        """One JSON document for all captures of a device: summed counts, rows tagged with their capture."""
+        return self.merged_summary(self.device_captures(label))
+
+    def investigation_summary(self, label: str) -> DataFrame:
+        return self.merged_summary(self.investigation_captures(label))
+
+    def merged_summary(self, captures: DataFrame) -> DataFrame:
+        own = lambda n: facts.of_captures(self.table(n), captures)
+        counted = {n: own(n) for n in ("crash_events", "tombstones", "anrs", "focus_events", "media_sessions", "foreground_services", "wifi_events", "process_kills", "selinux_denials", "pairing_events", "bt_hci_events", "package_facts", "freeze_events")}
+        lists = {n: counted[n] for n in ("crash_events", "tombstones", "anrs", "process_kills", "selinux_denials", "wifi_events", "media_sessions")}
+        lists |= {"top_battery_consumers": summary.merged_battery(own("battery_uid_stats")), "timeline": facts.of_captures(self.timeline(), captures)}
+        return summary.merged_summary(captures, counted, lists, summary.merged_freezes(own("freeze_summary")))
+
     def investigation_captures(self, label: str) -> DataFrame:
         link = self.table("investigation_capture_link").where(F.col("investigation_id") == self._of_label("investigation", label))
         return self._badged(self.table("capture").join(link.select("capture_id"), "capture_id"))
@@ -141,13 +170,33 @@ class Store:
         kinds = {"crash": "crash_events", "native_crash": "tombstones", "anr": "anrs", "wifi": "wifi_events", "pairing": "pairing_events", "memory": "process_kills", "selinux": "selinux_denials", "bluetooth": "bt_hci_events", "packet_capture": "packet_anomalies"}
         return evidence.ordered_findings(evidence.rank_findings(evidence.findings({k: own(n) for k, n in kinds.items()}), captures))
 
-    def diagnose(self, captures: DataFrame, question: str, include_all: bool = False) -> tuple[str, str | None, str | None]:
-        """Bundle, report and the narrator's error."""
+    def diagnose(self, captures: DataFrame, question: str, include_all: bool = False, turns: DataFrame | None = None) -> tuple[str, str | None, str | None]:
+        """Bundle, report and the narrator's error.  Claims and device-wide evidence are of all captures of the devices;
+        ``turns``: earlier questions and answers of one conversation."""
+        devices = self.siblings(captures)
         own = lambda n: facts.of_captures(self.table(n), captures)
+        wide = lambda n: summary.tagged(facts.of_captures(self.table(n), devices), devices)
         asked = self.spark.createDataFrame([(0, question)], "question_id long, question string")
         named = evidence.entity_matches(asked, own("package_facts")).join(own("package_facts").select("capture_id", "package"), "package")
         known = evidence.verify_entities(named, {"package_fact": own("package_facts"), "battery": own("battery_uid_stats"), "media_session": own("media_sessions")}, {"crashes": own("crash_events"), "kills": own("process_kills"), "services": own("foreground_services"), "focus_stack": own("focus_stack")}, own("freeze_summary"), own("focus_events"))
-        claims = known.withColumns({"confidence": evidence.confidence(F.col("fact_count"), F.lit(1)), "explanation": evidence.why(F.col("fact_count"), F.lit(1))})
-        blocks_of = {"crash": own("crash_events"), "wifi": own("wifi_events"), "battery": summary.top_battery(own("battery_uid_stats")), "memory": own("process_kills"), "selinux": own("selinux_denials"), "pairing": own("pairing_events")}
-        bundle = evidence.diagnosis_bundle(question, claims, blocks_of, include_all).first().bundle
+        of = captures.select("capture_id", "device_id")
+        history = evidence.package_history(devices, wide("focus_events").where("event_type = 'request'"), wide("foreground_services"), wide("package_facts"), named.join(of, "capture_id"))
+        claims = evidence.claims(known, of, history)
+        blocks_of = {"crash": wide("crash_events"), "native_crash": wide("tombstones"), "anr": wide("anrs"), "wifi": wide("wifi_events"), "battery": summary.merged_battery(wide("battery_uid_stats")), "memory": wide("process_kills"), "selinux": wide("selinux_denials"), "pairing": wide("pairing_events"), "bluetooth": wide("bt_hci_summary"), "packet_capture": wide("packet_capture_summary")}
+        context = {"captures": devices.select("capture_id", "original_filename"), "device_context": self.device_labels(captures), "device_evidence": evidence.device_evidence(devices, blocks_of)}
+        if turns is not None:
+            context["conversation"] = evidence.history_text(turns)
+        bundle = evidence.diagnosis_bundle(question, claims, blocks_of, include_all, context).first().bundle
         return bundle, *evidence.narrate(bundle)
+
+    def diagnose_investigation(self, label: str, question: str, include_all: bool = False) -> dict[int, tuple[str, str | None, str | None]]:
+        """A bundle for each capture of an investigation, which its reports name by hand."""
+        captures = self.investigation_captures(label)
+        return {r.capture_id: self.diagnose(captures.where(F.col("capture_id") == r.capture_id), question, include_all) for r in captures.select("capture_id").collect()}
+
+    def export(self, captures: DataFrame, path: str, kind: str = "json") -> None:
+        """Summaries as files of JSON lines, or findings as plain text, a line each."""
+        if kind == "json":
+            self.capture_summary(captures).select("summary").write.mode("overwrite").text(path)
+        else:
+            evidence.findings_text(self.findings(captures)).write.mode("overwrite").text(path)

@@ -125,7 +125,7 @@ def parse_crashes(spark, d):
     return blocks.crash_events(rows.select("capture_id", F.lit("system_log").alias("section"), (F.col("event_id") * 10 + F.col("p")).alias("line_no"), "line"))
 
 
-REASONS = "CASE k % 40 " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in WIFI_REASON.items()) + " ELSE 'Unknown (' || (k % 40) || ')' END"
+REASONS = "CASE k % 40 " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in WIFI_REASON.items()) + " ELSE 'Unknown (802.11 reason ' || (k % 40) || ')' END"
 
 
 def wifi_lines(e: DataFrame) -> DataFrame:
@@ -453,13 +453,6 @@ def json_roundtrip(spark, d):
     return read(spark, d, "events").select("event_id", F.try_element_at(F.from_json(F.to_json(m), "map<string,bigint>"), F.lit("k")).alias("k"))
 
 
-@query("SELECT p_partkey, (p_size * 5 % 256 >> 2) & 3 AS ftype, (p_size * 5 % 256 >> 4) & 15 AS subtype, (p_partkey % 256) & 8 = 8 AS retry, CASE WHEN p_partkey % 256 >= 128 THEN p_partkey % 256 - 256 ELSE p_partkey % 256 END AS rssi FROM part")
-def frame_control_bits(spark, d):
-    fc0, b = F.col("p_size") * 5 % 256, F.col("p_partkey") % 256
-    signed = b.bitwiseXOR(F.lit(128)) - 128
-    return read(spark, d, "part").select("p_partkey", F.shiftright(fc0, 2).bitwiseAND(F.lit(3)).alias("ftype"), F.shiftright(fc0, 4).bitwiseAND(F.lit(15)).alias("subtype"), (b.bitwiseAND(F.lit(8)) == 8).alias("retry"), signed.alias("rssi"))
-
-
 @query("SELECT l_suppkey AS capture_id, count(*) AS total_packets, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS captured_bytes, CAST(sum(CAST(l_quantity AS BIGINT) + l_linenumber - 1) AS BIGINT) AS original_bytes, count(*) FILTER (WHERE l_linenumber > 1) AS truncated_packets FROM lineitem GROUP BY 1")
 def packet_totals(spark, d):
     from ..operators.packets import packet_summary
@@ -480,22 +473,11 @@ def retry_rate(spark, d):
     return out.select("capture_id", "packets_analyzed", "retry_count", (F.floor(F.try_divide(F.col("retry_count") * 10000, F.col("n"))) / 100).alias("retry_floor"))
 
 
-@query("SELECT l_linenumber % 8 AS capture_id, printf('0x%02X', CAST(l_partkey % 256 AS INTEGER)) AS code, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def event_code_histogram(spark, d):
-    rows = read(spark, d, "lineitem").select((F.col("l_linenumber") % 8).alias("capture_id"), F.format_string("0x%02X", (F.col("l_partkey") % 256).cast("int")).alias("code"))
-    return rows.groupBy("capture_id", "code").agg(F.count("*").alias("n"))
-
-
-@query("SELECT DISTINCT p_size, CASE p_size % 8 WHEN 0 THEN 'Success' WHEN 1 THEN 'Unknown HCI Command' WHEN 2 THEN 'Unknown Connection Identifier' WHEN 3 THEN 'Hardware Failure' WHEN 4 THEN 'Page Timeout' WHEN 5 THEN 'Authentication Failure' WHEN 6 THEN 'PIN or Key Missing' ELSE 'Memory Capacity Exceeded' END AS status, CASE WHEN p_size % 4 = 0 THEN 'Data' WHEN p_size % 4 = 1 THEN 'Data subtype 1' WHEN p_size % 4 = 2 THEN 'Data subtype 2' ELSE 'Data subtype 3' END AS frame FROM part")
+@query("SELECT DISTINCT p_size, CASE p_size % 8 WHEN 0 THEN 'Success' WHEN 1 THEN 'Unknown HCI Command' WHEN 2 THEN 'Unknown Connection Identifier' WHEN 3 THEN 'Hardware Failure' WHEN 4 THEN 'Page Timeout' WHEN 5 THEN 'Authentication Failure' WHEN 6 THEN 'PIN or Key Missing' ELSE 'Memory Capacity Exceeded' END AS status, CASE WHEN p_size % 4 = 0 THEN 'Data' ELSE 'Data (subtype ' || (p_size % 4) || ')' END AS frame FROM part")
 def code_names(spark, d):
     return read(spark, d, "part").select("p_size", hci_status(F.col("p_size") % 8).alias("status"), frame_label(F.lit(2), F.col("p_size") % 4).alias("frame")).distinct()
 
 
-@query("SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)', 1) AS title, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_chars FROM pages")
-def html_title_extract(spark, d):
-    return read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?d)<title[^>]*>([^<]*)", 1).alias("title"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("text_chars"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 4) * 100000 + 10000 + c_custkey WHEN c_custkey % 3 = 1 THEN c_custkey END AS uid, '08-13 22:36:25.419 x' AS stamp FROM customer")
 def uid_tokens(spark, d):
     c = F.col("c_custkey")
@@ -508,8 +490,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import parser_queries  # noqa: F401 - adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import parser_queries  # noqa: F401 - adds its own
+
     return dict(SQL)

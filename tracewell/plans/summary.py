@@ -73,6 +73,19 @@ def merged_freezes(summary: DataFrame, n: int = TOP_FREEZE, lossy: bool = False)
     return total.orderBy(F.desc(F.col("freeze_count") + F.col("unfreeze_count")), "package").limit(n)
 
 
+def merged_battery(stats: DataFrame, n: int = TOP_BATTERY) -> DataFrame:
+    """The user ids that used most in any capture, each capture's rows on their own."""
+    return stats.orderBy(F.desc("total_mah"), "capture_id", "ord").limit(n)
+
+
+def merged_summary(captures: DataFrame, facts: dict[str, DataFrame], lists: dict[str, DataFrame], freezes: DataFrame) -> DataFrame:
+    """One JSON document for several captures: their number, summed counts, and rows tagged with their capture's file name."""
+    out = merged_counts(capture_counts(captures, facts)).select(F.struct("*").alias("counts"))
+    for name, rows in {**{k: tagged(v.drop("original_filename"), captures) for k, v in lists.items()}, "top_freeze_offenders": freezes}.items():
+        out = out.withColumn(name, rows.agg(F.sort_array(F.collect_list(F.to_json(F.struct("*")))).alias(name)).scalar())
+    return out.select(F.to_json(F.struct("*")).alias("summary"))
+
+
 def merged_counts(counts: DataFrame) -> DataFrame:
     names = [c for c in counts.columns if c != "capture_id"]
     return counts.agg(F.count("*").alias("capture_count"), *[F.sum(c).alias(c) for c in names])

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: Places in an archive.
 MAIN = re.compile(r"bugreport-.*\.txt")
 TOMBSTONES, ANRS, ROTATED = "FS/data/tombstones/", "FS/data/anr/", "FS/data/misc/logd/"
-HCI = [f"FS/data/misc/bluetooth/logs/btsnoo{n}" for n in ("p_hci.log.filtered", "p_hci.log", "z_hci.log", "p_hci.log.filtered.last", "p_hci.log.last")]
+HCI_FOLDER = "FS/data/misc/bluetooth/logs/"
+#: Names of HCI logs, by preference.
+HCI_NAMES = ("btsnoop_hci.log.filtered", "btsnoop_hci.log", "btsnooz_hci.log", "btsnoop_hci.log.filtered.last", "btsnoop_hci.log.last")
 TXT_WARNING = "Raw .txt upload: tombstones, ANR traces, Bluetooth HCI and rotated logs are only in the full .zip"
 KINDS = (".zip", ".txt", ".pcap", ".pcapng")
 #: Lines handed on at a time.
@@ -96,7 +98,7 @@ def archive_entries(captures: DataFrame) -> DataFrame:
             archive = zipfile.ZipFile(io.BytesIO(row["content"]))
             names = set(archive.namelist())
             wanted = [(i, _role(i.filename)) for i in archive.infolist() if _role(i.filename)]
-            wanted += [(archive.getinfo(n), "hci") for n in HCI if n in names][:1]
+            wanted += [(archive.getinfo(HCI_FOLDER + n), "hci") for n in HCI_NAMES if HCI_FOLDER + n in names][:1]
             for info, role in wanted:
                 stamp = "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*info.date_time)
                 yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "role": role, "filename": info.filename.rpartition("/")[2], "modified_at": stamp, "content": archive.read(info)}], ENTRIES)
@@ -124,7 +126,7 @@ def rotated_lines(entries: DataFrame) -> DataFrame:
 
 
 PACKETS = "capture_id long, rec_no long, micros long, incl_len long, orig_len long, payload binary"
-SUMMARY = "capture_id long, format string, linktype int, malformed long"
+SUMMARY = "capture_id long, format string, linktype int, malformed long, error string"
 _NAMES = ["capture_id", "rec_no", "micros", "incl_len", "orig_len", "payload"]
 _TYPES = [pa.int64()] * 5 + [pa.binary()]
 
@@ -184,7 +186,9 @@ class PacketFile:
                 self.malformed += 1
                 return
             if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-                order = ORDER.get(data[at + 8 : at + 12], order)
+                if data[at + 8 : at + 12] not in ORDER:
+                    raise ValueError("not a packet capture: unknown byte order")
+                order = ORDER[data[at + 8 : at + 12]]
             kind, size = struct.unpack_from(f"{order}II", data, at)
             if size < 12 or at + size > len(data) or struct.unpack_from(f"{order}I", data, at + size - 4)[0] != size:
                 self.malformed += 1
@@ -231,16 +235,19 @@ def _packed(capture: int, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def packet_records(captures: DataFrame) -> DataFrame:
-    """Packets of each capture file; ``micros`` since the epoch."""
+    """Packets of each capture file; ``micros`` since the epoch.  A file that is no capture has none; ``packet_files`` says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            held = []
-            for record in PacketFile(row["content"]).records():
-                held.append(record)
-                if len(held) == BATCH:
-                    yield _packed(row["capture_id"], held)
-                    held = []
+            held: list[tuple] = []
+            try:
+                for record in PacketFile(row["content"]).records():
+                    held.append(record)
+                    if len(held) == BATCH:
+                        yield _packed(row["capture_id"], held)
+                        held = []
+            except ValueError:
+                pass
             if held:
                 yield _packed(row["capture_id"], held)
 
@@ -248,14 +255,18 @@ def packet_records(captures: DataFrame) -> DataFrame:
 
 
 def packet_files(captures: DataFrame) -> DataFrame:
-    """``capture_id, format, linktype, malformed`` of each capture file."""
+    """``capture_id, format, linktype, malformed, error`` of each capture file; error: why it is none, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             own = PacketFile(row["content"])
-            for _ in own.records():
-                pass
-            yield pa.record_batch([pa.array([row["capture_id"]], pa.int64()), pa.array([own.format]), pa.array([own.linktype], pa.int32()), pa.array([own.malformed], pa.int64())], ["capture_id", "format", "linktype", "malformed"])
+            error = None
+            try:
+                for _ in own.records():
+                    pass
+            except ValueError as e:
+                error = str(e)
+            yield pa.record_batch([pa.array([row["capture_id"]], pa.int64()), pa.array([own.format]), pa.array([own.linktype], pa.int32()), pa.array([own.malformed], pa.int64()), pa.array([error], pa.string())], ["capture_id", "format", "linktype", "malformed", "error"])
 
     return captures.where("kind IN ('.pcap', '.pcapng')").mapInArrow(run, SUMMARY)
 

@@ -5,10 +5,13 @@ shingle) is compared with windows of ``k`` shingles of a document:
 
 1. A document is kept when some shingle of it is one of the items'; nothing else can be similar to an item.  Hashes of
    shingles stay in one array per document, so this is a projection and a filter.
-2. Windows are fingerprinted where they can hold 0.8 ``k`` shared shingles, for the sizes of the items they share some
-   with: 63 bits, each the majority over the window's shingle occurrences (weight: how often a shingle occurs).
-3. Fingerprints meet those of items of that size in 21 blocks of 3 bits.  Two that differ in at most ``RADIUS`` = 20
-   bits agree on a block, so none within the radius is missed.
+2. Windows are fingerprinted where they hold 0.8 ``k`` shingles of an item: 63 bits, each the majority over the window's
+   shingle occurrences (weight: how often a shingle occurs).  Places of shared shingles give the starts of such windows
+   directly, so two that lie far apart bring in nothing between them.
+3. Fingerprints meet those of the items they share shingles with in 21 blocks of 3 bits.  Two that differ in at most
+   ``RADIUS`` = 20 bits agree on a block, so none within the radius is missed.  A radius this wide makes blocks alone a poor
+   index (two random fingerprints agree on 2.6 of 21), so the item is part of the key: a window meets each item at most
+   21 times, and no window meets items it shares too little with.
 4. What is within the radius is verified: shared over joint shingle weight is 0.8 or more.
 
 At similarity 0.8 fingerprints of 63 bits differ in 9.5 bits on average (deviation 3), so the radius leaves out about
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 SHINGLE, RADIUS, LEAST, BASE = 5, 20, 8, 10
 _LANES = 1 | 1 << 21 | 1 << 42
@@ -64,6 +67,21 @@ def _shared(a: str, b: str) -> Column:
     return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x))))
 
 
+def _starts() -> Column:
+    """Starts of all windows of ``k`` that hold ``least`` of the ascending places ``p``; a window ends at the text's end at the latest.
+
+    A window holds ``least`` places where it begins after ``p[i + least - 1] - k`` and not after ``p[i]``; after ``p[i - 1]``,
+    as earlier ones belong to the place before.
+    """
+    ranges = F.transform(
+        F.sequence(F.lit(0), F.size("p") - F.col("least")),
+        lambda i: F.struct(F.greatest(F.get("p", i + F.col("least") - 1) - F.col("k") + 1, F.coalesce(F.get("p", i - 1) + 1, F.lit(0)), F.lit(0)).alias("lo"), F.get("p", i).alias("hi")),
+    )
+    held = F.filter(ranges, lambda x: x["lo"] <= x["hi"])
+    clipped = F.transform(held, lambda x: F.sequence(F.least(x["lo"], F.col("last")), F.least(x["hi"], F.col("last"))))
+    return F.array_distinct(F.flatten(clipped))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, n_shingles``: for each document row and item its best window of 0.8 or more.
 
@@ -97,27 +115,25 @@ def _by_shingle(docs: DataFrame, own: DataFrame, g: int) -> DataFrame:
     read = written(read, "shingled")
 
     hits = read.select("r", F.posexplode("have").alias("p", "h")).join(each.distinct(), "h")
-    spans = hits.groupBy("r", "n", "k").agg(F.count("*").alias("hits"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    spans = spans.where(F.col("hits") * BASE >= F.col("k") * LEAST)
-    spans = spans.groupBy("r", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    least = F.ceil(F.col("k") * LEAST / BASE).cast("int")
-    last = F.greatest(F.size("have") - F.col("k"), F.lit(0))
-    first = F.least(F.greatest(F.col("lo") - (F.col("k") - least), F.lit(0)), last)
-    starts = F.sequence(first, F.least(F.greatest(F.col("hi") - least + 1, first), last))
-    windows = read.join(spans, "r").select("r", "k", F.explode(starts).alias("s"), "have").select("r", "k", "s", F.expr("slice(have, s + 1, k)").alias("w"))
+    spans = hits.groupBy("r", "n", "k").agg(F.sort_array(F.collect_list("p")).alias("p")).withColumn("least", F.ceil(F.col("k") * LEAST / BASE).cast("int")).where(F.size("p") >= F.col("least"))
+    windows = read.join(spans, "r").withColumn("last", F.greatest(F.size("have") - F.col("k"), F.lit(0)))
+    windows = windows.select("r", "n", "k", F.explode(_starts()).alias("s"), "have").select("r", "n", "k", "s", F.expr("slice(have, s + 1, k)").alias("w"))
     windows = written(windows, "windows")
 
-    prints = windows.select("r", "k", "s", F.size("w").alias("kw"), F.explode("w").alias("h")).groupBy("r", "k", "s", "kw").agg(*_sums("h")).select("r", "k", "s", _fingerprint("kw").alias("fp"))
-    marks = each.groupBy("n", "k").agg(*_sums("h")).select("n", "k", _fingerprint("k").alias("mark"))
-    left = prints.select("r", "k", "s", "fp", F.explode(_blocks(F.col("fp"))).alias("x")).select("r", "k", "s", "fp", "x.*")
-    right = marks.select("n", "k", "mark", F.explode(_blocks(F.col("mark"))).alias("x")).select("n", "k", "mark", "x.*")
-    near = left.join(right, ["k", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)
-    near = near.select("r", "k", "s", "n").distinct()
+    prints = windows.select("r", "n", "s", F.size("w").alias("kw"), F.explode("w").alias("h")).groupBy("r", "n", "s", "kw").agg(*_sums("h")).select("r", "n", "s", _fingerprint("kw").alias("fp"))
+    marks = each.groupBy("n", "k").agg(*_sums("h")).select("n", _fingerprint("k").alias("mark"))
+    left = prints.select("r", "n", "s", "fp", F.explode(_blocks(F.col("fp"))).alias("x")).select("r", "n", "s", "fp", "x.*")
+    right = marks.select("n", "mark", F.explode(_blocks(F.col("mark"))).alias("x")).select("n", "mark", "x.*")
+    near = left.join(right, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("mark"))) <= RADIUS)
+    near = near.select("r", "n", "s").distinct()
 
-    checked = near.join(windows, ["r", "k", "s"]).join(own.select("n", "item_id", "want"), "n").withColumn("both", _shared("w", "want"))
+    checked = near.join(windows, ["r", "n", "s"]).join(own.select("n", "item_id", "want"), "n").withColumn("both", _shared("w", "want"))
     checked = checked.withColumn("joint", F.size("w") + F.size("want") - F.col("both")).where(F.col("both") * BASE >= F.col("joint") * LEAST)
     best = checked.groupBy("r", "n", "item_id", "k").agg(F.max(F.struct((F.col("both") / F.col("joint")).alias("sim"), (-F.col("s")).alias("s"))).alias("b"))
-    return best.join(read.select("r", "doc_id"), "r").select("doc_id", "item_id", F.col("b.sim").alias("similarity"), (-F.col("b.s")).cast("long").alias("start_word"), F.col("k").cast("long").alias("n_shingles"))
+    found = best.join(read.select("r", "doc_id"), "r").select("doc_id", "item_id", F.col("b.sim").alias("similarity"), (-F.col("b.s")).cast("long").alias("start_word"), F.col("k").cast("long").alias("n_shingles"))
+    found = written(found, "contaminated")
+    discard(docs.sparkSession, own, read, windows)
+    return found
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,37 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("run", [2, 24])
+def test_groups_of_one_prefix_are_expanded(spark, monkeypatch, run):
+    """Sets of one size and prefix that differ in what is common everywhere: some link, some do not."""
+    lines = [" ".join(f"common{i}word{j}" for j in range(12)) for i in range(8)]
+    rows = []
+    for text in range(3):
+        head = " ".join(f"head{text}x{j}" for j in range(70))
+        for i in range(30):
+            rows.append((len(rows), "\n".join([head, *rnd.sample(lines, 2 if text else 1), ".", "end of it"])))
+    rows += [(1000 + i, f"{lines[i % 8]} {prose(30, 900 + i)}") for i in range(400)]
+    assert len({s for _, s in brute_sets(rows[:90])}) > 40
+    monkeypatch.setattr(near_duplicates, "RUN", run)
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
+
+
+def test_decontamination_of_hits_far_apart(spark):
+    """Shared shingles at both ends of a long text, windows at its very end, columns of clashing names; against the SQL."""
+    item = prose(30, 500)
+    rows = [(1, f"{item[:60]} {LONG} {item[-60:]}"), (2, f"{LONG} {item}"), (3, f"{item} {item} {LONG} {item} x {item}"), (4, " ".join(item.split()[1:])), (5, " ".join(item.split()[:26])), (6, "")]
+    docs = spark.createDataFrame([(a, b, "n", 1, "w") for a, b in rows], "doc_id long, text string, n string, k int, w string")
+    items = spark.createDataFrame([(7, item, 1, "have"), (8, prose(30, 501), 1, "r")], "item_id long, text string, k int, have string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(r.item_id, r.text) for r in items.collect()])
+    want = con.sql(decontamination.oracle())
+    got = decontamination.contaminated(docs, items).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and {r.doc_id for r in got} == {2, 3, 4, 5}
+
+
 def test_decontamination(spark):
     item = prose(40, 11)
     items = spark.createDataFrame([(1, item), (2, "short item here"), (3, None), (4, "w " * 30), (5, item)], "item_id long, text string")

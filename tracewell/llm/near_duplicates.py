@@ -1,16 +1,18 @@
 """Exact n-gram Jaccard join by grouped prefixes, down to connected groups of documents.
 
-1. One pass over the texts: the size and hash of each shingle set, and a count of shingles in ``2**SKETCH`` buckets over
-   all documents.  Documents with the same set are one node from here on.
-2. A second pass orders each set by (bucket count, hash) and posts its prefix: ``n - ceil(0.8 n) + 1`` shingles.  Any
+1. One pass over the texts counts shingles in ``2**SKETCH`` buckets over all documents.
+2. A second pass orders each set by (bucket count, hash) and takes its prefix: ``n - ceil(0.8 n) + 1`` shingles.  Any
    order all sets share finds every pair of similarity 0.8; this one puts what many documents hold last, so that common
-   passages and lines are in a prefix only where little else is.  Postings travel as packed arrays, split by shingle.
-3. Nodes with a common shingle, sizes within 0.8, and the shingle at places that leave room for enough others, are
-   candidates.  A run of nodes that share a shingle is paired off
-   in full up to ``RUN``.  In a longer run each node meets one pivot first, and what these links leave in different
-   components is paired in later rounds: with other pivots, then, for what is still apart, all of it.  Links inside a
-   component are not looked for, as they change no component.
-4. Candidates are verified on whole sets.
+   passages and lines are in a prefix only where little else is.  Documents of one size and prefix are a group, documents
+   of one set a node of it.  A group posts its prefix once per task; postings travel as packed arrays, split by shingle.
+3. Groups with a common shingle, sizes within 0.8, and the shingle at places that leave room for enough others, are
+   candidates.  A run of groups that share a shingle is paired off in full up to ``RUN``; in a longer run each meets one
+   pivot first.
+4. Pairs of groups are expanded to pairs of their nodes, and the nodes of one group paired, where that gives at most
+   ``RUN * RUN`` pairs.  Larger ones are runs of nodes, like the long runs of step 3, whose groups are expanded too.
+5. Candidates are verified on whole sets.
+6. What these links leave of a long run in different components is paired in later rounds: with a pivot, then, for what is
+   still apart, all of it.  Links inside a component are not looked for, as they change no component.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, rows_of, table, texts, written
+from .common import discard, release, rows_of, table, texts, trimmed, written
 from .components import components
 from .shingling import set_hash, shingle_sets
 from .tokenizing import forget
@@ -31,11 +33,13 @@ from .tokenizing import forget
 SKETCH, SLICES = 20, 64
 RUN = 24
 #: Rounds of pivots before everything left in a long run is paired.
-ROUNDS = 2
+ROUNDS = 1
+#: Parts that the members of a hot shingle are dealt out in.
+SALTS = 16
 #: Postings a task gathers before it hands them on, and parts they are split into per shuffle partition.
 FLUSH, PARTS = 1 << 18, 4
 #: Members of a long run compared at a time, and in one task.
-TILE, BLOCK = 128, 20_000
+TILE, BLOCK = 128, 2048
 #: Names of nodes, of about 30 bytes, that are sent to every executor at most.
 FEW = 100_000
 #: Documents a task turns into sets at a time.
@@ -59,22 +63,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_pass(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: ``doc_id, n, h`` of every document; of kind 1: a slice of the task's bucket counts, compressed."""
+    """Slices of each task's bucket counts, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH, np.uint32)
-        names = ["kind", "doc_id", "n", "h", "counts"]
         for batch in slices(batches):
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
-            n = len(sets)
-            yield pa.record_batch([pa.array([0] * n, pa.int32()), batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.nulls(n, pa.binary())], names)
         width = len(counts) // SLICES
         packed = [zlib.compress(counts[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
-        yield pa.record_batch([pa.array([1] * SLICES, pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([0] * SLICES, pa.int64()), pa.array(packed, pa.binary())], names)
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["n", "counts"])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n int, h long, counts binary")
+    return docs.select("text").mapInArrow(trimmed(run), "n int, counts binary")
 
 
 def bucket_counts(first: DataFrame) -> np.ndarray:
@@ -89,7 +90,7 @@ def bucket_counts(first: DataFrame) -> np.ndarray:
                 own += np.frombuffer(zlib.decompress(packed), np.uint32)
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], ["n", "counts"])
 
-    slices = first.where("kind = 1").select("n", "counts").repartition(SLICES, "n").mapInArrow(add, "n int, counts binary").collect()
+    slices = first.repartition(SLICES, "n").mapInArrow(add, "n int, counts binary").collect()
     out = np.zeros(1 << SKETCH, np.uint32)
     for r in slices:
         out[r.n * width : (r.n + 1) * width] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
@@ -97,7 +98,8 @@ def bucket_counts(first: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
-    """``part, payload``: shingle, set hash, set size and place in the order of every prefix entry, as four arrays one after another."""
+    """Rows of ``part, payload``: shingle, prefix hash, set size and place in the order of every prefix entry, as four arrays
+    one after another; and, with a null part, ``doc_id, n, g, h`` of every document: size and hashes of prefix and set."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,27 +120,36 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             keys, at = np.unique(part[order], return_index=True)
             ends = [*at[1:], len(token)]
             payload = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() + place[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
-            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(payload, pa.binary())], ["part", "payload"])
+            k = len(keys)
+            return pa.record_batch([pa.array(keys, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
 
         for batch in slices(batches):
+            own = []
             for s in shingle_sets(batch.column(batch.schema.get_field_index("text"))):
                 if not len(s):
+                    own.append((0, 0, 0))
                     continue
-                key = (len(s), set_hash(s))
+                order = np.lexsort((s, heat[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))[: prefix_length(len(s))]
+                prefix = s[order]
+                key = (len(s), set_hash(np.sort(prefix)))
+                own.append((*key, set_hash(s)))
                 if key in seen:
                     continue
                 if len(seen) < 1 << 16:
                     seen.add(key)
-                order = np.lexsort((s, heat[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))[: prefix_length(len(s))]
-                held.append((s[order], key[1], key[0]))
+                held.append((prefix, key[1], key[0]))
                 size += len(order)
                 if size >= FLUSH:
                     yield flush()
                     held, size = [], 0
+            if own:
+                n, g, h = zip(*own, strict=True)
+                yield pa.record_batch([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int32()), pa.array(g, pa.int64()), pa.array(h, pa.int64())], names)
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part long, payload binary")
+    names = ["part", "payload", "doc_id", "n", "g", "h"]
+    return docs.mapInArrow(trimmed(run), "part long, payload binary, doc_id long, n int, g long, h long")
 
 
 PAIRS = "kind int, token long, na int, ha long, nb int, hb long"
@@ -227,7 +238,7 @@ def candidates(posted: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return posted.mapInArrow(run, PAIRS)
+    return posted.mapInArrow(trimmed(run), PAIRS)
 
 
 def node(n: str, h: str):
@@ -259,7 +270,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def check(column: str, kind: type):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = np.dtype(kind).itemsize
-            for batch in batches:
+            for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
                 out = []
                 for a, b, x, y in zip(*rows_of(batch, "a", "b", "x", "y"), strict=True):
                     both = shared(x, y, kind)
@@ -270,7 +281,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         def step(rows: DataFrame) -> DataFrame:
             sets = those_of(rows, column)
             left = rows.join(sets.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
-            return left.join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+            return left.join(sets.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a string, b string")
 
         return step
 
@@ -341,7 +352,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["node", "brief", "members"])
 
-    found = written(docs.mapInArrow(run, "node string, brief binary, members binary"), "members")
+    found = written(docs.mapInArrow(trimmed(run), "node string, brief binary, members binary"), "members")
     told = found.groupBy("node").count().agg(F.sum("count").alias("n"), F.count("*").alias("d"), F.max("count").alias("most")).first()
     if not told.n or told.most <= 4 and told.n <= 1.05 * told.d:
         return found  # a few nodes twice: their pairs are verified twice and count once
@@ -363,25 +374,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int, *names: str) -> Iterator[
         yield held
 
 
-def pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """From members ``token, n, h, place, label`` of long runs, pairs of one member of each run with those of other labels."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[np.ndarray]] = []
-        for held in runs(batches, 1, "token", "n", "h", "place", "label"):
-            token, n, h, place, label = (np.array(c) for c in zip(*held, strict=True))
-            i = (int(token[0]) + 7919 * turn) % len(n)
-            j = np.flatnonzero(label != label[i])
-            j = j[may_link(n[j], place[j], np.full(len(j), n[i]), np.full(len(j), place[i]))]
-            found.append([np.full(len(j), n[i]), np.full(len(j), h[i]), n[j], h[j]])
-        if found:
-            columns = _unique(*(np.concatenate(c) for c in zip(*found, strict=True)))
-            yield _rows(0, np.zeros(len(columns[0]), np.uint64), *columns)
-
-    parts = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return apart.repartition(parts, "token").sortWithinPartitions("token", "n", "h").select("token", "n", "h", "place", "label").mapInArrow(run, PAIRS)
-
-
 def incidence(briefs: list[np.ndarray], of: np.ndarray) -> np.ndarray:
     """How often each text has each value of the sorted array ``of``."""
     flat = np.concatenate(briefs)
@@ -445,7 +437,52 @@ def all_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumns({"x": F.least("block", "z"), "y": F.greatest("block", "z")})
     parts = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("token", "x", "y", "n", "h", "place", "label", "block", "brief").repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "h")
-    return dealt.mapInArrow(run, PAIRS)
+    return dealt.mapInArrow(trimmed(run), PAIRS)
+
+
+def expanded(found: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of nodes, and members ``token, n, h, place, node`` of long runs, from candidates among groups.
+
+    groups: ``g, n, h, node``, a row for each node, with ``size``, the number of nodes of its group.
+    """
+    gpairs = found.where("kind = 0").select(node("na", "ha").alias("ga"), node("nb", "hb").alias("gb")).select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct()
+    left, right = (groups.select(F.col("g").alias(f"g{x}"), F.col("node").alias(x)) for x in "ab")
+    sizes = groups.groupBy("g").agg(F.max("size").alias("size")).where("size > 1")
+    told = gpairs.join(sizes.select(F.col("g").alias("ga"), F.col("size").alias("sa")), "ga", "left").join(sizes.select(F.col("g").alias("gb"), F.col("size").alias("sb")), "gb", "left")
+    told = written(told.select("ga", "gb", (F.coalesce("sa", F.lit(1)) * F.coalesce("sb", F.lit(1))).alias("product")), "group-pairs")
+    few = told.where(F.col("product") <= RUN * RUN)
+    pairs = few.join(left, "ga").join(right, "gb").select("a", "b")
+    several = groups.where("size > 1")
+    inside = several.where(F.col("size") <= RUN)
+    pairs = pairs.unionByName(inside.select("g", F.col("node").alias("a")).join(inside.select("g", F.col("node").alias("b")), "g").where("a < b").select("a", "b"))
+    member = lambda rows, token, place: rows.select(token.alias("token"), "n", "h", place.alias("place"), "node")
+    first = F.lit(0)  # a place that rules nothing out
+    whole = member(several.where(F.col("size") > RUN), F.xxhash64("g"), first)
+    both = told.where(F.col("product") > RUN * RUN).select(F.explode(F.array("ga", "gb")).alias("g"), F.xxhash64("ga", "gb").alias("token"))
+    both = member(both.join(groups, "g"), F.col("token"), first)
+    runs_ = found.where("kind = 1").select("token", node("na", "ha").alias("g"), F.col("nb").alias("place"))
+    long = member(runs_.join(groups, "g"), F.col("token"), F.col("place"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), written(long.unionByName(whole).unionByName(both), "run-members")
+
+
+def apart_of(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of runs that are in several components, with the run's length ``m`` and one of them, ``pivot``.
+
+    Runs are summed up before they are dealt out, and meet their members again in ``SALTS`` parts.
+    """
+    told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pivot = F.min_by(F.struct("n", "place", "node", "label"), F.xxhash64("node", F.lit(turn)))
+    split = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), pivot.alias("pivot")).where("lo <> hi").select("token", "m", "pivot")
+    split = split.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return told.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).select("token", "m", "pivot", "n", "h", "place", "node", "label")
+
+
+def pivot_pairs(apart: DataFrame) -> DataFrame:
+    """Pairs of each member with its run's pivot, if they may link and are in different components."""
+    na, nb = F.col("n").cast("long"), F.col("pivot.n").cast("long")
+    k = F.ceil(80 * (na + nb) / 180)
+    fits = (F.col("label") != F.col("pivot.label")) & (F.col("place") <= na - k) & (F.col("pivot.place") <= nb - k) & (10 * F.least(na, nb) >= 8 * F.greatest(na, nb))
+    return apart.where(fits).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -457,32 +494,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = texts(docs)
-    first = written(sets_pass(own), "sets")
-    ids = first.where("kind = 0").select("doc_id", "n", node("n", "h").alias("node"))
+    first = written(sets_pass(own), "counts")
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = postings(own, bucket_counts(first), parts).repartition(parts // PARTS, "part").sortWithinPartitions("part")
-    found = written(candidates(posted), "candidates")
-    nodes = ids.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = found.where("kind = 1").select("token", F.col("na").alias("n"), F.col("ha").alias("h"), F.col("nb").alias("place"), node("na", "ha").alias("node"))
-    pairs = lambda f: f.where("kind = 0").select(node("na", "ha").alias("a"), node("nb", "hb").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    todo = written(pairs(found), "pairs")
+    posted = written(postings(own, bucket_counts(first), parts), "postings")
+    ids = posted.where("part IS NULL").select("doc_id", "n", node("n", "h").alias("node"), node("n", "g").alias("g"), "h")
+    found = written(candidates(posted.where("part IS NOT NULL").select("part", "payload").repartition(parts // PARTS, "part").sortWithinPartitions("part")), "candidates")
+    each = written(ids.where("n > 0").groupBy("node", "g", "n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    sizes = each.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    nodes = written(each.join(sizes, "g", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "groups")
+    discard(spark, each)
+    pairs, members = expanded(found, nodes)
+    todo = written(pairs, "pairs")
     wanted = todo.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     release(spark)
-    sets = sets_of(own, nodes.join(wanted, "node"))
+    sets = sets_of(own, nodes.select("node", "doc_id").join(wanted, "node"))
     links = verify(todo, sets)
     labels = written(components(links), "labels")
     left, before = members, None  # members of the runs that are still apart: what is joined never comes apart again
     for turn in range(ROUNDS + 1):
-        told = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
-        apart = written(told.join(split, "token").select("token", "m", "n", "h", "place", "node", "label"), "apart")
+        apart = written(apart_of(left, labels, turn), "apart")
         if before is not None:
             discard(spark, before)
-        left, before = apart.drop("m", "label"), apart
+        left, before = apart.drop("m", "label", "pivot"), apart
         if apart.isEmpty():
             break
-        todo = written(pairs(all_pairs(apart, sets) if turn == ROUNDS else pivot_pairs(apart, turn)), "pairs")
+        if turn == ROUNDS:
+            every = all_pairs(apart, sets).where("kind = 0").select(node("na", "ha").alias("a"), node("nb", "hb").alias("b"))
+            todo = written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        else:
+            todo = written(pivot_pairs(apart), "pairs")
         more = verify(todo, sets)
         if not more.isEmpty():
             links = written(links.unionByName(more), "links")
@@ -493,7 +533,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.join(labels, "node", "left").join(linked, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = ids.join(placed, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = written(out, "near-duplicates")
-    discard(spark, first, found, sets, links, labels)
+    discard(spark, first, posted, found, nodes, members, sets, links, labels)
     return out
 
 

@@ -12,7 +12,8 @@
    ``RUN * RUN`` pairs.  Larger ones are runs of nodes, like the long runs of step 3, whose groups are expanded too.
 5. Candidates are verified on whole sets.
 6. What these links leave of a long run in different components is paired in later rounds: with a pivot, then, for what is
-   still apart, all of it.  Links inside a component are not looked for, as they change no component.
+   still apart, all of it.  Links inside a component are not looked for, as they change no component, and of links found
+   between two components one is kept.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .tokenizing import forget
 SKETCH, SLICES = 20, 64
 RUN = 24
 #: Rounds of pivots before everything left in a long run is paired.
-ROUNDS = 1
+ROUNDS = 3
 #: Parts that the members of a hot shingle are dealt out in.
 SALTS = 16
 #: Postings a task gathers before it hands them on, and parts they are split into per shuffle partition.
@@ -477,6 +478,14 @@ def apart_of(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return told.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).select("token", "m", "pivot", "n", "h", "place", "node", "label")
 
 
+def between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One of the links between each two components: the others would only make stars of these larger."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    told = links.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+    two = [F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")]
+    return told.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+
+
 def pivot_pairs(apart: DataFrame) -> DataFrame:
     """Pairs of each member with its run's pivot, if they may link and are in different components."""
     na, nb = F.col("n").cast("long"), F.col("pivot.n").cast("long")
@@ -525,7 +534,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             todo = written(pivot_pairs(apart), "pairs")
         more = verify(todo, sets)
         if not more.isEmpty():
-            links = written(links.unionByName(more), "links")
+            links = written(links.unionByName(between(more, labels)), "links")
             labels = written(components(links), "labels")
         discard(spark, todo, more)
         release(spark)

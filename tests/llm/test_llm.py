@@ -162,6 +162,25 @@ def test_token_counts_follow_edits(spark, docs):
     assert sorted(got) == sorted(want)
 
 
+def test_stored_trees_take_edits_without_encoding_the_text_again(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE[0]))
+    count = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    rows = [(1, LONG, [(100, 5, "new words"), (9000, 0, " x")]), (1, "a b", [(0, 9, "")]), (None, None, [(0, None, None)]), (2, "y" * 4000, None), (3, "", [(0, 0, "z z")])]
+    docs = spark.createDataFrame([(*r, 5, ["l"]) for r in rows], "doc_id long, text string, edits array<struct<at:long,n_deleted:long,inserted:string>>, tokens int, leaves array<string>")
+    path = scratch(spark, "trees")
+    token_counts.build_trees(docs).write.parquet(path)
+    edited = token_counts.apply_edits(spark.read.parquet(path)).collect()
+    for row in edited:
+        text, edits = next((t or "", e) for d, t, e in rows if d == row.doc_id and count(t or "") == row.n_tokens)
+        for at, n, new in edits or []:
+            text = text[:at] + (new or "") + text[at + (n or 0) :]
+        assert "".join(row.leaves) == text and row.n_tokens_edited == count(text) == row.tokens[1] and row.chars[1] == len(text)
+        assert row.n_chars_encoded <= 4 * 2 * token_counts.LEAF or len(text) < 5000
+    again = spark.createDataFrame([(*r[:4], [(50, 3, "again")]) for r in edited], token_counts.TREES)
+    assert sorted(r.n_tokens for r in token_counts.apply_edits(again).collect()) == sorted(r.n_tokens_edited for r in edited)
+    assert token_counts.count_with_edits(docs.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "x mit license y Apache License, apache  license"), (3, None), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, "nothing of the kind " * 50), (7, licenses.TEMPLATES[12][1])]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

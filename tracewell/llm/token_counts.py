@@ -1,8 +1,11 @@
-"""Token counts that follow edits: a segment tree of pre-token segments per document.
+"""Token counts that follow edits: a segment tree of pre-token segments per document, kept as a row of a table.
 
 A leaf is about ``LEAF`` characters, cut where white space follows a character that is none: no pre-token crosses such
 a place, and whether it is one depends on the two characters beside it alone.  An edit therefore needs only its own
 leaves and one neighbour on either side encoded again; the sums on the way to the root follow.
+
+``build_trees`` encodes every text once.  What it gives can be written and read again; ``apply_edits`` takes leaves and
+sums as they are stored, encodes what edits touch, and gives trees to store in turn.
 """
 
 from __future__ import annotations
@@ -14,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, table, texts
+from .common import discard, rows_of, table, texts, trimmed, written
 from .tokenizing import BYTE_BPE, WHITE, ChunkEncoder, encoder
 
 LEAF = 512
 _CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+EDITS = "array<struct<at:int,n_deleted:int,inserted:string>>"
+TREES = f"doc_id long, leaves array<string>, tokens array<int>, chars array<int>, edits {EDITS}"
+EDITED = "doc_id long, leaves array<string>, tokens array<int>, chars array<int>, n_tokens long, n_tokens_edited long, n_edits long, n_chars_encoded long"
+COUNTS = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_chars_encoded"]
 
 
 def leaves_of(text: str, size: int = LEAF) -> list[str]:
@@ -47,6 +54,13 @@ class CountTree:
             self._sum(i)
         self.encoded = 0
 
+    @classmethod
+    def stored(cls, leaves: list[str], tokens: list[int], chars: list[int]) -> CountTree:
+        """A tree as it was stored; nothing is encoded or summed."""
+        tree = cls.__new__(cls)
+        tree.width, tree.leaves, tree.tokens, tree.chars, tree.encoded = len(leaves), leaves, tokens, chars, 0
+        return tree
+
     def _sum(self, i: int) -> None:
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -99,38 +113,71 @@ class CountTree:
     def count(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.leaves)
+
 
 def build(enc: ChunkEncoder, text: str) -> CountTree:
     leaves = leaves_of(text)
     return CountTree(leaves, [len(b) // 4 for b in enc.encode(leaves)])
 
 
-def count_with_edits(docs: DataFrame, tokenizer: tuple[str, bool] = BYTE_BPE) -> DataFrame:
-    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_chars_encoded`` for rows of ``doc_id, text, edits``.
+def _tree_columns(ids: list, trees: list[CountTree]) -> list[pa.Array]:
+    sums = pa.list_(pa.int32())
+    return [pa.array(ids, pa.int64()), pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.tokens for t in trees], sums), pa.array([t.chars for t in trees], sums)]
 
-    edits: array of ``(at, n_deleted, inserted)`` in code points, each applied to the text the ones before it left.
-    Null text is empty, null edits are none, null fields of an edit are 0 or empty.  Texts without white space are one
-    leaf.  Each row of the input has one row; an empty table gives none.
+
+def build_trees(docs: DataFrame, tokenizer: tuple[str, bool] = BYTE_BPE) -> DataFrame:
+    """A tree for each row of ``doc_id, text`` and perhaps ``edits``, which are carried along.
+
+    Null text is empty: one empty leaf.  Texts without white space are one leaf.  Null and repeated ids stay as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, text, edits = rows_of(batch.slice(lo, 256), "doc_id", "text", "edits")
+            for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                ids, text = rows_of(part, "doc_id", "text")
                 leaves = [leaves_of(t) for t in text]
                 counts = iter([len(b) // 4 for b in enc.encode([x for own in leaves for x in own])])
-                rows = []
-                for doc_id, own, changes in zip(ids, leaves, edits, strict=True):
-                    tree = CountTree(own, [next(counts) for _ in own])
-                    before = tree.count
+                trees = [CountTree(own, [next(counts) for _ in own]) for own in leaves]
+                yield pa.record_batch([*_tree_columns(ids, trees), part.column(part.schema.get_field_index("edits"))], ["doc_id", "leaves", "tokens", "chars", "edits"])
+
+    edits = F.col("edits") if "edits" in docs.columns else F.lit(None)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), edits.cast(EDITS).alias("edits"))
+    return own.mapInArrow(trimmed(run), TREES)
+
+
+def apply_edits(trees: DataFrame, tokenizer: tuple[str, bool] = BYTE_BPE) -> DataFrame:
+    """Trees after their ``edits``, with ``n_tokens`` before, ``n_tokens_edited`` after, ``n_edits`` and ``n_chars_encoded``.
+
+    edits: array of ``(at, n_deleted, inserted)`` in code points, each applied to the text the ones before it left.  Null
+    edits are none, null fields of an edit are 0 or empty.  Each row of the input has one row; an empty table gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(*tokenizer)
+        for batch in batches:
+            for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                ids, leaves, tokens, chars, edits = rows_of(part, "doc_id", "leaves", "tokens", "chars", "edits")
+                own = [CountTree.stored(*t) for t in zip(leaves, tokens, chars, strict=True)]
+                before = [t.count for t in own]
+                for tree, changes in zip(own, edits, strict=True):
                     for e in changes or []:
                         tree.edit(enc, e["at"] or 0, e["n_deleted"] or 0, e["inserted"] or "")
-                    rows.append((doc_id, before, tree.count, len(changes or []), tree.encoded))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_chars_encoded"])
+                told = [before, [t.count for t in own], [len(c or []) for c in edits], [t.encoded for t in own]]
+                yield pa.record_batch([*_tree_columns(ids, own), *[pa.array(c, pa.int64()) for c in told]], ["doc_id", "leaves", "tokens", "chars", *COUNTS[1:]])
+
+    return trees.select("doc_id", "leaves", "tokens", "chars", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(trimmed(run), EDITED)
 
-    kept = texts(docs).withColumn("edits", F.lit(None)) if "edits" not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "edits")
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_edits long, n_chars_encoded long")
+
+def count_with_edits(docs: DataFrame, tokenizer: tuple[str, bool] = BYTE_BPE) -> DataFrame:
+    """``doc_id, n_tokens, n_tokens_edited, n_edits, n_chars_encoded`` for rows of ``doc_id, text, edits``, by way of stored trees."""
+    trees = written(build_trees(docs, tokenizer), "count-trees")
+    out = written(apply_edits(trees, tokenizer).select(*COUNTS), "token-counts")
+    discard(docs.sparkSession, trees)
+    return out
 
 
 def with_edits(docs: DataFrame) -> DataFrame:

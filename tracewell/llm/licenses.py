@@ -121,7 +121,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for each row.
 
     Null text is empty: no words, no places, null first and last word, empty labels, score 0.  Null and repeated ids
-    stay as they are; columns other than ``doc_id`` and ``text`` are not read.
+    stay as they are; columns other than ``doc_id`` and ``text`` are not read.  Texts of any length are read whole.  An
+    empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,7 +227,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find_pii(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row; null text is empty and has none.
 
-    Null and repeated ids stay as they are; columns other than ``doc_id`` and ``text`` are not read.
+    Null and repeated ids stay as they are; columns other than ``doc_id`` and ``text`` are not read.  Texts of any length
+    are searched whole; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

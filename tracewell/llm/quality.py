@@ -88,7 +88,8 @@ def _fails(rules: tuple) -> Column:
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: its ``doc_id``, the measures, ``base_failed`` and ``kept``.
 
-    Null text has no words and fails; null and repeated ids stay as they are; other columns are not read.
+    Null text has no words and fails; null and repeated ids stay as they are; other columns are not read.  Texts of any
+    length are measured whole; an empty table gives no rows.
     """
     rows = _measured(texts(docs)).withColumn("base_failed", _fails(BASE_RULES))
     return rows.withColumn("kept", ~F.col("base_failed") & ~_fails(RULES)).select("doc_id", *MEASURES, "base_failed", "kept")

@@ -68,6 +68,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, rules_version: str = RU
     """``path, version, blob, found`` for every row of ``path, version, text``; the ledger gains what was new.
 
     Null text is the empty blob; null paths and versions are kept; repeated rows give repeated rows; no row gives none.
+    Texts of any length are scanned whole; other columns are not read.
     A scan that is lost half-way leaves the ledger without the part that was being appended, which is scanned again.
     """
     spark = versions.sparkSession

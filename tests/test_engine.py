@@ -257,6 +257,41 @@ def test_ingest_and_ask(spark, tmp_path):
     assert "device_wide_crash_evidence" in bundle and "device_wide_wifi_evidence" not in bundle and error is None and bundle in report_text
 
 
+def test_radio_headers(spark):
+    frame = bytes([0x80, 8]) + b"\0\0" + b"\xff" * 6 + bytes.fromhex("aabbccddeeff") * 2 + b"\0" * 14 + b"\x03\x01\x06\0\x02a\xff"
+    two = struct.pack("<HII", 31, 0xFFFFFFFF & (1 << 31 | 0b101111), 0) + b"\0" * 4 + b"\x01" * 8 + b"\x02" + b"\x03" + b"\x04" * 4 + bytes([200])  # signal behind clock, flags and channel
+    two = b"\0\0" + two
+    cases = {
+        1: (127, RADIO + bytes([196]) + frame), 2: (105, frame), 3: (127, RADIO[:6]), 4: (127, RADIO), 5: (127, b""), 6: (127, None),
+        7: (127, b"\0\0" + struct.pack("<HI", 12, 1 << 31) + b"\0" * 3), 8: (127, RADIO + bytes([196]) + frame[:12]), 9: (127, RADIO + bytes([196]) + frame[:-1]), 10: (127, two[:31]),
+    }
+    rows = spark.createDataFrame([(1, k, *v) for k, v in cases.items()], "capture_id long, rec_no long, linktype int, payload binary")
+    got = {r.rec_no: tuple(r)[2:] for r in packets.wireless_frames(rows).collect()}
+    whole = (0, 8, True, "aa:bb:cc:dd:ee:ff", "a\ufffd")
+    assert got[1] == (-60, *whole) and got[2] == (None, *whole)
+    assert all(got[k] == (None,) * 6 for k in (3, 4, 5, 6, 7))
+    assert got[8] == (-60, 0, 8, True, None, None) and got[9] == (-60, *whole[:4], None)
+    assert got[10][0] == -56
+    assert packets.wireless_frames(rows.limit(0)).count() == 0
+
+
+def test_damaged_archives(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(archive())
+    (tmp_path / "b.zip").write_bytes(b"PK nothing")
+    bad = bytearray(archive())
+    at = bad.index(b"Subject: Process")
+    bad[at : at + 7] = b"subject"  # stored as it is, so its checksum no longer fits
+    (tmp_path / "c.zip").write_bytes(bytes(bad))
+    empty = io.BytesIO()
+    with zipfile.ZipFile(empty, "w") as z:
+        z.writestr("other.txt", "x")
+    (tmp_path / "d.zip").write_bytes(empty.getvalue())
+    tables = parse_reports(spark, str(tmp_path), str(tmp_path / "staging-of-test"))
+    said = [r.warning for r in tables["warnings"].where("warning LIKE 'unreadable%'").orderBy("warning").collect()]
+    assert said[0] == "unreadable archive entry: anr_2026-01-02-03-04-05-678" and len(said) == 3 and all(w.startswith("unreadable report: ") for w in said[1:])
+    assert tables["crash_events"].count() == 2 and tables["anrs"].count() == 1
+
+
 def test_unsupported_file(spark, tmp_path):
     (tmp_path / "x.doc").write_text("x")
     with pytest.raises(Exception, match="unsupported capture file"):

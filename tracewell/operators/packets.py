@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,65 +62,99 @@ def packet_summary(records: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(t, "capture_id", "left").withColumns(zero).withColumn("linktype_name", link_type(F.col("linktype"))).withColumnRenamed("malformed", "malformed_packets")
 
 
-_SIZES = ((8, 8), (1, 1), (1, 1), (4, 2), (2, 2))
-
-
-def radio_header(p: bytes) -> tuple[int | None, int | None]:
-    """Signal strength and header length of a radiotap packet, each null where it cannot be told."""
-    if len(p) < 8:
-        return None, None
-    length, present = struct.unpack_from("<HI", p, 2)
-    at, word = 8, present
-    while word & 0x80000000:
-        if at + 4 > len(p):
-            return None, length
-        (word,) = struct.unpack_from("<I", p, at)
-        at += 4
-    for bit, (size, align) in enumerate(_SIZES):
-        if present >> bit & 1:
-            at += -at % align + size
-    if not present >> 5 & 1 or at >= len(p):
-        return None, length
-    return (p[at] ^ 0x80) - 0x80, length
-
-
-def network_name(p: bytes, start: int) -> str | None:
-    at = start + 36
-    while at + 2 <= len(p):
-        tag, size = p[at], p[at + 1]
-        if at + 2 + size > len(p):
-            return None
-        if tag == 0:
-            return p[at + 2 : at + 2 + size].decode("utf-8", "replace") if size else None
-        at += 2 + size
-    return None
+class Bytes:
+    """The payloads of a batch as one array, read at a place of each at a time."""
+
+    def __init__(self, payloads: pa.Array) -> None:
+        wide = payloads.cast(pa.large_binary())
+        _, ends, data = wide.buffers()
+        ends = np.frombuffer(ends, np.int64)[wide.offset : wide.offset + len(wide) + 1]
+        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        self.base, self.n = ends[:-1], np.diff(ends)
+
+    def at(self, place: np.ndarray | int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """One byte of each payload; -1 past its end."""
+        base, inside = self.base[rows], (place >= 0) & (place < self.n[rows])
+        return np.where(inside, self.data[np.where(inside, base + place, 0)].astype(np.int64), -1)
+
+
+def signal(p: Bytes) -> np.ndarray:
+    """Signal strength of radiotap packets; -999 where the header does not have it or is cut.
+
+    Fields follow the presence words, of which the top bit of each says that another follows.  Before the signal stand, so far
+    as the first word has their bits: 8 bytes at a multiple of 8, two single bytes, then 4 and 2 bytes at even places.
+    """
+    has = lambda i: p.at(4) >> i & 1
+    fields = np.full(len(p.n), 8)
+    whole = p.n >= 8
+    more = whole & (p.at(7) > 127)
+    while more.any():
+        whole &= ~more | (fields + 4 <= p.n)
+        further = more & whole & (p.at(fields + 3) > 127)
+        fields, more = fields + 4 * more, further
+    single = has(1) + has(2)
+    even = (has(3) | has(4)) * (single % 2)
+    value = p.at(fields + has(0) * (fields % 8 + 8) + single + even + has(3) * 4 + has(4) * 2)
+    return np.where(whole & (has(5) == 1) & (value >= 0), value - 256 * (value > 127), -999)
+
+
+def addresses(p: Bytes, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Six bytes of ``rows`` from ``place`` on as ``aa:bb:..``, each address put together once; null for the others."""
+    out = np.full(len(p.n), None, object)
+    rows = rows[place[rows] + 6 <= p.n[rows]]
+    code = sum(p.at(place[rows] + i, rows) << 8 * (5 - i) for i in range(6))
+    known, which = np.unique(code, return_inverse=True)
+    out[rows] = np.array([int(c).to_bytes(6, "big").hex(":") for c in known], object)[which]
+    return out
+
+
+def network_names(p: Bytes, place: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The text of the first tag 0 of the tagged parameters of ``rows``; null if it is empty or cut off, and for the others."""
+    out = np.full(len(p.n), None, object)
+    at, n = place[rows], p.n[rows]
+    live, found = at + 2 <= n, np.zeros(len(rows), bool)
+    size = np.zeros(len(rows), np.int64)
+    while live.any():
+        tag, size = p.at(at, rows), p.at(at + 1, rows)
+        live &= at + 2 + size <= n
+        found |= live & (tag == 0)
+        live &= tag != 0
+        at = np.where(live, at + 2 + size, at)
+        live &= at + 2 <= n
+    size = p.at(at + 1, rows)
+    for i in np.flatnonzero(found & (size > 0)):
+        first = p.base[rows[i]] + at[i] + 2
+        out[rows[i]] = p.data[first : first + size[i]].tobytes().decode("utf-8", "replace")
+    return out
+
+
+FRAMES = pa.schema([("capture_id", pa.int64()), ("rec_no", pa.int64()), ("rssi", pa.int32()), ("ftype", pa.int32()), ("subtype", pa.int32()), ("retry", pa.bool_()), ("addr2", pa.string()), ("ssid", pa.string())])
 
 
 def wireless_frames(records: DataFrame) -> DataFrame:
     """``rssi, ftype, subtype, retry, addr2, ssid`` of 802.11 packets of ``capture_id, rec_no, linktype, payload``.
 
-    Link type 105 has no radio header: its frames start at the first byte.
+    Link type 105 has no radio header: its frames start at the first byte.  An Arrow batch is decoded at once, as places that
+    depend on other bytes are dear in column expressions.
     """
-    names = ["capture_id", "rec_no", "rssi", "ftype", "subtype", "retry", "addr2", "ssid"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
-
-    def decode(p: bytes, link: int) -> tuple:
-        rssi, start = (None, 0) if link == 105 else radio_header(p)
-        if start is None or start + 2 > len(p):
-            return rssi, None, None, None, None, None
-        ftype, subtype = p[start] >> 2 & 3, p[start] >> 4
-        address = p[start + 10 : start + 16]
-        named = ftype == 0 and subtype in (5, 8)
-        return rssi, ftype, subtype, bool(p[start + 1] & 8), address.hex(":") if ftype == 0 and len(address) == 6 else None, network_name(p, start) if named else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, recs, links, payloads = (batch.column(i).to_pylist() for i in range(4))
-            rows = [(c, r, *decode(p, k)) for c, r, k, p in zip(ids, recs, links, payloads, strict=True)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return records.select("capture_id", "rec_no", "linktype", "payload").mapInArrow(run, "capture_id long, rec_no long, rssi int, ftype int, subtype int, retry boolean, addr2 string, ssid string")
+            p = Bytes(batch.column(3))
+            bare = batch.column(2).fill_null(-1).to_numpy(zero_copy_only=False) == 105
+            rssi = np.where(bare, -999, signal(p))
+            start = np.where(bare, 0, np.where(p.n >= 8, p.at(2) + 256 * p.at(3), -1))
+            known = (start >= 0) & (start + 2 <= p.n)
+            control, flags = p.at(start), p.at(start + 1)
+            ftype, subtype = control >> 2 & 3, control >> 4
+            managed = known & (ftype == 0)
+            addr2 = addresses(p, start + 10, np.flatnonzero(managed))
+            ssid = network_names(p, start + 36, np.flatnonzero(managed & np.isin(subtype, (5, 8))))
+            columns = [(rssi, rssi == -999), (ftype, ~known), (subtype, ~known), (flags & 8 != 0, ~known), (addr2, None), (ssid, None)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(v, t, mask=m) for (v, m), t in zip(columns, FRAMES.types[2:], strict=True)]], schema=FRAMES)
+
+    rows = records.select(F.col("capture_id").cast("long"), F.col("rec_no").cast("long"), "linktype", F.coalesce("payload", F.lit(b"")))
+    return rows.mapInArrow(run, "capture_id long, rec_no long, rssi int, ftype int, subtype int, retry boolean, addr2 string, ssid string")
 
 
 def wireless_analysis(frames: DataFrame) -> DataFrame:

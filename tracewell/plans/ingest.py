@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,30 @@ from . import evidence, summary
 MISSING = {n: f"section '{n}' not found in this capture" for n in WANTED if n != "preamble"}
 
 
-def parse_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def kept(rows: DataFrame, staging: str | None, name: str, *by: str) -> DataFrame:
+    """``rows`` as they are, or written below ``staging`` and read from there, a folder for each value of ``by``."""
+    if staging is None:
+        return rows
+    rows.write.partitionBy(*by).parquet(f"{staging}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{staging}/{name}").select(*rows.columns)
+
+
+def parse_reports(spark: SparkSession, path: str, staging: str | None = None) -> dict[str, DataFrame]:
     """Fact tables, by name, of every zip and text report below ``path``; ``warnings`` are facts too.
 
-    The lines of wanted sections are the one table that all parsers read; Spark prunes and fans out from there.
+    The lines of wanted sections are the one table that all parsers read; Spark prunes and fans out from there.  With
+    ``staging``, a shared folder, every archive is opened once for its lines and once for its other entries, and a parser
+    reads its own sections alone; without, each table opens the files anew.
     """
     found = files.files(spark, path)
-    report = files.report_lines(found)
-    lines = section_lines(report)
-    entries = files.archive_entries(found)
+    rows = kept(files.report_rows(found), staging, "report")
+    report = files.lines_of(rows)
+    lines = kept(section_lines(report), staging, "lines", "section")
+    entries = kept(files.archive_entries(found), staging, "entries", "role")
     rotated = files.rotated_lines(entries)
     of = lambda *names: lines.where(F.col("section").isin(*names))
     log = of("system_log")
-    hci = files.hci_records(entries)
+    hci = kept(files.hci_records(entries), staging, "hci")
     both = lambda parse, kind: facts.live_then_rotated(parse(log), parse(rotated), facts.KEYS[kind])
     packages = blocks.package_facts(of("package"))
     out = {
@@ -48,15 +60,17 @@ def parse_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     missing = reports.select("capture_id", F.explode(F.array(*[F.lit(n) for n in MISSING])).alias("section")).join(have, ["capture_id", "section"], "left_anti").join(wanted, "section")
     plain = reports.where("kind = '.txt'").select("capture_id", F.lit(files.TXT_WARNING).alias("warning"))
     no_hci = reports.where("kind = '.zip'").join(hci.select("capture_id"), "capture_id", "left_anti").select("capture_id", F.lit("no readable Bluetooth HCI log in this capture").alias("warning"))
-    out["warnings"] = reduce(DataFrame.unionByName, [missing.select("capture_id", "warning"), plain, no_hci])
+    damaged = rows.where("error IS NOT NULL").select("capture_id", F.concat(F.lit("unreadable report: "), "error").alias("warning"))
+    unread = entries.where("role = 'damaged'").select("capture_id", F.concat(F.lit("unreadable archive entry: "), "filename").alias("warning"))
+    out["warnings"] = reduce(DataFrame.unionByName, [missing.select("capture_id", "warning"), plain, no_hci, damaged, unread])
     return out
 
 
-def parse_packets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def parse_packets(spark: SparkSession, path: str, staging: str | None = None) -> dict[str, DataFrame]:
     """Totals and analysis of every packet capture below ``path``."""
     found = files.files(spark, path)
-    records = files.packet_records(found)
-    kinds = files.packet_files(found)
+    walk = kept(files.packet_walk(found), staging, "packets")
+    records, kinds = files.packets_of(walk), files.packet_files_of(walk)
     layered = records.join(kinds.select("capture_id", "linktype"), "capture_id")
     frames = packets.wireless_frames(layered.where(packets.layer_of(F.col("linktype")) == "802.11"))
     ethernet = packets.ethernet_packets(layered.where(packets.layer_of(F.col("linktype")) == "ethernet"))
@@ -77,7 +91,10 @@ def fact_counts(captures: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, store: str, device: str, investigation: str | None = None) -> DataFrame:
-    """Append all facts of the files below ``path`` to ``store``; the receipt: captures with the number of facts of each table and their warnings."""
+    """Append all facts of the files below ``path`` to ``store``; the receipt: captures with the number of facts of each table and their warnings.
+
+    What the files hold is staged in the store while tables are made of it.
+    """
     devices = facts.get_or_create(spark, store, "device", spark.createDataFrame([(device,)], "label string"))
     device_id = devices.where(F.col("label") == device).first().id
     found = files.files(spark, path)
@@ -87,14 +104,17 @@ def ingest(spark: SparkSession, path: str, store: str, device: str, investigatio
         made = facts.get_or_create(spark, store, "investigation", spark.createDataFrame([(investigation,)], "label string"))
         own = made.where(F.col("label") == investigation).first().id
         captures.select("capture_id", F.lit(own).alias("investigation_id")).write.mode("append").parquet(f"{store}/investigation_capture_link")
-    tables = parse_reports(spark, path)
-    more = parse_packets(spark, path)
+    staging = f"{store}/_staging-{uuid.uuid4().hex}"
+    tables = parse_reports(spark, path, staging)
+    more = parse_packets(spark, path, staging)
     tables["warnings"] = tables["warnings"].unionByName(more.pop("warnings"))
     for name, rows in (tables | more).items():
         facts.persist(rows, store, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     stored = spark.read.parquet(f"{store}/capture").join(found.select("capture_id"), "capture_id", "left_semi")
     stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in (tables | more) if n != "warnings"})
-    return stored.join(tables["warnings"].groupBy("capture_id").agg(F.sort_array(F.collect_list("warning")).alias("parse_warnings")), "capture_id", "left")
+    return stored.join(facts.stored(spark, store, "warnings").groupBy("capture_id").agg(F.sort_array(F.collect_set("warning")).alias("parse_warnings")), "capture_id", "left")
 
 
 class Store:

@@ -10,6 +10,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,11 @@ KINDS = (".zip", ".txt", ".pcap", ".pcapng")
 BATCH = 20_000
 
 
+LINES = pa.schema([("capture_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.string()), ("error", pa.string())])
+#: What a damaged archive raises.
+DAMAGED = (ValueError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """``capture_id, path, name, kind, content``; a file of another kind is an error when it is read."""
     raw = spark.read.format("binaryFile").load(path)
@@ -49,31 +55,46 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def report_lines(captures: DataFrame) -> DataFrame:
-    """``capture_id, line_no, line`` of the report in each zip or text file: split at ``\\n`` alone, counted from 1."""
+def report_rows(captures: DataFrame) -> DataFrame:
+    """``capture_id, line_no, line, error`` of the report in each zip or text file: split at ``\\n`` alone, counted from 1.
+
+    An archive that cannot be read gives a row with ``error`` alone, after the lines before its fault.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            if row["kind"] == ".zip":
-                archive = zipfile.ZipFile(io.BytesIO(row["content"]))
-                stream = archive.open(_main_entry(archive))
-            else:
-                stream = io.BytesIO(row["content"])
             held: list[str] = []
-            at = 1
-            for raw in stream:
-                held.append(raw.decode("utf-8", "replace").removesuffix("\n"))
-                if len(held) == BATCH:
-                    yield _lines(row["capture_id"], at, held)
-                    at, held = at + BATCH, []
+            at, error = 1, None
+            try:
+                content = io.BytesIO(row["content"])
+                if row["kind"] == ".zip":
+                    archive = zipfile.ZipFile(content)
+                    content = archive.open(_main_entry(archive))
+                for raw in content:
+                    held.append(raw.decode("utf-8", "replace").removesuffix("\n"))
+                    if len(held) == BATCH:
+                        yield _lines(row["capture_id"], at, held)
+                        at, held = at + BATCH, []
+            except DAMAGED as e:
+                error = str(e)
             if held:
                 yield _lines(row["capture_id"], at, held)
+            if error is not None:
+                yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "line_no": None, "line": None, "error": error}], LINES)
 
-    return captures.where("kind IN ('.zip', '.txt')").mapInArrow(run, "capture_id long, line_no long, line string")
+    return captures.where("kind IN ('.zip', '.txt')").mapInArrow(run, "capture_id long, line_no long, line string, error string")
+
+
+def report_lines(captures: DataFrame) -> DataFrame:
+    return lines_of(report_rows(captures))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    return rows.where("line_no IS NOT NULL").select("capture_id", "line_no", "line")
 
 
 def _lines(capture: int, at: int, lines: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([capture] * len(lines), pa.int64()), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], ["capture_id", "line_no", "line"])
+    return pa.record_batch([pa.array([capture] * len(lines), pa.int64()), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string()), pa.nulls(len(lines), pa.string())], schema=LINES)
 
 
 ENTRIES = pa.schema([("capture_id", pa.int64()), ("role", pa.string()), ("filename", pa.string()), ("modified_at", pa.string()), ("content", pa.binary())])
@@ -91,17 +112,27 @@ def _role(name: str) -> str | None:
 
 
 def archive_entries(captures: DataFrame) -> DataFrame:
-    """``capture_id, role, filename, modified_at, content`` of crash files, rotated logs and the first HCI log by preference."""
+    """``capture_id, role, filename, modified_at, content`` of crash files, rotated logs and the first HCI log by preference.
+
+    One that cannot be read has the role ``damaged`` and no content; an archive that cannot be opened has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            archive = zipfile.ZipFile(io.BytesIO(row["content"]))
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(row["content"]))
+            except DAMAGED:
+                continue  # report_rows says why
             names = set(archive.namelist())
             wanted = [(i, _role(i.filename)) for i in archive.infolist() if _role(i.filename)]
             wanted += [(archive.getinfo(HCI_FOLDER + n), "hci") for n in HCI_NAMES if HCI_FOLDER + n in names][:1]
             for info, role in wanted:
                 stamp = "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*info.date_time)
-                yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "role": role, "filename": info.filename.rpartition("/")[2], "modified_at": stamp, "content": archive.read(info)}], ENTRIES)
+                try:
+                    content = archive.read(info)
+                except DAMAGED:
+                    role, content = "damaged", None
+                yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "role": role, "filename": info.filename.rpartition("/")[2], "modified_at": stamp, "content": content}], ENTRIES)
 
     return captures.where("kind = '.zip'").mapInArrow(run, "capture_id long, role string, filename string, modified_at string, content binary")
 
@@ -126,9 +157,9 @@ def rotated_lines(entries: DataFrame) -> DataFrame:
 
 
 PACKETS = "capture_id long, rec_no long, micros long, incl_len long, orig_len long, payload binary"
-SUMMARY = "capture_id long, format string, linktype int, malformed long, error string"
 _NAMES = ["capture_id", "rec_no", "micros", "incl_len", "orig_len", "payload"]
 _TYPES = [pa.int64()] * 5 + [pa.binary()]
+WALK = pa.schema([*zip(_NAMES, _TYPES, strict=True), ("format", pa.string()), ("linktype", pa.int32()), ("malformed", pa.int64()), ("error", pa.string())])
 
 
 def snoop_records(data: bytes) -> Iterator[tuple]:
@@ -234,41 +265,46 @@ def _packed(capture: int, rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([capture] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, _TYPES[1:], strict=True)]], _NAMES)
 
 
-def packet_records(captures: DataFrame) -> DataFrame:
-    """Packets of each capture file; ``micros`` since the epoch.  A file that is no capture has none; ``packet_files`` says why."""
+def packet_walk(captures: DataFrame) -> DataFrame:
+    """Packets of each capture file, and at its end a row without ``rec_no`` that says what the file is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             held: list[tuple] = []
+            own, error = PacketFile(row["content"]), None
             try:
-                for record in PacketFile(row["content"]).records():
-                    held.append(record)
+                for record in own.records():
+                    held.append((*record, None, None, None, None))
                     if len(held) == BATCH:
-                        yield _packed(row["capture_id"], held)
+                        yield walked(row["capture_id"], held)
                         held = []
-            except ValueError:
-                pass
-            if held:
-                yield _packed(row["capture_id"], held)
+            except ValueError as e:
+                error = str(e)
+            yield walked(row["capture_id"], [*held, (None, None, None, None, None, own.format, own.linktype, own.malformed, error)])
 
-    return captures.where("kind IN ('.pcap', '.pcapng')").mapInArrow(run, PACKETS)
+    def walked(capture: int, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.record_batch([pa.array([capture] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, WALK.types[1:], strict=True)]], schema=WALK)
 
+    return captures.where("kind IN ('.pcap', '.pcapng')").mapInArrow(run, f"{PACKETS}, format string, linktype int, malformed long, error string")
 
-def packet_files(captures: DataFrame) -> DataFrame:
-    """``capture_id, format, linktype, malformed, error`` of each capture file; error: why it is none, else null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            own = PacketFile(row["content"])
-            error = None
-            try:
-                for _ in own.records():
-                    pass
-            except ValueError as e:
-                error = str(e)
-            yield pa.record_batch([pa.array([row["capture_id"]], pa.int64()), pa.array([own.format]), pa.array([own.linktype], pa.int32()), pa.array([own.malformed], pa.int64()), pa.array([error], pa.string())], ["capture_id", "format", "linktype", "malformed", "error"])
+def packets_of(walk: DataFrame) -> DataFrame:
+    return walk.where("rec_no IS NOT NULL").select(*_NAMES)
 
-    return captures.where("kind IN ('.pcap', '.pcapng')").mapInArrow(run, SUMMARY)
+
+def packet_files_of(walk: DataFrame) -> DataFrame:
+    return walk.where("rec_no IS NULL").select("capture_id", "format", "linktype", "malformed", "error")
+
+
+def packet_records(captures: DataFrame) -> DataFrame:
+    """Packets of each capture file; ``micros`` since the epoch.  A file that is no capture has none; ``packet_files`` says why."""
+    return packets_of(packet_walk(captures))
+
+
+def packet_files(captures: DataFrame) -> DataFrame:
+    """``capture_id, format, linktype, malformed, error`` of each capture file; error: why it is none, else null."""
+    return packet_files_of(packet_walk(captures))
 
 
 def hci_records(entries: DataFrame) -> DataFrame:

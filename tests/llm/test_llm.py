@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewell.llm import decontamination, licenses, near_duplicates, packing, pii, preferences, quality, secrets, token_counts, token_files
+from tracewell.llm import components, decontamination, licenses, near_duplicates, packing, pii, preferences, quality, secrets, token_counts, token_files
 from tracewell.llm.common import scratch
 from tracewell.llm.shingling import shingle_sets
 from tracewell.llm.tokenizing import BYTE_BPE, WORD_BPE, ChunkEncoder, encoder
@@ -370,6 +370,8 @@ def test_near_duplicates(spark, docs, monkeypatch):
         rows.append((i, " ".join(own)))
     monkeypatch.setattr(near_duplicates, "RUN", 3)
     monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    monkeypatch.setattr(near_duplicates, "AT_ONCE", 0)
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
     made = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
 
@@ -390,6 +392,24 @@ def test_groups_of_one_prefix_are_expanded(spark, monkeypatch, run):
     assert sorted(tuple(r) for r in near_duplicates.near_duplicates(made).collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    r = random.Random(3)
+    edges = [tuple(f"{x:04d}" for x in (r.randrange(300), r.randrange(300))) for _ in range(140)] + [(f"{i:04d}", f"{i + 1:04d}") for i in range(500, 540)]
+    root = {}
+    for a, b in edges:
+        for x in (a, b) if a != b else ():
+            root.setdefault(x, x)
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert sorted(map(tuple, got)) == sorted(root.items())
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_decontamination_of_hits_far_apart(spark):
     """Shared shingles at both ends of a long text, windows at its very end, columns of clashing names; against the SQL."""
     item = prose(30, 500)

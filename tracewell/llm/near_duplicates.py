@@ -12,8 +12,8 @@
    ``RUN * RUN`` pairs.  Larger ones are runs of nodes, like the long runs of step 3, whose groups are expanded too.
 5. Candidates are verified on whole sets.
 6. What these links leave of a long run in different components is paired in later rounds: with a pivot, then, for what is
-   still apart, all of it.  Links inside a component are not looked for, as they change no component, and of links found
-   between two components one is kept.
+   still apart, all of it.  Links inside a component are not looked for, as they change no component; those found join
+   components, not nodes.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ FLUSH, PARTS = 1 << 18, 4
 TILE, BLOCK = 128, 2048
 #: Names of nodes, of about 30 bytes, that are sent to every executor at most.
 FEW = 100_000
+#: Pairs whose whole sets are compared at once, as a pass over briefs would cost more than it spares.
+AT_ONCE = 4096
 #: Documents a task turns into sets at a time.
 DOCS = 1024
 
@@ -289,12 +291,14 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def those_of(rows: DataFrame, column: str) -> DataFrame:
         """The sets that the pairs name; so far as these are few, the others are passed over where they lie."""
         names = rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        names = F.broadcast(names) if names.count() <= FEW else names
+        names = F.broadcast(names) if 2 * rows.count() <= FEW or names.count() <= FEW else names
         return sets.select("node", column).join(names, "node", "left_semi")
 
-    likely = written(check("brief", np.uint16)(pairs), "likely")
+    at_once = pairs.count() <= AT_ONCE
+    likely = pairs if at_once else written(check("brief", np.uint16)(pairs), "likely")
     links = written(check("members", np.uint64)(likely), "links")
-    discard(pairs.sparkSession, likely)
+    if not at_once:
+        discard(pairs.sparkSession, likely)
     release(pairs.sparkSession)
     return links
 
@@ -478,12 +482,17 @@ def apart_of(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return told.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).select("token", "m", "pivot", "n", "h", "place", "node", "label")
 
 
-def between(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """One of the links between each two components: the others would only make stars of these larger."""
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` between their components, which alone are joined: what they join keeps its members."""
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    told = links.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
-    two = [F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")]
-    return told.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("x")).select("x.a", "x.b")
+    told = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(told)
+    onto = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    onto = F.broadcast(onto) if onto.count() <= FEW else onto
+    moved = labels.join(onto, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    out = written(moved.unionByName(joined.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+    discard(links.sparkSession, joined, labels)
+    return out
 
 
 def pivot_pairs(apart: DataFrame) -> DataFrame:
@@ -518,7 +527,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
     sets = sets_of(own, nodes.select("node", "doc_id").join(wanted, "node"))
     links = verify(todo, sets)
-    labels = written(components(links), "labels")
+    labels = components(links)
     left, before = members, None  # members of the runs that are still apart: what is joined never comes apart again
     for turn in range(ROUNDS + 1):
         apart = written(apart_of(left, labels, turn), "apart")
@@ -534,8 +543,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             todo = written(pivot_pairs(apart), "pairs")
         more = verify(todo, sets)
         if not more.isEmpty():
-            links = written(links.unionByName(between(more, labels)), "links")
-            labels = written(components(links), "labels")
+            labels = with_links(labels, more)
         discard(spark, todo, more)
         release(spark)
     linked = nodes.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))

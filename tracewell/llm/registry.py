@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, near_duplicates, packing, pii, preferences, quality, secrets, token_counts, token_files
+from . import decontamination, importance, licenses, near_duplicates, packing, pii, preferences, quality, secrets, simhash, token_counts, token_files, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_importance": importance.op12_importance,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": near_duplicates.oracle(), "op5_preferences": preferences.oracle(), "op10_decontamination": decontamination.oracle(), "op7_secret_scan": secrets.oracle(), "op9_quality_rules": quality.oracle()}
+    return {
+        "op3_near_duplicates": near_duplicates.oracle(),
+        "op5_preferences": preferences.oracle(),
+        "op7_secret_scan": secrets.oracle(),
+        "op9_quality_rules": quality.oracle(),
+        "op10_decontamination": decontamination.oracle(),
+        "op11_vector_codes": vector_codes.oracle(),
+        "op12_importance": importance.oracle(),
+    }

@@ -515,8 +515,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(sets_pass(own), "counts")
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = written(postings(own, bucket_counts(first), parts), "postings")
-    ids = posted.where("part IS NULL").select("doc_id", "n", node("n", "h").alias("node"), node("n", "g").alias("g"), "h")
     found = written(candidates(posted.where("part IS NOT NULL").select("part", "payload").repartition(parts // PARTS, "part").sortWithinPartitions("part")), "candidates")
+    ids = written(posted.where("part IS NULL").select("doc_id", "n", node("n", "h").alias("node"), node("n", "g").alias("g"), "h"), "ids")
+    discard(spark, first, posted)
+    release(spark)
     each = written(ids.where("n > 0").groupBy("node", "g", "n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sizes = each.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     nodes = written(each.join(sizes, "g", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "groups")
@@ -550,7 +552,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.join(labels, "node", "left").join(linked, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = ids.join(placed, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = written(out, "near-duplicates")
-    discard(spark, first, posted, found, nodes, members, sets, links, labels)
+    discard(spark, ids, found, nodes, members, sets, links, labels)
     return out
 
 

@@ -1,6 +1,7 @@
 """Parsers on short excerpts, capture files built here, and the plans over them."""
 
 import io
+import random
 import struct
 import zipfile
 
@@ -12,7 +13,9 @@ from tracewell.operators import blocks, facts, log_lines, packets
 from tracewell.operators.sections import section_intervals, section_lines
 from tracewell.plans import evidence, registry, summary
 from tracewell.plans.ingest import Store, ingest, parse_packets, parse_reports
-from tracewell.sources.captures import PacketFile, snoop_records
+from tracewell.sources import capture_source, captures, packet_walk
+from tracewell.sources.capture_source import starts_in
+from tracewell.sources.places import Bytes, opened
 from tracewell.streaming import captures as streams
 
 STAMP = "08-13 22:36:25.419"
@@ -188,16 +191,134 @@ DEAUTH = RADIO + bytes([176]) + bytes([0xC0, 0]) + b"\0\0" + b"\xff" * 6 + bytes
 RETRY = RADIO + bytes([216]) + bytes([0x08, 8]) + b"\0\0" + b"\x01" * 18
 
 
-def test_packet_files():
-    p = PacketFile(classic((b"abcd", 6), (b"ef", 2)))
-    assert [r[1:4] for r in p.records()] == [(1_700_000_000_000_000, 4, 6), (1_700_000_001_000_000, 2, 2)] and (p.linktype, p.malformed) == (127, 0)
-    p = PacketFile(classic((b"abcd", 6))[:-1])
-    assert list(p.records()) == [] and p.malformed == 1
-    p = PacketFile(blocks_of(b"abc") + b"\0" * 5)
-    assert [r[1:4] for r in p.records()] == [(1_700_000_000_500_000, 3, 5)] and (p.format, p.linktype, p.malformed) == ("pcapng", 1, 1)
-    assert len(list(snoop_records(snoop(b"\x01ab", b"\x04cd") + b"\0" * 30))) == 2
-    with pytest.raises(ValueError):
-        list(PacketFile(b"nothing here").records())
+def file_of(tmp_path, data, name="x"):
+    (tmp_path / name).write_bytes(data)
+    return Bytes(*opened(str(tmp_path / name)))
+
+
+def walked(file):
+    """All records of a file in one walk, and what is known behind them."""
+    state, at = packet_walk.head(file)
+    walk = packet_walk.Walk(file, state, at, file.length)
+    return list(walk.records()), state, int(walk.at == packet_walk.STOPPED)
+
+
+def test_packet_files(tmp_path):
+    records, state, malformed = walked(file_of(tmp_path, classic((b"abcd", 6), (b"ef", 2))))
+    assert records == [(1_700_000_000_000_000, 4, 6, b"abcd"), (1_700_000_001_000_000, 2, 2, b"ef")] and (state.linktype, malformed) == (127, 0)
+    assert walked(file_of(tmp_path, classic((b"abcd", 6))[:-1]))[::2] == ([], 1)
+    records, state, malformed = walked(file_of(tmp_path, blocks_of(b"abc") + b"\0" * 5))
+    assert records == [(1_700_000_000_500_000, 3, 5, b"abc")] and (state.format, state.linktype, malformed) == ("pcapng", 1, 1)
+    assert len(list(packet_walk.snoop_records(io.BytesIO(snoop(b"\x01ab", b"\x04cd") + b"\0" * 30)))) == 2
+    assert list(packet_walk.snoop_records(io.BytesIO(b"none"))) == []
+    later = blocks_of(b"abc") + struct.pack("<IIIHHqI", 0x0A0D0D0A, 28, 7, 1, 0, -1, 28) + blocks_of(b"def")[28 + 32 :]
+    assert [r[3] for r in walked(file_of(tmp_path, later))[0]] == [b"abc", b"def"]  # a later header of unknown byte order changes nothing
+    for bad in (b"nothing here", b"", blocks_of()[:27], b"\x0a\x0d\x0d\x0a" + b"\0" * 40):
+        with pytest.raises(packet_walk.NoCapture):
+            packet_walk.head(file_of(tmp_path, bad))
+
+
+def big_endian_section(*payloads):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack(">II", kind, len(body) + 12) + body + struct.pack(">I", len(body) + 12)
+
+    return block(0x0A0D0D0A, struct.pack(">IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(">HHI", 105, 0, 0)) + b"".join(block(6, struct.pack(">IIIII", 1, 0, 5, len(p), len(p)) + p) for p in payloads)
+
+
+def packet_cases():
+    r = random.Random(1)
+    some = [bytes(r.randrange(256) for _ in range(r.choice([0, 1, 4, 60, 90]))) for _ in range(40)]
+    plain = [(p, len(p)) for p in some]
+    inner = classic(*plain[:9])[24:]  # records within a payload look like borders
+    return {
+        "classic": classic(*plain), "cut": classic(*plain) + struct.pack("<IIII", 1, 1, 99, 99) + b"cut", "short": classic(*plain) + b"\1" * 9, "only head": classic(),
+        "nested": classic(*plain[:5], (inner, len(inner)), *plain[5:]), "odd": classic(*[(p, 0) for p in some]), "stopped early": classic(*plain[:4]) + struct.pack("<IIII", 1, 1, 1 << 31, 5) + classic(*plain)[24:],
+        "blocks": blocks_of(*some), "bad tail": blocks_of(*some) + b"\0" * 5, "two orders": blocks_of(*some[:9]) + big_endian_section(*some[9:20]) + blocks_of(*some[20:]),
+        "bad block": blocks_of(*some[:9]) + struct.pack("<II", 1, 16) + b"\0" * 4 + struct.pack("<I", 16) + blocks_of(*some), "nested blocks": blocks_of(some[1], blocks_of(*some[:12]), *some), "later interface": blocks_of(*some[:6]) + blocks_of(*some[6:])[28:],
+    }
+
+
+@pytest.mark.parametrize("name", sorted(packet_cases()))
+def test_packet_ranges_meet_at_every_cut(tmp_path, name):
+    """Ranges of any size give the records of one walk, their numbers, and where it stops."""
+    file = file_of(tmp_path, packet_cases()[name])
+    records, state, malformed = walked(file)
+    for size in (7, 16, 33, 100, 257, 1000, 1 << 20):
+        cuts = [{"start": a, "stop": min(a + size, file.length)} for a in range(0, file.length, size)]
+        ranges = list(packet_walk.met(file, [c | packet_walk.surveyed(file, c["start"], c["stop"]) for c in cuts]))
+        got = [r for m in ranges for r in packet_walk.Walk(file, m["state"], m["begin"], m["stop"]).records()]
+        assert got == records and sum(m["malformed"] for m in ranges) == malformed
+        assert [m["before"] for m in ranges] == [sum(m["packets"] for m in ranges[:i]) for i in range(len(ranges))]
+        assert ranges[-1]["after"].linktype == state.linktype
+
+
+def test_most_ranges_are_found_without_a_walk(tmp_path):
+    """A survey's guess is right nearly always, so that ranges are walked again seldom."""
+    r = random.Random(2)
+    some = [bytes(r.randrange(256) for _ in range(r.randrange(40, 200))) for _ in range(600)]
+    for data in (classic(*[(p, len(p)) for p in some]), blocks_of(*some)):
+        file = file_of(tmp_path, data)
+        cuts = [(a, min(a + 4096, file.length)) for a in range(0, file.length, 4096)]
+        surveys = [{"start": a, "stop": b} | packet_walk.surveyed(file, a, b) for a, b in cuts]
+        assert [s["begin"] for s in surveys][1:] == [m["begin"] for m in packet_walk.met(file, surveys)][1:]
+
+
+def test_packets_through_the_source(spark, tmp_path):
+    cases = packet_cases()
+    for name, data in cases.items():
+        (tmp_path / f"{name}.pcap").write_bytes(data)
+    (tmp_path / "none.pcapng").write_bytes(b"nothing")
+    names = {r.capture_id: r.name for r in captures.files(spark, str(tmp_path)).collect()}
+    got = {}
+    for r in captures.packet_records(spark, str(tmp_path), 120).orderBy("capture_id", "rec_no").collect():
+        got.setdefault(names[r.capture_id], []).append((r.rec_no, r.micros, r.incl_len, r.orig_len, bytes(r.payload)))
+    told = {names[r.capture_id]: (r.format, r.linktype, r.malformed, r.error) for r in captures.packet_files(spark, str(tmp_path), 120).collect()}
+    for name in cases:
+        records, state, malformed = walked(Bytes(*opened(str(tmp_path / f"{name}.pcap"))))
+        assert got.get(f"{name}.pcap", []) == [(i, *r) for i, r in enumerate(records)]
+        assert told[f"{name}.pcap"] == (state.format, state.linktype, malformed, None)
+    assert told["none.pcapng"] == ("pcap", -1, 0, "not a packet capture")
+
+
+TEXT = "one\r\n\r\nCafé €😀\nx\r\n\n日本\r\rz\n"
+
+
+@pytest.mark.parametrize("text", [TEXT, TEXT + "last", "", "\n", "a", "\n\nb"])
+def test_lines_at_every_cut(spark, tmp_path, text):
+    """Ranges of 1 byte and more, with borders inside line breaks and characters."""
+    data = text.encode()
+    file = file_of(tmp_path, data, "a.txt")
+    want = [x.decode() for x in data.split(b"\n")]
+    want = want[:-1] if want[-1] == "" else want
+    for size in range(1, 12):
+        cuts = [(a, min(a + size, len(data))) for a in range(0, max(len(data), 1), size)]
+        own = [list(capture_source.in_range(Bytes(*opened(str(tmp_path / "a.txt"))), a, b)) for a, b in cuts]
+        assert [x.decode() for some in own for x in some] == want and [len(x) for x in own] == [starts_in(file, a, b) for a, b in cuts]
+    for size in (3, 1 << 20):
+        got = captures.report_lines(spark, str(tmp_path / "a.txt"), size).orderBy("line_no").collect()
+        assert [(r.line_no, r.line) for r in got] == list(enumerate(want, 1))
+
+
+def test_source_prunes_and_streams(spark, tmp_path):
+    import tracemalloc
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("bugreport-a.txt", "line of some length\n" * 3_000_000)
+        z.writestr("FS/data/anr/anr_1", "a")
+        z.writestr("FS/data/tombstones/tombstone_1", "t")
+    options = {"path": str(tmp_path), "table": "lines", "roles": "report"}
+    reader = capture_source.CaptureReader(["at"], options)
+    tracemalloc.start()
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3_000_000
+    assert tracemalloc.get_traced_memory()[1] < 12 << 20  # the entry has 60 MB
+    tracemalloc.stop()
+    assert captures.captured(spark, str(tmp_path), "lines", "at").columns == ["at"]
+    entries = captures.archive_entries(spark, str(tmp_path))
+    assert [r.filename for r in entries.where("role = 'anr'").collect()] == ["anr_1"] and entries.count() == 2 and entries.where("role = 'damaged'").count() == 0
+    assert [r.role for r in captures.archive_entries(spark, str(tmp_path), "tombstone").collect()] == ["tombstone"]
+    reader = capture_source.CaptureReader(["content"], options | {"table": "entries", "roles": "anr"})
+    assert [u.role for p in reader.partitions() for u in p.units] == ["anr"]
 
 
 def report():

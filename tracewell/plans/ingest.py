@@ -29,18 +29,18 @@ def parse_reports(spark: SparkSession, path: str, staging: str | None = None) ->
     """Fact tables, by name, of every zip and text report below ``path``; ``warnings`` are facts too.
 
     The lines of wanted sections are the one table that all parsers read; Spark prunes and fans out from there.  With
-    ``staging``, a shared folder, every archive is opened once for its lines and once for its other entries, and a parser
-    reads its own sections alone; without, each table opens the files anew.
+    ``staging``, a shared folder, each kind of entry is read once, and a parser reads its own sections alone; without, each
+    table opens the files anew.
     """
     found = files.files(spark, path)
-    rows = kept(files.report_rows(found), staging, "report")
+    rows = kept(files.report_rows(spark, path), staging, "report")
     report = files.lines_of(rows)
     lines = kept(section_lines(report), staging, "lines", "section")
-    entries = kept(files.archive_entries(found), staging, "entries", "role")
-    rotated = files.rotated_lines(entries)
+    entries = kept(files.archive_entries(spark, path), staging, "entries", "role")
+    rotated = kept(files.rotated_lines(spark, path), staging, "rotated")
     of = lambda *names: lines.where(F.col("section").isin(*names))
     log = of("system_log")
-    hci = kept(files.hci_records(entries), staging, "hci")
+    hci = kept(files.hci_records(spark, path), staging, "hci")
     both = lambda parse, kind: facts.live_then_rotated(parse(log), parse(rotated), facts.KEYS[kind])
     packages = blocks.package_facts(of("package"))
     out = {
@@ -68,9 +68,8 @@ def parse_reports(spark: SparkSession, path: str, staging: str | None = None) ->
 
 def parse_packets(spark: SparkSession, path: str, staging: str | None = None) -> dict[str, DataFrame]:
     """Totals and analysis of every packet capture below ``path``."""
-    found = files.files(spark, path)
-    walk = kept(files.packet_walk(found), staging, "packets")
-    records, kinds = files.packets_of(walk), files.packet_files_of(walk)
+    ranges = files.packet_ranges(spark, path)
+    records, kinds = kept(files.packets_of(ranges, path), staging, "packets"), files.packet_files_of(ranges)
     layered = records.join(kinds.select("capture_id", "linktype"), "capture_id")
     frames = packets.wireless_frames(layered.where(packets.layer_of(F.col("linktype")) == "802.11"))
     ethernet = packets.ethernet_packets(layered.where(packets.layer_of(F.col("linktype")) == "ethernet"))

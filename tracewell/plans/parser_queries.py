@@ -5,12 +5,6 @@ Blocks of several lines stand at ``10 * event_id + p``; lines that open a sectio
 
 from __future__ import annotations
 
-import io
-import struct
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +12,8 @@ from ..functions.expr import cut_detail, known
 from ..functions.lookups import FRAMES, HCI_STATUS, LINK_TYPE, WIFI_REASON, frame_label, link_type, wifi_reason
 from ..operators import blocks, packets
 from ..sources import captures as files
-from . import evidence, summary
+from ..sources.fields import exported_fields
+from . import evidence, fixtures, summary
 from .ingest import fact_counts
 from .registry import E, events, query, read
 
@@ -217,71 +212,37 @@ def decode_ethernet_packets(spark, d):
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i, len(x) AS n FROM l)
 SELECT doc_id AS capture_id, CAST(i AS BIGINT) AS line_no, line FROM p WHERE NOT (i = n AND line = '')""")
 def report_text_lines(spark, d):
-    own = read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("capture_id"), F.lit(".txt").alias("kind"), F.encode("text", "UTF-8").alias("content"))
-    return files.report_lines(own)
-
-
-def archives(spark, d) -> DataFrame:
-    """A zip for every document of an id divisible by 10: two reports at the root, of which the larger is read, a crash file, a hang file and a rotated log."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, text in (
-                        ("bugreport-a.txt", f"{row['text']}\nx"), ("bugreport-b.txt", "x"), ("FS/data/tombstones/tombstone_00", f"T{row['doc_id']}"), ("FS/data/tombstones/tombstone_00.pb", "no"),
-                        ("FS/data/anr/anr_2024", f"A{row['doc_id']}"), ("FS/data/misc/logd/logcat.01", f"08-13 22:36:25.419123 one {row['doc_id']}\ntwo"), ("FS/other", "no"),
-                    ):
-                        z.writestr(zipfile.ZipInfo(name, (2024, 1, 2, 3, 4, 6)), text)
-                yield pa.record_batch([pa.array([row["doc_id"]], pa.int64()), pa.array([".zip"]), pa.array([out.getvalue()], pa.binary())], ["capture_id", "kind", "content"])
+    folder = fixtures.texts(spark, read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), "text"))
+    return fixtures.keyed(spark, folder, files.report_lines(spark, folder, fixtures.RANGE))
 
-    return read(spark, d, "documents").where("text IS NOT NULL AND doc_id % 10 = 0").select("doc_id", "text").mapInArrow(run, "capture_id long, kind string, content binary")
 
-
-@query("""WITH l AS (SELECT doc_id, string_split(text || chr(10) || 'x', chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0)
+@query("""WITH l AS (SELECT doc_id, string_split(text || chr(10) || 'x', chr(10)) AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id AS capture_id, CAST(unnest(range(1, len(x) + 1)) AS BIGINT) AS line_no, unnest(x) AS line FROM l""")
 def archive_report_lines(spark, d):
-    return files.report_lines(archives(spark, d))
+    folder = fixtures.archives(spark, read(spark, d, "documents"))
+    return fixtures.keyed(spark, folder, files.report_lines(spark, folder))
 
 
-@query("""WITH c AS (SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0), r AS (SELECT * FROM (VALUES ('tombstone', 'tombstone_00'), ('anr', 'anr_2024')) AS v(role, filename))
+@query("""WITH c AS (SELECT doc_id FROM documents WHERE text IS NOT NULL), r AS (SELECT * FROM (VALUES ('tombstone', 'tombstone_00'), ('anr', 'anr_2024')) AS v(role, filename))
 SELECT doc_id AS capture_id, role, filename, '2024-01-02 03:04:06' AS modified_at, upper(role[1]) || doc_id AS text FROM c, r""")
 def archive_crash_files(spark, d):
-    entries = files.archive_entries(archives(spark, d))
+    folder = fixtures.archives(spark, read(spark, d, "documents"))
+    entries = fixtures.keyed(spark, folder, files.archive_entries(spark, folder))
     of = lambda role: files.entry_text(entries, role).withColumn("role", F.lit(role))
     return of("tombstone").unionByName(of("anr")).select("capture_id", "role", "filename", "modified_at", "text")
 
 
-@query("""WITH c AS (SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 0)
+@query("""WITH c AS (SELECT doc_id FROM documents WHERE text IS NOT NULL)
 SELECT doc_id AS capture_id, 'logcat.01' AS section, CAST(1 AS BIGINT) AS line_no, '08-13 22:36:25.419 one ' || doc_id AS line FROM c UNION ALL SELECT doc_id, 'logcat.01', 2, 'two' FROM c""")
 def archive_rotated_lines(spark, d):
-    return files.rotated_lines(files.archive_entries(archives(spark, d)))
-
-
-def packet_captures(spark, d) -> DataFrame:
-    """A packet file for each customer's orders: classic for even ids (the last record cut), next generation for odd, none of either for ids divisible by 10."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, prices = row["capture_id"], row["prices"]
-                if key % 10 == 0:
-                    data = b"no capture"
-                elif key % 2 == 0:
-                    data = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
-                    for n, x in enumerate(prices):
-                        data += struct.pack("<IIII", x, n, 4, 60 + n) + struct.pack("<I", x)
-                    data += struct.pack("<IIII", 1, 1, 99, 99) + b"cut"
-                else:
-                    data = struct.pack(">IIIHHqI", 0x0A0D0D0A, 28, 0x1A2B3C4D, 1, 0, -1, 28) + struct.pack(">IIHHII", 1, 20, 127, 0, 0, 20)
-                    for n, x in enumerate(prices):
-                        ticks = x * 1_000_000 + n
-                        data += struct.pack(">IIIIIII", 6, 36, 0, ticks >> 32, ticks & 0xFFFFFFFF, 4, 60 + n) + struct.pack("<I", x) + struct.pack(">I", 36)
-                yield pa.record_batch([pa.array([key], pa.int64()), pa.array([".pcap"]), pa.array([data], pa.binary())], ["capture_id", "kind", "content"])
-
-    own = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("capture_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.floor("o_totalprice").cast("long").alias("p")))), lambda x: x["p"]).alias("prices"))
-    return own.mapInArrow(run, "capture_id long, kind string, content binary")
+    folder = fixtures.archives(spark, read(spark, d, "documents"))
+    return fixtures.keyed(spark, folder, files.rotated_lines(spark, folder))
+
+
+def packet_captures(spark, d) -> str:
+    """A packet file for each customer's orders, the price as payload."""
+    own = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.floor("o_totalprice").cast("long").alias("p")))), lambda x: x["p"]).alias("prices"))
+    return fixtures.packet_files(spark, own)
 
 
 PF = "o AS (SELECT o_custkey AS capture_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders)"
@@ -289,13 +250,48 @@ PF = "o AS (SELECT o_custkey AS capture_id, row_number() OVER (PARTITION BY o_cu
 
 @query(f"WITH {PF} SELECT capture_id, CAST(n AS BIGINT) AS rec_no, p * 1000000 + n AS micros, CAST(4 AS BIGINT) AS incl_len, CAST(60 + n AS BIGINT) AS orig_len FROM o WHERE capture_id % 10 <> 0")
 def packet_file_records(spark, d):
-    return files.packet_records(packet_captures(spark, d)).drop("payload")
+    folder = packet_captures(spark, d)
+    return fixtures.keyed(spark, folder, files.packet_records(spark, folder, fixtures.RANGE)).drop("payload")
 
 
 @query(f"""WITH {PF} SELECT DISTINCT capture_id, CASE WHEN capture_id % 2 = 0 THEN 'pcap' ELSE 'pcapng' END AS format, CASE WHEN capture_id % 10 = 0 THEN -1 WHEN capture_id % 2 = 0 THEN 1 ELSE 127 END AS linktype,
 CAST(CASE WHEN capture_id % 2 = 0 AND capture_id % 10 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS malformed, CASE WHEN capture_id % 10 = 0 THEN 'not a packet capture' END AS error FROM o""")
 def packet_file_kinds(spark, d):
-    return files.packet_files(packet_captures(spark, d))
+    folder = packet_captures(spark, d)
+    return fixtures.keyed(spark, folder, files.packet_files(spark, folder, fixtures.RANGE))
+
+
+FIELD = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH {E}, x AS (SELECT *, event_id // 500 AS block FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY event_id) - 1 AS rec_no FROM x)
+SELECT block AS capture_id, CAST(rec_no AS BIGINT) AS rec_no, CAST({FIELD} AS INTEGER) AS ftype, CAST(k % 16 AS INTEGER) AS subtype, k % 3 = 0 AS retry, CAST(-k AS INTEGER) AS rssi, CASE WHEN k % 5 > 0 THEN 'Café€😀' || k END AS ssid,
+CASE WHEN k % 4 = 0 THEN 'aa:' || k END AS bssid, CASE WHEN k % 7 = 0 THEN CAST(k % 60 AS INTEGER) END AS reason_code, stamp AS time_epoch, k % 11 = 0 AS tcp_reset FROM n WHERE k % 13 > 0""")
+def exported_field_lines(spark, d):
+    """Every line of the files counts for the numbers, blank ones too, though they are no packets."""
+    k, text = F.col("k"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    columns = (kind, k % 16, F.when(k % 3 == 0, "1").otherwise("0"), -k, F.when(k % 5 > 0, F.concat(F.lit("Café€😀"), k.cast("string"))), F.when(k % 4 == 0, F.concat(F.lit("aa:"), k.cast("string"))), F.when(k % 7 == 0, k % 60), F.col("stamp"), F.lit("10.0.0.1"), F.lit(""), F.when(k % 11 == 0, "True").otherwise("0"), F.lit(""))
+    line = F.when(k % 13 > 0, F.concat_ws("|", *map(text, columns))).otherwise(" ")
+    e = events(spark, d).select(F.expr("event_id DIV 500").alias("key"), "event_id", line.alias("line"))
+    texts = e.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    folder = fixtures.texts(spark, texts)
+    rows = exported_fields(spark, folder, fixtures.RANGE)
+    return fixtures.keyed(spark, folder, rows).select("capture_id", "rec_no", "ftype", "subtype", "retry", "rssi", "ssid", "bssid", "reason_code", "time_epoch", "tcp_reset")
+
+
+@query("SELECT doc_id AS capture_id, 'capture-' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.pcap' ELSE '.PCAPNG' END AS name, CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.pcap' ELSE '.pcapng' END AS kind, strlen(text) AS size FROM documents WHERE text IS NOT NULL")
+def capture_file_kinds(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".pcap").otherwise(".PCAPNG")
+    folder = fixtures.texts(spark, read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), "text", kind.alias("suffix")))
+    return fixtures.keyed(spark, folder, files.files(spark, folder)).select("capture_id", "name", "kind", "size")
+
+
+@query("SELECT doc_id AS capture_id, CAST(n AS BIGINT) AS rec_no, CAST(doc_id * 10 + n AS BIGINT) AS micros, CAST(strlen(text) % 50 + 4 AS BIGINT) AS incl_len, CAST(strlen(text) AS BIGINT) AS orig_len FROM documents, range(3) x(n) WHERE text IS NOT NULL AND (doc_id % 5 > 0 OR n < 2)")
+def archive_hci_records(spark, d):
+    """Of several HCI logs the first by preference; in every fifth archive its last packet is cut."""
+    folder = fixtures.archives(spark, read(spark, d, "documents"))
+    return fixtures.keyed(spark, folder, files.hci_records(spark, folder)).drop("payload")
 
 
 @query("SELECT n AS code, CASE n " + " ".join(f"WHEN {c} THEN '{x}'" for c, x in WIFI_REASON.items()) + " ELSE 'Unknown (802.11 reason ' || n || ')' END AS reason, CASE n " + " ".join(f"WHEN {c} THEN '{x}'" for c, x in LINK_TYPE.items()) + f" ELSE 'LinkType ' || n END AS link, {LABEL} AS frame FROM (SELECT DISTINCT CAST(p_partkey % 300 AS INTEGER) AS n, CAST(p_partkey % 4 AS INTEGER) AS ftype, CAST(p_partkey // 4 % 16 AS INTEGER) AS subtype FROM part)")

@@ -1,140 +1,78 @@
-"""Capture files as rows: zip or text reports, rotated logs, HCI logs and packet captures.
-
-Files are read by Spark's ``binaryFile`` source, so any store that Spark reads will do, and taken apart in Arrow
-batches: a task per file, as neither archives nor packet logs can be split.
-"""
+"""Capture files as rows: zip or text reports, rotated logs, HCI logs and packet captures, by way of the capture source."""
 
 from __future__ import annotations
 
-import io
-import re
-import struct
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from . import packet_walk
+from .capture_source import RANGE, SCHEMAS, TEXTS, CaptureSource, batches
+from .places import Bytes, listed, opened, written
 
-#: Places in an archive.
-MAIN = re.compile(r"bugreport-.*\.txt")
-TOMBSTONES, ANRS, ROTATED = "FS/data/tombstones/", "FS/data/anr/", "FS/data/misc/logd/"
-HCI_FOLDER = "FS/data/misc/bluetooth/logs/"
-#: Names of HCI logs, by preference.
-HCI_NAMES = ("btsnoop_hci.log.filtered", "btsnoop_hci.log", "btsnooz_hci.log", "btsnoop_hci.log.filtered.last", "btsnoop_hci.log.last")
 TXT_WARNING = "Raw .txt upload: tombstones, ANR traces, Bluetooth HCI and rotated logs are only in the full .zip"
-KINDS = (".zip", ".txt", ".pcap", ".pcapng")
-#: Lines handed on at a time.
-BATCH = 20_000
+#: Ranges whose first line numbers, 24 bytes each, are sent to every executor at most.
+MOST_RANGES = 1 << 20
 
 
-LINES = pa.schema([("capture_id", pa.int64()), ("line_no", pa.int64()), ("line", pa.string()), ("error", pa.string())])
-#: What a damaged archive raises.
-DAMAGED = (ValueError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError)
+def captured(spark: SparkSession, path: str, table: str, columns: str | None = None, **options) -> DataFrame:
+    """A table of the capture source; ``columns``: those to read, all where none are named."""
+    spark.dataSource.register(CaptureSource)
+    schema = ", ".join(c for c in SCHEMAS[table].split(", ") if columns is None or c.split()[0] in columns.split())
+    return spark.read.format("captures").schema(schema).options(table=table, **options).load(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """``capture_id, path, name, kind, content``; a file of another kind is an error when it is read."""
-    raw = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    kind = F.regexp_extract(F.lower(name), r"(\.[a-z]+)$", 1)
-    checked = F.when(kind.isin(*KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("unsupported capture file: "), name)))
-    return raw.select(F.xxhash64("path").alias("capture_id"), "path", name.alias("name"), checked.alias("kind"), "content")
+    """``capture_id, path, name, kind, size``; a file of another kind is an error when it is read."""
+    return captured(spark, path, "files")
+
 
+def numbered(lines: DataFrame, breaks: DataFrame, ranges: int) -> DataFrame:
+    """``line_no``, from 1, of lines ``at`` in ranges that ``start`` in their file; breaks: how many lines begin in each range.
+
+    Counts are summed up over the ranges of a file, so no line is moved: what meets the lines is a row for each range.
+    """
+    before = W.partitionBy("capture_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    first = breaks.select("capture_id", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")).where("start > 0")
+    first = F.broadcast(first) if ranges <= MOST_RANGES else first
+    return lines.join(first, ["capture_id", "start"], "left").withColumn("line_no", F.coalesce("before", F.lit(0)) + F.col("at") + 1).drop("before")
 
-def _main_entry(archive: zipfile.ZipFile) -> str:
-    found = [i for i in archive.infolist() if "/" not in i.filename and MAIN.fullmatch(i.filename)]
-    if not found:
-        raise ValueError("no bugreport-*.txt at the root of the archive")
-    return max(found, key=lambda i: i.file_size).filename
 
+def text_lines(spark: SparkSession, path: str, size: int = RANGE, text: bool = False, role: str = "report") -> DataFrame:
+    """``capture_id, line_no, line, error`` of every text and, unless all files are taken as text, of reports in archives.
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
+    Where no text has a second range, what is numbered within ranges is numbered.
+    """
+    options = {"bytes": size, "text": str(text).lower()}
+    lines = captured(spark, path, "lines", "capture_id start at line error", roles=role, **options)
+    cuts = [-(-n // size) for _, name, n in listed(path) if text or name.lower().endswith(TEXTS)]
+    several = max(cuts, default=0) > 1
+    out = numbered(lines, captured(spark, path, "breaks", **options), sum(cuts)) if several else lines.withColumn("line_no", F.col("at") + 1)
+    return out.select("capture_id", "line_no", "line", "error")
 
 
-def report_rows(captures: DataFrame) -> DataFrame:
+def report_rows(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """``capture_id, line_no, line, error`` of the report in each zip or text file: split at ``\\n`` alone, counted from 1.
 
     An archive that cannot be read gives a row with ``error`` alone, after the lines before its fault.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            held: list[str] = []
-            at, error = 1, None
-            try:
-                content = io.BytesIO(row["content"])
-                if row["kind"] == ".zip":
-                    archive = zipfile.ZipFile(content)
-                    content = archive.open(_main_entry(archive))
-                for raw in content:
-                    held.append(raw.decode("utf-8", "replace").removesuffix("\n"))
-                    if len(held) == BATCH:
-                        yield _lines(row["capture_id"], at, held)
-                        at, held = at + BATCH, []
-            except DAMAGED as e:
-                error = str(e)
-            if held:
-                yield _lines(row["capture_id"], at, held)
-            if error is not None:
-                yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "line_no": None, "line": None, "error": error}], LINES)
-
-    return captures.where("kind IN ('.zip', '.txt')").mapInArrow(run, "capture_id long, line_no long, line string, error string")
-
-
-def report_lines(captures: DataFrame) -> DataFrame:
-    return lines_of(report_rows(captures))
+    return text_lines(spark, path, size)
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
     return rows.where("line_no IS NOT NULL").select("capture_id", "line_no", "line")
 
 
-def _lines(capture: int, at: int, lines: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([capture] * len(lines), pa.int64()), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string()), pa.nulls(len(lines), pa.string())], schema=LINES)
-
+def report_lines(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    return lines_of(report_rows(spark, path, size))
 
-ENTRIES = pa.schema([("capture_id", pa.int64()), ("role", pa.string()), ("filename", pa.string()), ("modified_at", pa.string()), ("content", pa.binary())])
 
-
-def _role(name: str) -> str | None:
-    base = name.rpartition("/")[2]
-    if name.startswith(TOMBSTONES) and "/" not in name[len(TOMBSTONES) :] and base.startswith("tombstone_") and not base.endswith(".pb"):
-        return "tombstone"
-    if name.startswith(ANRS) and "/" not in name[len(ANRS) :] and base.startswith("anr_"):
-        return "anr"
-    if name.startswith(ROTATED) and re.fullmatch(r"logcat\.\d+", name[len(ROTATED) :]):
-        return "rotated"
-    return None
-
-
-def archive_entries(captures: DataFrame) -> DataFrame:
-    """``capture_id, role, filename, modified_at, content`` of crash files, rotated logs and the first HCI log by preference.
-
-    One that cannot be read has the role ``damaged`` and no content; an archive that cannot be opened has none.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(row["content"]))
-            except DAMAGED:
-                continue  # report_rows says why
-            names = set(archive.namelist())
-            wanted = [(i, _role(i.filename)) for i in archive.infolist() if _role(i.filename)]
-            wanted += [(archive.getinfo(HCI_FOLDER + n), "hci") for n in HCI_NAMES if HCI_FOLDER + n in names][:1]
-            for info, role in wanted:
-                stamp = "{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}".format(*info.date_time)
-                try:
-                    content = archive.read(info)
-                except DAMAGED:
-                    role, content = "damaged", None
-                yield pa.RecordBatch.from_pylist([{"capture_id": row["capture_id"], "role": role, "filename": info.filename.rpartition("/")[2], "modified_at": stamp, "content": content}], ENTRIES)
-
-    return captures.where("kind = '.zip'").mapInArrow(run, "capture_id long, role string, filename string, modified_at string, content binary")
+def archive_entries(spark: SparkSession, path: str, roles: str = "tombstone,anr") -> DataFrame:
+    """``capture_id, role, filename, modified_at, content`` of crash files; one that cannot be read has the role ``damaged``.  Others are not opened."""
+    return captured(spark, path, "entries", roles=roles)
 
 
 def entry_text(entries: DataFrame, role: str) -> DataFrame:
@@ -148,172 +86,90 @@ def entry_text(entries: DataFrame, role: str) -> DataFrame:
     return entries.where(F.col("role") == role).select("capture_id", "filename", "modified_at", "content").mapInArrow(run, "capture_id long, filename string, modified_at string, text string")
 
 
-def rotated_lines(entries: DataFrame) -> DataFrame:
-    """Lines of rotated logs, section ``logcat.NN``, with times cut to milliseconds."""
+def rotated_lines(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Lines of rotated logs, section ``logcat.NN``, with times cut to milliseconds; one that cannot be read ends before its fault."""
     from ..functions.expr import cut_micros
 
-    rows = entry_text(entries, "rotated")
-    return rows.select("capture_id", F.col("filename").alias("section"), F.posexplode(F.split("text", "\n", -1)).alias("p", "l")).select("capture_id", "section", (F.col("p") + 1).cast("long").alias("line_no"), cut_micros(F.col("l")).alias("line"))
+    rows = captured(spark, path, "lines", "capture_id role name at line", roles="rotated", bytes=size).where("at IS NOT NULL")
+    return rows.select("capture_id", F.col("name").alias("section"), (F.col("at") + 1).alias("line_no"), cut_micros(F.col("line")).alias("line"))
 
 
-PACKETS = "capture_id long, rec_no long, micros long, incl_len long, orig_len long, payload binary"
-_NAMES = ["capture_id", "rec_no", "micros", "incl_len", "orig_len", "payload"]
-_TYPES = [pa.int64()] * 5 + [pa.binary()]
-WALK = pa.schema([*zip(_NAMES, _TYPES, strict=True), ("format", pa.string()), ("linktype", pa.int32()), ("malformed", pa.int64()), ("error", pa.string())])
-
-
-def snoop_records(data: bytes) -> Iterator[tuple]:
-    """``rec_no, raw time, included, original, payload`` of an HCI log; stops before a record that is empty or cut."""
-    if data[:8] != b"btsnoop\0":
-        raise ValueError("not an HCI log")
-    at, n = 16, 0
-    while at + 24 <= len(data):
-        original, included, _, _, stamp = struct.unpack_from(">IIIIQ", data, at)
-        if included <= 0 or at + 24 + included > len(data):
-            return
-        yield n, stamp, included, original, data[at + 24 : at + 24 + included]
-        at, n = at + 24 + included, n + 1
-
-
-#: Magic numbers: byte order and fractions of a second.
-CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-ORDER = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
-
-
-class PacketFile:
-    """A classic or next-generation capture; ``records()`` first, then ``linktype`` and ``malformed`` are complete."""
-
-    def __init__(self, data: bytes) -> None:
-        self.data, self.malformed, self.linktype = data, 0, -1
-        self.format = "pcapng" if data[:4] == b"\x0a\x0d\x0d\x0a" else "pcap"
-
-    def records(self) -> Iterator[tuple]:
-        return self._blocks() if self.format == "pcapng" else self._classic()
-
-    def _classic(self) -> Iterator[tuple]:
-        data = self.data
-        if data[:4] not in CLASSIC or len(data) < 24:
-            raise ValueError("not a packet capture")
-        order, per_micro = CLASSIC[data[:4]]
-        self.linktype = struct.unpack_from(f"{order}i", data, 20)[0]
-        at, n = 24, 0
-        while at < len(data):
-            if at + 16 > len(data):
-                self.malformed += 1
-                return
-            sec, frac, included, original = struct.unpack_from(f"{order}IIII", data, at)
-            if at + 16 + included > len(data):
-                self.malformed += 1
-                return
-            yield n, sec * 1_000_000 + frac // per_micro, included, original, data[at + 16 : at + 16 + included]
-            at, n = at + 16 + included, n + 1
-
-    def _blocks(self) -> Iterator[tuple]:
-        data, order, at, n = self.data, "<", 0, 0
-        units: list[int] = []
-        first = None
-        while at < len(data):
-            if len(data) - at < 12:
-                self.malformed += 1
-                return
-            if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-                if data[at + 8 : at + 12] not in ORDER:
-                    raise ValueError("not a packet capture: unknown byte order")
-                order = ORDER[data[at + 8 : at + 12]]
-            kind, size = struct.unpack_from(f"{order}II", data, at)
-            if size < 12 or at + size > len(data) or struct.unpack_from(f"{order}I", data, at + size - 4)[0] != size:
-                self.malformed += 1
-                return
-            body = data[at + 8 : at + size - 4]
-            at += size
-            if kind == 1:
-                if len(body) < 8:
-                    self.malformed += 1
-                    return
-                link = struct.unpack_from(f"{order}H", body, 0)[0]
-                first = link if first is None else first
-                self.linktype = first
-                units.append(self._unit(order, body))
-            elif kind == 6:
-                if len(body) < 20:
-                    self.malformed += 1
-                    return
-                interface, high, low, included, original = struct.unpack_from(f"{order}IIIII", body, 0)
-                if 20 + (included + 3) // 4 * 4 > len(body):
-                    self.malformed += 1
-                    return
-                unit = units[interface] if interface < len(units) else 1_000_000
-                yield n, ((high << 32) | low) * 1_000_000 // unit, included, original, body[20 : 20 + included]
-                n += 1
-
-    @staticmethod
-    def _unit(order: str, body: bytes) -> int:
-        at = 8
-        while at + 4 <= len(body):
-            code, size = struct.unpack_from(f"{order}HH", body, at)
-            if code == 0:
-                break
-            if code == 9 and size >= 1:
-                v = body[at + 4]
-                return 2 ** (v & 0x7F) if v & 0x80 else 10**v
-            at += 4 + (size + 3) // 4 * 4
-        return 1_000_000
-
-
-def _packed(capture: int, rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.record_batch([pa.array([capture] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, _TYPES[1:], strict=True)]], _NAMES)
-
-
-def packet_walk(captures: DataFrame) -> DataFrame:
-    """Packets of each capture file, and at its end a row without ``rec_no`` that says what the file is."""
+def hci_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Packets of HCI logs in archives; ``micros`` is the log's own count.  A log without the magic gives none, a damaged one those before its fault."""
+    return captured(spark, path, "hci", "capture_id rec_no micros incl_len orig_len payload", bytes=size).where("rec_no IS NOT NULL")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            held: list[tuple] = []
-            own, error = PacketFile(row["content"]), None
-            try:
-                for record in own.records():
-                    held.append((*record, None, None, None, None))
-                    if len(held) == BATCH:
-                        yield walked(row["capture_id"], held)
-                        held = []
-            except ValueError as e:
-                error = str(e)
-            yield walked(row["capture_id"], [*held, (None, None, None, None, None, own.format, own.linktype, own.malformed, error)])
 
-    def walked(capture: int, rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        return pa.record_batch([pa.array([capture] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, WALK.types[1:], strict=True)]], schema=WALK)
+MET = "capture_id long, path string, begin long, stop long, before long, packets long, format string, order string, per_micro long, linktype int, units array<string>, last_linktype int, malformed long, error string"
+_MET = pa.schema([
+    ("capture_id", pa.int64()), ("path", pa.string()), ("begin", pa.int64()), ("stop", pa.int64()), ("before", pa.int64()), ("packets", pa.int64()), ("format", pa.string()), ("order", pa.string()), ("per_micro", pa.int64()),
+    ("linktype", pa.int32()), ("units", pa.list_(pa.string())), ("last_linktype", pa.int32()), ("malformed", pa.int64()), ("error", pa.string()),
+])
 
-    return captures.where("kind IN ('.pcap', '.pcapng')").mapInArrow(run, f"{PACKETS}, format string, linktype int, malformed long, error string")
 
+def packet_ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Ranges of packet files, each with where its first packet begins, how many are before it, and what a walk must know.
 
-def packets_of(walk: DataFrame) -> DataFrame:
-    return walk.where("rec_no IS NOT NULL").select(*_NAMES)
+    Every range is surveyed on its own; the surveys of a file, a row each, are then followed in order, and ranges walked
+    again that do not begin where the range before ends.  Written, so that packets can be read from it more than once.
+    """
+    ranges = F.sort_array(F.collect_list(F.struct("start", "stop", "begin", "end", "packets")))
+    each = captured(spark, path, "surveys", bytes=size).groupBy("capture_id", "path").agg(ranges.alias("ranges"), F.max("error").alias("error"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for row in (r for batch in found for r in batch.to_pylist()):
+            own = {"capture_id": row["capture_id"], "path": row["path"]}
+            if row["error"] is not None:
+                with Bytes(fs, row["path"]) as raw:
+                    kind = "pcapng" if raw.part(0, 4) == packet_walk.SECTION else "pcap"
+                yield pa.RecordBatch.from_pylist([own | {"format": kind, "error": row["error"]}], _MET)
+                continue
+            with Bytes(fs, row["path"]) as raw:
+                for some in batches(packet_walk.met(raw, row["ranges"])):
+                    rows = []
+                    for r in some:
+                        state, after = r.pop("state"), r.pop("after")
+                        rows.append(own | r | {"format": state.format, "order": state.order, "per_micro": state.per_micro, "linktype": state.linktype, "units": list(map(str, state.units)), "last_linktype": after.linktype})
+                    yield pa.RecordBatch.from_pylist(rows, _MET)
+
+    return written(each.mapInArrow(run, MET), "packet-ranges")
 
 
-def packet_files_of(walk: DataFrame) -> DataFrame:
-    return walk.where("rec_no IS NULL").select("capture_id", "format", "linktype", "malformed", "error")
+PACKETS = "capture_id long, rec_no long, micros long, incl_len long, orig_len long, payload binary"
+_PACKETS = pa.schema([("capture_id", pa.int64()), ("rec_no", pa.int64()), ("micros", pa.int64()), ("incl_len", pa.int64()), ("orig_len", pa.int64()), ("payload", pa.binary())])
 
 
-def packet_records(captures: DataFrame) -> DataFrame:
-    """Packets of each capture file; ``micros`` since the epoch.  A file that is no capture has none; ``packet_files`` says why."""
-    return packets_of(packet_walk(captures))
+def packets_of(ranges: DataFrame, path: str) -> DataFrame:
+    """Packets of ranges that have met; ``micros`` since the epoch, null where a long cannot hold them."""
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for r in (r for batch in found for r in batch.to_pylist()):
+            with Bytes(fs, r["path"]) as raw:
+                state = packet_walk.State(r["format"], r["order"], r["per_micro"], r["linktype"], list(map(int, r["units"])))
+                rec_no = r["before"]
+                for some in batches(packet_walk.Walk(raw, state, r["begin"], r["stop"]).records()):
+                    micros, included, original, payload = map(list, zip(*some, strict=True))
+                    micros = [m if m < 1 << 63 else None for m in micros]
+                    n = len(some)
+                    yield pa.record_batch([pa.array([r["capture_id"]] * n, pa.int64()), pa.array(range(rec_no, rec_no + n), pa.int64()), *(pa.array(c, t) for c, t in zip((micros, included, original, payload), _PACKETS.types[2:], strict=True))], schema=_PACKETS)
+                    rec_no += n
 
-def packet_files(captures: DataFrame) -> DataFrame:
-    """``capture_id, format, linktype, malformed, error`` of each capture file; error: why it is none, else null."""
-    return packet_files_of(packet_walk(captures))
+    tasks = max(1, min(ranges.count(), 4 * ranges.sparkSession.sparkContext.defaultParallelism))
+    return ranges.where("packets > 0").repartition(tasks, "capture_id", "begin").mapInArrow(run, PACKETS)
 
 
-def hci_records(entries: DataFrame) -> DataFrame:
-    """Packets of HCI logs in archives; ``micros`` is the log's own count.  A log without the magic gives none."""
+def packet_files_of(ranges: DataFrame) -> DataFrame:
+    """``capture_id, format, linktype, malformed, error`` of each packet file; error: why it is none, else null."""
+    last = lambda c: F.max_by(c, F.coalesce("stop", F.lit(0)))
+    told = ranges.groupBy("capture_id").agg(F.max("format").alias("format"), last("last_linktype").alias("linktype"), F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"), F.max("error").alias("error"))
+    return told.withColumn("linktype", F.coalesce("linktype", F.lit(-1)))
+
+
+def packet_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Packets of each capture file.  A file that is no capture has none; ``packet_files`` says why."""
+    return packets_of(packet_ranges(spark, path, size), path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _each(batches):
-            if row["content"][:8] == b"btsnoop\0" and (held := list(snoop_records(row["content"]))):
-                for i in range(0, len(held), BATCH):
-                    yield _packed(row["capture_id"], held[i : i + BATCH])
 
-    return entries.where("role = 'hci'").mapInArrow(run, PACKETS)
+def packet_files(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    return packet_files_of(packet_ranges(spark, path, size))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lookups import wifi_reason
+from .capture_source import RANGE
+from .captures import lines_of, text_lines
 
 #: The fields, in the order they are exported in.
 FIELDS = (
@@ -13,13 +15,13 @@ FIELDS = (
 )
 
 
-def exported_fields(spark: SparkSession, path: str) -> DataFrame:
+def exported_fields(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """``capture_id, rec_no`` and the fields, numbers where they are ones, empty fields null.
 
-    A capture is a file; packets are numbered in the order of its lines, which one task reads.
+    A capture is a file; packets are numbered in the order of its lines, which are read in ranges of ``size`` bytes.
     """
-    raw = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("capture_id"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("rec_no", "line"))
-    cut = raw.where(F.trim("line") != "").select("capture_id", F.col("rec_no").cast("long").alias("rec_no"), F.split("line", r"\|").alias("f"))
+    raw = lines_of(text_lines(spark, path, size, text=True)).select("capture_id", (F.col("line_no") - 1).alias("rec_no"), "line")
+    cut = raw.where(F.trim("line") != "").select("capture_id", "rec_no", F.split("line", r"\|").alias("f"))
     of = {n: F.nullif(F.trim(F.get("f", F.lit(i))), F.lit("")) for i, n in enumerate(FIELDS)}
     rows = cut.select("capture_id", "rec_no", *[v.alias(k) for k, v in of.items()])
     number = {n: F.col(n).try_cast("int") for n in ("ftype", "subtype", "rssi", "reason_code")}

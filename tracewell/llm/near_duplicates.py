@@ -100,6 +100,15 @@ def bucket_counts(first: DataFrame) -> np.ndarray:
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """First bytes of 32-bit numbers, then second ones and so on: of small numbers most are zeros in a row, which shuffles and tables store in little room."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def of_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     """Rows of ``part, payload``: shingle, prefix hash, set size and place in the order of every prefix entry, as four arrays
     one after another; and, with a null part, ``doc_id, n, g, h`` of every document: size and hashes of prefix and set."""
@@ -122,7 +131,7 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
             token, node, n, place = token[order], node[order], n[order], place[order]
             keys, at = np.unique(part[order], return_index=True)
             ends = [*at[1:], len(token)]
-            payload = [token[a:b].tobytes() + node[a:b].tobytes() + n[a:b].tobytes() + place[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
+            payload = [token[a:b].tobytes() + node[a:b].tobytes() + planes(n[a:b]) + planes(place[a:b]) for a, b in zip(at, ends, strict=True)]
             k = len(keys)
             return pa.record_batch([pa.array(keys, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
 
@@ -228,7 +237,7 @@ def candidates(posted: DataFrame) -> DataFrame:
             cut = [(len(p) // 24, p) for p in held]
             token = np.concatenate([np.frombuffer(p, np.uint64, k) for k, p in cut])
             node = np.concatenate([np.frombuffer(p, np.int64, k, 8 * k) for k, p in cut])
-            n, place = (np.concatenate([np.frombuffer(p, np.int32, k, w * k) for k, p in cut]) for w in (16, 20))
+            n, place = (np.concatenate([of_planes(p[w * k : (w + 4) * k]) for k, p in cut]) for w in (16, 20))
             yield from pair_up(token, node, n, place, most)
 
         for batch in batches:

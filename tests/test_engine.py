@@ -1,6 +1,7 @@
 """Parsers on short excerpts, capture files built here, and the plans over them."""
 
 import io
+import json
 import random
 import struct
 import zipfile
@@ -376,6 +377,22 @@ def test_ingest_and_ask(spark, tmp_path):
     assert store.capture_summary(captures).count() == 3
     bundle, report_text, error = store.diagnose(captures, "why did the user app crash")
     assert "device_wide_crash_evidence" in bundle and "device_wide_wifi_evidence" not in bundle and error is None and bundle in report_text
+    per = {c["original_filename"]: c for c in json.loads(bundle)["captures"]}
+    assert {k: (v["device_label"], v["entities_independently_verified"]) for k, v in per.items()} == {"a.zip": ("phone", ["com.user.app"]), "b.txt": ("phone", ["com.user.app"]), "c.pcap": ("phone", [])}
+    (claim,) = per["a.zip"]["claims"]  # a package, a crash and being frozen; a kill is none of them
+    assert (claim["confidence"], claim["matched_how"], claim["cross_capture_history"]) == ("MEDIUM", "name_fragment_match", None) and claim["corroboration"].startswith("Backed by 3 ")
+    assert [x["exception_class"] for x in claim["verified_state"]["crash_events"]] == ["java.lang.RuntimeException"] and claim["verified_state"]["freeze_count"] == 1
+    assert per["a.zip"]["device_context"]["build_id"] == "X1" and per["c.pcap"]["device_context"] is None and set(per["a.zip"]["captures"].values()) == set(per)
+    assert [(x["category"], x["detail"]) for x in per["c.pcap"]["evidence_sources"]] == [("crash / ANR / native-crash evidence", "checked across 3 capture(s) on file for this device")]
+    crashes = per["b.txt"]["device_wide_crash_evidence"]
+    assert (len(crashes["java_crashes"]), len(crashes["anrs"]), crashes["native_crashes"]) == (2, 1, [])
+    bundle, _, _ = store.diagnose_investigation("case", "has com.user.app always paired")
+    (claim,) = json.loads(bundle)["captures"][0]["claims"] or json.loads(bundle)["captures"][1]["claims"] or json.loads(bundle)["captures"][2]["claims"]
+    assert (claim["confidence"], claim["matched_how"], claim["cross_capture_history"]["captures_checked"]) == ("HIGH", "literal_package_id", 3)
+    hci = json.loads(bundle)["captures"][0]["bt_hci_summary"]["rows"]
+    assert [e["kind"] for e in hci[0]["notable_events"]] == ["disconnection_complete", "command_complete"] and "packet_capture_summary" in bundle
+    text = json.loads(store.merged_summary(captures).first().summary)
+    assert [c["original_filename"] for c in sorted(text["captures"], key=lambda c: c["original_filename"])] == ["a.zip", "b.txt", "c.pcap"] and text["counts"]["java_crashes"] == 2 and text["counts"]["process_kills"] == 2 and len(text["device_infos"]) == 2 and len(text["packet_analysis"]) == 1
 
 
 def test_radio_headers(spark):

@@ -41,26 +41,28 @@ def question_words(question: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(question, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(*STOP))
 
 
-def entity_matches(questions: DataFrame, packages: DataFrame) -> DataFrame:
+def entity_matches(questions: DataFrame, packages: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """``question_id, package, matched_how``: installed packages that questions name, by id or by words of it.
 
     A package matches by words when two of its name's segments are words of the question, or one is two neighbouring words
-    run together, or one is a word and no other package has that segment.  Words meet segments by an equi-join.
+    run together, or one is a word and no other package has that segment.  Words meet segments by an equi-join.  ``within``:
+    columns of both sides, such as the capture that a question is about, whose packages alone count.
     """
     asked = questions.withColumn("w", question_words(F.col("question")))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     terms = F.array_union(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(False).alias("joint"))), F.transform(pairs, lambda x: F.struct(x.alias("term"), F.lit(True).alias("joint"))))
-    term = asked.select("question_id", F.explode(terms).alias("t")).select("question_id", "t.*").distinct()
-    names = packages.select("package").distinct()
-    segment = names.select("package", F.explode(F.array_distinct(F.split(F.lower("package"), r"\."))).alias("term")).where(~F.col("term").isin(*GENERIC))
-    owners = segment.groupBy("term").agg(F.count("*").alias("owners"))
-    hit = term.join(segment.join(owners, "term"), "term").groupBy("question_id", "package").agg(
+    term = asked.select("question_id", *within, F.explode(terms).alias("t")).select("question_id", *within, "t.*").distinct()
+    names = packages.select(*within, "package").distinct()
+    segment = names.select(*within, "package", F.explode(F.array_distinct(F.split(F.lower("package"), r"\."))).alias("term")).where(~F.col("term").isin(*GENERIC))
+    owners = segment.groupBy(*within, "term").agg(F.count("*").alias("owners"))
+    hit = term.join(segment.join(owners, [*within, "term"]), [*within, "term"]).groupBy("question_id", *within, "package").agg(
         F.count_distinct(F.when(~F.col("joint"), F.col("term"))).alias("words"), F.max(F.col("joint")).alias("joint"), F.max(~F.col("joint") & (F.col("owners") == 1)).alias("alone")
     )
-    by_words = hit.where((F.col("words") >= 2) | F.col("joint") | ((F.col("words") == 1) & F.col("alone"))).select("question_id", "package", F.lit("fragment").alias("matched_how"))
-    ids = questions.select("question_id", F.explode(F.regexp_extract_all("question", F.lit(PACKAGE_ID), F.lit(1))).alias("p")).select("question_id", F.lower("p").alias("package")).distinct()
-    literal = ids.join(names, "package").select("question_id", "package", F.lit("literal").alias("matched_how"))
-    return literal.unionByName(by_words.join(literal, ["question_id", "package"], "left_anti"))
+    key = ["question_id", *within, "package"]
+    by_words = hit.where((F.col("words") >= 2) | F.col("joint") | ((F.col("words") == 1) & F.col("alone"))).select(*key, F.lit("fragment").alias("matched_how"))
+    ids = questions.select("question_id", *within, F.explode(F.regexp_extract_all("question", F.lit(PACKAGE_ID), F.lit(1))).alias("p")).select("question_id", *within, F.lower("p").alias("package")).distinct()
+    literal = ids.join(names, [*within, "package"]).select(*key, F.lit("literal").alias("matched_how"))
+    return literal.unionByName(by_words.join(literal, key, "left_anti"))
 
 
 def confidence(facts: Column, captures: Column) -> Column:
@@ -198,29 +200,11 @@ def ordered_findings(ranked: DataFrame) -> DataFrame:
 
 
 def evidence_sources(flags: dict[str, Column], blocks: dict[str, DataFrame]) -> DataFrame:
-    """Which blocks a bundle holds and from how many captures; empty ones are not listed."""
+    """Which blocks have rows, and in how many captures; empty ones are not listed.  What bundles say of captures searched is ``diagnosis.sources``."""
     parts = [rows.agg(F.count_distinct("capture_id").alias("captures_checked")).where("captures_checked > 0").select(F.lit(name).alias("evidence"), "captures_checked", flags.get(name, F.lit(True)).alias("asked_for")) for name, rows in blocks.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def diagnosis_bundle(question: str, claims: DataFrame, blocks: dict[str, DataFrame], include_all: bool = False, context: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row with the bundle as JSON: the question, claims, a list per kind of evidence the question asks for, where it is from, and ``context``.
-
-    A bundle is one document for a narrator, so it is gathered; it is as long as the evidence of one device.
-    """
-    spark = claims.sparkSession
-    asked = spark.range(1).select(*[v.alias(k) for k, v in triggers(F.lit(question), include_all).items()]).first()
-    row = spark.range(1).select(F.lit(question).alias("question"))
-    group = {"native_crash": "crash", "anr": "crash"}
-    shown = {k: v for k, v in blocks.items() if group.get(k, k) not in TRIGGERS or asked[group.get(k, k)]}
-    flags = {k: F.lit(not include_all) for k in shown}
-    lists = {"claims": claims} | {f"device_wide_{k}_evidence": v for k, v in shown.items()} | {"evidence_sources": evidence_sources(flags, shown)} | (context or {})
-    for name, rows in lists.items():
-        many = rows.agg(F.sort_array(F.collect_list(F.to_json(F.struct("*")))).alias(name))
-        row = row.withColumn(name, many.scalar())
-    return row.select(F.to_json(F.struct("*")).alias("bundle"))
-
-
 def stub_narration(bundle: str) -> str:
     """The deterministic narrator: says what it was given."""
     return f"[stub narration]\n{bundle}"

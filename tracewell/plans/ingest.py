@@ -11,11 +11,22 @@ from pyspark.sql import functions as F
 from ..operators import blocks, facts, log_lines, packets
 from ..operators.sections import WANTED, section_intervals, section_lines
 from ..sources import captures as files
-from . import evidence, summary
+from ..sources.places import written
+from . import diagnosis, evidence, summary
 
 #: What is missed when a section is not there.
 MISSING = {n: f"section '{n}' not found in this capture" for n in WANTED if n != "preamble"}
 
+#: Tables that diagnosis reads.
+DIAGNOSED = (
+    "focus_stack", "focus_events", "package_facts", "media_sessions", "foreground_services", "crash_events", "tombstones", "anrs", "freeze_summary", "battery_uid_stats", "wifi_events", "process_kills",
+    "selinux_denials", "pairing_events", "companion_associations", "bt_hci_summary", "bt_hci_events", "packet_capture_summary", "packet_analysis", "device_info",
+)
+
+#: Lists of rows in summaries, and tables that summaries read.
+LISTED = ("crash_events", "tombstones", "anrs", "wifi_events", "selinux_denials", "process_kills", "media_sessions", "focus_stack")
+REPORTED = (*LISTED, "package_facts", "focus_events", "foreground_services", "freeze_summary", "battery_uid_stats", "bt_hci_summary", "bt_hci_events", "packet_capture_summary", "packet_analysis", "device_info", "warnings")
+
 
 def kept(rows: DataFrame, staging: str | None, name: str, *by: str) -> DataFrame:
     """``rows`` as they are, or written below ``staging`` and read from there, a folder for each value of ``by``."""
@@ -156,19 +167,19 @@ class Store:
         return self.merged_summary(self.investigation_captures(label))
 
     def merged_summary(self, captures: DataFrame) -> DataFrame:
-        own = lambda n: facts.of_captures(self.table(n), captures)
-        counted = {n: own(n) for n in ("crash_events", "tombstones", "anrs", "focus_events", "media_sessions", "foreground_services", "wifi_events", "process_kills", "selinux_denials", "pairing_events", "bt_hci_events", "package_facts", "freeze_events")}
-        lists = {n: counted[n] for n in ("crash_events", "tombstones", "anrs", "process_kills", "selinux_denials", "wifi_events", "media_sessions")}
-        lists |= {"top_battery_consumers": summary.merged_battery(own("battery_uid_stats")), "timeline": facts.of_captures(self.timeline(), captures)}
-        return summary.merged_summary(captures, counted, lists, summary.merged_freezes(own("freeze_summary")))
+        tables = {n: facts.of_captures(self.table(n), captures) for n in REPORTED}
+        lists = {n: tables[n] for n in LISTED} | {"device_infos": tables["device_info"], "parse_warnings": tables["warnings"], "top_battery_consumers": summary.merged_battery(tables["battery_uid_stats"]), "timeline": facts.of_captures(self.timeline(), captures)}
+        lists |= {"bt_hci_summary": diagnosis.with_notable(tables["bt_hci_summary"], tables["bt_hci_events"]), "packet_capture_summary": tables["packet_capture_summary"], "packet_analysis": tables["packet_analysis"]}
+        return summary.merged_summary(captures, summary.report_counts(captures, tables), lists, summary.merged_freezes(tables["freeze_summary"]))
 
     def investigation_captures(self, label: str) -> DataFrame:
         link = self.table("investigation_capture_link").where(F.col("investigation_id") == self._of_label("investigation", label))
         return self._badged(self.table("capture").join(link.select("capture_id"), "capture_id"))
 
     def _badged(self, captures: DataFrame) -> DataFrame:
-        counts = summary.capture_counts(captures, {"crashes": self.table("crash_events"), "tombstones": self.table("tombstones"), "anrs": self.table("anrs"), "selinux_enforced": self.table("selinux_denials")}, {"selinux_enforced": F.col("enforcing").eqNullSafe(F.lit(True))})
-        return captures.join(summary.severity_badge(counts), "capture_id").orderBy("ingested_at")
+        names = tuple(summary.SERIOUS.values())
+        tables = {n: facts.of_captures(self.table(n), captures) for n in {summary.REPORT[c][0] for c in names}}
+        return captures.join(summary.severity_badge(summary.report_counts(captures, tables, names)), "capture_id").orderBy("ingested_at")
 
     def events(self) -> dict[str, DataFrame]:
         names = {"crash": "crash_events", "focus_event": "focus_events", "anr": "anrs", "native_crash": "tombstones", "bt_hci": "bt_hci_events", "wifi": "wifi_events", "process_kill": "process_kills"}
@@ -178,40 +189,46 @@ class Store:
         return summary.timeline(self.events())
 
     def capture_summary(self, captures: DataFrame) -> DataFrame:
-        own = lambda rows: facts.of_captures(rows, captures)
-        counted = {n: own(self.table(n)) for n in ("crash_events", "tombstones", "anrs", "focus_events", "media_sessions", "foreground_services", "wifi_events", "process_kills", "selinux_denials", "pairing_events", "bt_hci_events", "package_facts", "freeze_events")}
-        lists = {n: counted[n] for n in ("crash_events", "tombstones", "anrs", "process_kills", "selinux_denials", "wifi_events", "media_sessions")}
-        lists |= {"timeline": own(self.timeline()), "top_battery_consumers": summary.top_battery(own(self.table("battery_uid_stats"))), "top_freeze_offenders": summary.top_freezes(own(self.table("freeze_summary"))), "focus_stack": own(self.table("focus_stack"))}
-        return summary.capture_summary(captures.select("capture_id", "device_id", "original_filename", "ingested_at"), counted, lists)
+        tables = {n: facts.of_captures(self.table(n), captures) for n in REPORTED}
+        lists = {n: tables[n] for n in LISTED} | {"timeline": facts.of_captures(self.timeline(), captures), "top_battery_consumers": summary.top_battery(tables["battery_uid_stats"]), "top_freeze_offenders": summary.top_freezes(tables["freeze_summary"])}
+        warnings = tables["warnings"].groupBy("capture_id").agg(F.sort_array(F.collect_set("warning")).alias("parse_warnings"))
+        own = captures.select("capture_id", "device_id", "original_filename", "ingested_at").join(warnings, "capture_id", "left").withColumn("parse_warnings", F.coalesce("parse_warnings", F.array().cast("array<string>")))
+        single = {"device_info": tables["device_info"], "bt_hci_summary": diagnosis.with_notable(tables["bt_hci_summary"], tables["bt_hci_events"]), "packet_capture_summary": tables["packet_capture_summary"], "packet_analysis": tables["packet_analysis"]}
+        return summary.capture_summary(own, summary.report_counts(captures, tables), lists, single)
 
     def findings(self, captures: DataFrame) -> DataFrame:
         own = lambda n: facts.of_captures(self.table(n), captures)
         kinds = {"crash": "crash_events", "native_crash": "tombstones", "anr": "anrs", "wifi": "wifi_events", "pairing": "pairing_events", "memory": "process_kills", "selinux": "selinux_denials", "bluetooth": "bt_hci_events", "packet_capture": "packet_anomalies"}
         return evidence.ordered_findings(evidence.rank_findings(evidence.findings({k: own(n) for k, n in kinds.items()}), captures))
 
-    def diagnose(self, captures: DataFrame, question: str, include_all: bool = False, turns: DataFrame | None = None) -> tuple[str, str | None, str | None]:
-        """Bundle, report and the narrator's error.  Claims and device-wide evidence are of all captures of the devices;
-        ``turns``: earlier questions and answers of one conversation."""
-        devices = self.siblings(captures)
-        own = lambda n: facts.of_captures(self.table(n), captures)
-        wide = lambda n: summary.tagged(facts.of_captures(self.table(n), devices), devices)
-        asked = self.spark.createDataFrame([(0, question)], "question_id long, question string")
-        named = evidence.entity_matches(asked, own("package_facts")).join(own("package_facts").select("capture_id", "package"), "package")
-        known = evidence.verify_entities(named, {"package_fact": own("package_facts"), "battery": own("battery_uid_stats"), "media_session": own("media_sessions")}, {"crashes": own("crash_events"), "kills": own("process_kills"), "services": own("foreground_services"), "focus_stack": own("focus_stack")}, own("freeze_summary"), own("focus_events"))
-        of = captures.select("capture_id", "device_id")
-        history = evidence.package_history(devices, wide("focus_events").where("event_type = 'request'"), wide("foreground_services"), wide("package_facts"), named.join(of, "capture_id"))
-        claims = evidence.claims(known, of, history)
-        blocks_of = {"crash": wide("crash_events"), "native_crash": wide("tombstones"), "anr": wide("anrs"), "wifi": wide("wifi_events"), "battery": summary.merged_battery(wide("battery_uid_stats")), "memory": wide("process_kills"), "selinux": wide("selinux_denials"), "pairing": wide("pairing_events"), "bluetooth": wide("bt_hci_summary"), "packet_capture": wide("packet_capture_summary")}
-        context = {"captures": devices.select("capture_id", "original_filename"), "device_context": self.device_labels(captures), "device_evidence": evidence.device_evidence(devices, blocks_of)}
-        if turns is not None:
-            context["conversation"] = evidence.history_text(turns)
-        bundle = evidence.diagnosis_bundle(question, claims, blocks_of, include_all, context).first().bundle
-        return bundle, *evidence.narrate(bundle)
+    def facts(self, captures: DataFrame) -> dict[str, DataFrame]:
+        """The fact tables that diagnosis reads, of all captures of the devices that these are of."""
+        devices = written(self.siblings(captures).select("capture_id").distinct(), "siblings")
+        return {n: facts.of_captures(self.table(n), devices) for n in DIAGNOSED}
+
+    def bundles(self, asked: DataFrame, include_all: bool = False) -> DataFrame:
+        """``question_id, capture_id, bundle`` for every row of ``question_id, capture_id, question``, in one plan."""
+        every = self.table("capture")
+        captures = every.join(asked.select("capture_id").distinct(), "capture_id", "left_semi")
+        return diagnosis.bundles(asked, self.siblings(captures), self.facts(captures), include_all)
 
-    def diagnose_investigation(self, label: str, question: str, include_all: bool = False) -> dict[int, tuple[str, str | None, str | None]]:
-        """A bundle for each capture of an investigation, which its reports name by hand."""
+    def diagnose(self, captures: DataFrame, question: str, include_all: bool = False, turns: DataFrame | None = None) -> tuple[str, str | None, str | None]:
+        """Bundle, report and the narrator's error.  The bundle of one capture, or one that holds those of several captures;
+        ``turns``: earlier questions and answers of one conversation, which the narrator reads and which are no evidence."""
+        asked = captures.select(F.lit(0).cast("long").alias("question_id"), "capture_id", F.lit(question).alias("question"))
+        found = self.bundles(asked, include_all)
+        own = captures.select("capture_id", "device_id", "original_filename").distinct()
+        some = found.limit(2).collect()
+        bundle = some[0].bundle if len(some) == 1 else diagnosis.merged_bundles(found, own, self.devices(), question).first().bundle
+        before = "" if turns is None else "\n\n".join(r.history for r in evidence.history_text(turns).collect() if r.history)
+        return bundle, *evidence.narrate(f"{before}\n\n{bundle}" if before else bundle)
+
+    def diagnose_investigation(self, label: str, question: str, include_all: bool = False) -> tuple[str, str | None, str | None]:
+        """One bundle and one report for all captures of an investigation."""
         captures = self.investigation_captures(label)
-        return {r.capture_id: self.diagnose(captures.where(F.col("capture_id") == r.capture_id), question, include_all) for r in captures.select("capture_id").collect()}
+        asked = captures.select(F.lit(0).cast("long").alias("question_id"), "capture_id", F.lit(question).alias("question"))
+        bundle = diagnosis.merged_bundles(self.bundles(asked, include_all), captures.select("capture_id", "device_id", "original_filename"), self.devices(), question).first().bundle
+        return bundle, *evidence.narrate(bundle)
 
     def export(self, captures: DataFrame, path: str, kind: str = "json") -> None:
         """Summaries as files of JSON lines, or findings as plain text, a line each."""

@@ -266,10 +266,13 @@ def capture_counts(spark, d):
     return _counts(spark, d)
 
 
-@query(f"WITH {E}, {COUNTS} SELECT capture_id, crashes, CAST(0 AS BIGINT) AS tombstones, CAST(0 AS BIGINT) AS anrs, kills AS selinux_enforced, crashes + kills > 0 AS has_findings FROM n")
+@query(f"""WITH {E}, n AS (SELECT user_id AS capture_id, count(*) FILTER (WHERE event_type = 'error' AND k > 60) AS java_crashes, count(*) FILTER (WHERE event_type = 'signup' AND k > 80) AS native_crashes, count(*) FILTER (WHERE event_type = 'click' AND k > 90) AS anrs,
+count(*) FILTER (WHERE event_type = 'purchase' AND k % 9 = 1) AS wifi_disconnects FROM e GROUP BY 1) SELECT *, java_crashes + native_crashes + anrs + wifi_disconnects > 0 AS has_findings FROM n""")
 def capture_severity(spark, d):
-    zero = F.lit(0).cast("long")
-    return summary.severity_badge(_counts(spark, d).select("capture_id", "crashes", zero.alias("tombstones"), zero.alias("anrs"), F.col("kills").alias("selinux_enforced")))
+    e = events(spark, d).withColumn("capture_id", F.col("user_id"))
+    kinds = F.when(F.col("k") % 9 == 1, "disconnection").otherwise("association")
+    tables = {"crash_events": e.where("event_type = 'error' AND k > 60"), "tombstones": e.where("event_type = 'signup' AND k > 80"), "anrs": e.where("event_type = 'click' AND k > 90"), "wifi_events": e.where("event_type = 'purchase'").withColumn("kind", kinds)}
+    return summary.severity_badge(summary.report_counts(e, tables, tuple(summary.SERIOUS.values())))
 
 
 @query(f"WITH {E}, {COUNTS} SELECT count(*) AS capture_count, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("crashes", "wifi_disconnections", "kills", "freeze_events", "unfreeze_events")) + " FROM n")
@@ -490,12 +493,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import parser_queries  # noqa: F401 - adds its own
+    from . import diagnosis_queries, parser_queries  # noqa: F401 - add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import parser_queries  # noqa: F401 - adds its own
+    from . import diagnosis_queries, parser_queries  # noqa: F401 - add their own
 
     return dict(SQL)

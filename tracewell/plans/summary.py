@@ -23,10 +23,39 @@ def capture_counts(captures: DataFrame, facts: dict[str, DataFrame], kinds: dict
     return out
 
 
+#: Counts of a capture's report: the table of each, and which of its rows count.
+REPORT = {
+    "packages": ("package_facts", None), "focus_events": ("focus_events", None), "focus_stack_entries": ("focus_stack", None), "media_sessions": ("media_sessions", None),
+    "foreground_services": ("foreground_services", None), "java_crashes": ("crash_events", None), "native_crashes": ("tombstones", None), "anrs": ("anrs", None),
+    "process_kills": ("process_kills", "kind = 'kill'"), "selinux_denials": ("selinux_denials", None), "selinux_enforced_denials": ("selinux_denials", "enforcing <=> true"),
+    "wifi_disconnections": ("wifi_events", "kind = 'disconnection'"),
+}
+#: Counts that badge a capture in a list.
+SERIOUS = {"java_crashes": "java_crashes", "native_crashes": "native_crashes", "anrs": "anrs", "wifi_disconnects": "wifi_disconnections"}
+
+
+def report_counts(captures: DataFrame, tables: dict[str, DataFrame], names: tuple[str, ...] = (*REPORT, "freeze_events", "unfreeze_events")) -> DataFrame:
+    """One row per capture with the counts of its report; deaths are no kills, permissive denials not enforced, and freezes are summed up.
+
+    A table is read once, whatever number of counts is made of it.
+    """
+    out = captures.select("capture_id").distinct()
+    parts: dict[str, list[Column]] = {}
+    for name in names:
+        if name in REPORT:
+            table, which = REPORT[name]
+            parts.setdefault(table, []).append(F.count_if(F.lit(True) if which is None else F.expr(which)).alias(name))
+        else:
+            parts.setdefault("freeze_summary", []).append(F.sum(name.replace("events", "count")).alias(name))
+    for table, counts in parts.items():
+        out = out.join(tables[table].groupBy("capture_id").agg(*counts), "capture_id", "left")
+    return out.select("capture_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+
 def severity_badge(counts: DataFrame) -> DataFrame:
-    """``has_findings`` where any of the four counts of serious facts is above 0."""
-    any_of = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in ("crashes", "tombstones", "anrs", "selinux_enforced")])
-    return counts.withColumn("has_findings", any_of)
+    """The four counts of serious facts, and ``has_findings`` where any of them is above 0."""
+    badge = counts.select("capture_id", *[F.col(c).alias(name) for name, c in SERIOUS.items()])
+    return badge.withColumn("has_findings", reduce(lambda a, b: a | b, [F.col(c) > 0 for c in SERIOUS]))
 
 
 def notable_hci() -> Column:
@@ -78,11 +107,15 @@ def merged_battery(stats: DataFrame, n: int = TOP_BATTERY) -> DataFrame:
     return stats.orderBy(F.desc("total_mah"), "capture_id", "ord").limit(n)
 
 
-def merged_summary(captures: DataFrame, facts: dict[str, DataFrame], lists: dict[str, DataFrame], freezes: DataFrame) -> DataFrame:
-    """One JSON document for several captures: their number, summed counts, and rows tagged with their capture's file name."""
-    out = merged_counts(capture_counts(captures, facts)).select(F.struct("*").alias("counts"))
+def merged_summary(captures: DataFrame, counts: DataFrame, lists: dict[str, DataFrame], freezes: DataFrame) -> DataFrame:
+    """One JSON document for several captures: which they are, summed counts, and rows tagged with their capture's file name, in order."""
+    own = captures.select("capture_id", "original_filename", "ingested_at").distinct()
+    out = own.agg(F.sort_array(F.collect_list(F.struct("capture_id", "original_filename", "ingested_at"))).alias("captures")).join(F.broadcast(merged_counts(counts).select("capture_count", F.struct("*").alias("counts"))))
     for name, rows in {**{k: tagged(v.drop("original_filename"), captures) for k, v in lists.items()}, "top_freeze_offenders": freezes}.items():
-        out = out.withColumn(name, rows.agg(F.sort_array(F.collect_list(F.to_json(F.struct("*")))).alias(name)).scalar())
+        key = [c for c in ("timestamp", "kind_ord", "capture_id", "ord") if c in rows.columns] if name == "timeline" else [c for c in ("capture_id", "ord") if c in rows.columns]
+        by = [(-F.col("total_mah"))] if "total_mah" in rows.columns else [-(F.col("freeze_count") + F.col("unfreeze_count")), F.col("package")] if rows is freezes else []
+        many = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.struct(F.lit(0), *by, *key).alias("k"), F.to_json(F.struct("*")).alias("v")))), lambda x: x["v"]).alias(name))
+        out = out.withColumn(name, many.scalar())
     return out.select(F.to_json(F.struct("*")).alias("summary"))
 
 
@@ -96,11 +129,11 @@ def tagged(rows: DataFrame, captures: DataFrame) -> DataFrame:
     return rows.join(captures.select("capture_id", "original_filename"), "capture_id", "left")
 
 
-def capture_summary(captures: DataFrame, facts: dict[str, DataFrame], lists: dict[str, DataFrame]) -> DataFrame:
-    """One JSON document per capture: its counts, and every list of rows in order.  A list belongs to one capture's report."""
-    out = capture_counts(captures, facts)
-    counts = F.struct(*[c for c in out.columns if c != "capture_id"])
-    out = captures.join(out.select("capture_id", counts.alias("counts")), "capture_id")
+def capture_summary(captures: DataFrame, counts: DataFrame, lists: dict[str, DataFrame], single: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One JSON document per capture: its counts, every list of rows in order, and single rows as they are.  A list belongs to one capture's report."""
+    out = captures.join(counts.select("capture_id", F.struct(*[c for c in counts.columns if c != "capture_id"]).alias("counts")), "capture_id")
+    for name, rows in (single or {}).items():
+        out = out.join(rows.groupBy("capture_id").agg(F.first(F.struct(*[c for c in rows.columns if c not in ("capture_id", "id")])).alias(name)), "capture_id", "left")
     for name, rows in lists.items():
         rest = [c for c in rows.columns if c not in ("capture_id", "id")]
         key = [c for c in ("timestamp", "kind_ord", "ord") if c in rest]

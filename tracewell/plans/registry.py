@@ -493,12 +493,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import diagnosis_queries, parser_queries  # noqa: F401 - add their own
+    from . import diagnosis_queries, parser_queries, stream_queries  # noqa: F401 - add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import diagnosis_queries, parser_queries  # noqa: F401 - add their own
+    from . import diagnosis_queries, parser_queries, stream_queries  # noqa: F401 - add their own
 
     return dict(SQL)

@@ -395,6 +395,57 @@ def test_ingest_and_ask(spark, tmp_path):
     assert [c["original_filename"] for c in sorted(text["captures"], key=lambda c: c["original_filename"])] == ["a.zip", "b.txt", "c.pcap"] and text["counts"]["java_crashes"] == 2 and text["counts"]["process_kills"] == 2 and len(text["device_infos"]) == 2 and len(text["packet_analysis"]) == 1
 
 
+def test_commit_and_added_parser(spark, tmp_path, monkeypatch):
+    """A failure between tables shows nothing; a second run adds what the first did not, a third adds nothing; an added parser's facts are there."""
+    from tracewell.plans import parsers
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.txt").write_text(report().replace("DUMP OF SERVICE package:", "DUMP OF SERVICE own:\nlevel 7\nno level\nlevel 9\n--------- 0.1s was the duration of dumpsys own, x\nDUMP OF SERVICE package:"))
+    shape = "capture_id long, level int, ord long"
+    level = lambda lines: lines.where("line LIKE 'level %'").select("capture_id", F.expr("CAST(substr(line, 7) AS INT)").alias("level"), F.col("line_no").alias("ord"))
+    parsers.register(spark, "levels", ("own",), shape, level)
+    try:
+        for bad in (("levels", ("own",), shape, level), ("other", ("own",), "capture_id long, ord long, more string", level), ("other", ("own",), "level int", level), ("other", (), shape, level)):
+            with pytest.raises(ValueError, match=bad[0]):
+                parsers.register(spark, *bad)
+        store, whole = Store(spark, str(tmp_path / "store")), facts.persist
+        written = []
+
+        def half(df, place, table, batch):
+            if len(written) == 5:
+                raise RuntimeError("lost")
+            written.append(table)
+            whole(df, place, table, batch)
+
+        monkeypatch.setattr(facts, "persist", half)
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest(spark, str(tmp_path / "in"), store.path, "phone")
+        monkeypatch.setattr(facts, "persist", whole)
+        assert all(store.table(t).isEmpty() for t in written) and facts.commits(spark, store.path).isEmpty()
+        receipts = [ingest(spark, str(tmp_path / "in"), store.path, "phone").collect() for _ in range(2)]
+        assert len(receipts[1]) == 1 and receipts[0][0].fact_counts == receipts[1][0].fact_counts
+        assert receipts[1][0].fact_counts["levels"] == 2 and receipts[1][0].fact_counts["crash_events"] == 1
+        assert sorted(r.level for r in store.table("levels").collect()) == [7, 9] and store.device_captures("phone").count() == 1
+    finally:
+        parsers.unregister("levels")
+
+
+def test_search_finds_what_comparing_every_row_finds(spark):
+    from tracewell.plans import diagnosis_queries, search
+
+    tables = {k: v.where("capture_id < 3").limit(40) for k, v in diagnosis_queries.fact_tables(spark, "/root/testdata/sf0.001").items()}
+    rows = [tuple(r) for r in search.row_texts(tables).select("table", "row_id", "text").collect()]
+    texts = spark.createDataFrame([(t, 1, x) for t, _, x in rows], "table string, capture_id long, text string").withColumn("row_id", F.xxhash64("table", "capture_id", "text"))
+    terms = ["user1", " COM.User ", "a", "z9", '"k', ":", "}", "", None, "no such thing", "é", "app\"", "\\n", "disconnection", "  "]
+    got = sorted(map(tuple, search.found(spark.createDataFrame(list(enumerate(terms)), "term_id int, term string"), texts, search.postings(texts)).groupBy("term_id", "table").count().collect()))
+    want = {}
+    for i, term in enumerate(terms):
+        for table, _, text in rows:
+            if term is not None and term.strip().lower() in text:
+                want[i, table] = want.get((i, table), 0) + 1
+    assert got == sorted((*k, n) for k, n in want.items()) and len(want) > 60
+
+
 def test_radio_headers(spark):
     frame = bytes([0x80, 8]) + b"\0\0" + b"\xff" * 6 + bytes.fromhex("aabbccddeeff") * 2 + b"\0" * 14 + b"\x03\x01\x06\0\x02a\xff"
     two = struct.pack("<HII", 31, 0xFFFFFFFF & (1 << 31 | 0b101111), 0) + b"\0" * 4 + b"\x01" * 8 + b"\x02" + b"\x03" + b"\x04" * 4 + bytes([200])  # signal behind clock, flags and channel

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..sources.places import opened
+
 #: What makes two events of live and rotated logs the same.
 KEYS = {
     "freeze": ("timestamp", "event_type", "pid", "process"),
@@ -40,17 +43,39 @@ def freeze_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("capture_id", "package").agg(F.count_if(F.col("event_type") == "freeze").alias("freeze_count"), F.count_if(F.col("event_type") == "unfreeze").alias("unfreeze_count"))
 
 
-def persist(df: DataFrame, store: str, table: str) -> None:
-    """Append facts to the store, a folder per capture so that scans of a few captures read no others."""
-    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{store}/_schemas/{table}")
-    df.write.mode("append").partitionBy("capture_id").parquet(f"{store}/{table}")
+COMMIT = "batch string, capture_id long"
+
+
+def persist(df: DataFrame, store: str, table: str, batch: str) -> None:
+    """Write a batch's facts to the store, sorted by capture so that row groups of other captures are passed over.
+
+    They count once the batch is committed; a batch that fails on the way leaves nothing that a reader sees.
+    """
+    spark = df.sparkSession
+    fs, path = opened(f"{store}/_schemas/{table}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{store}/_schemas/{table}")
+    df.sortWithinPartitions("capture_id").write.mode("overwrite").parquet(f"{store}/{table}/batch={batch}")
+
+
+def commit(captures: DataFrame, store: str, batch: str) -> None:
+    """Make all facts of these captures visible at once: one small file, which appears whole or not at all."""
+    captures.select(F.lit(batch).alias("batch"), "capture_id").distinct().coalesce(1).write.mode("append").parquet(f"{store}/_commits")
+
+
+def commits(spark: SparkSession, store: str) -> DataFrame:
+    """``batch, capture_id`` of what has been committed."""
+    fs, path = opened(f"{store}/_commits")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return spark.createDataFrame([], COMMIT)
+    return spark.read.schema(COMMIT).parquet(f"{store}/_commits")
 
 
 def stored(spark: SparkSession, store: str, table: str) -> DataFrame:
-    """A table of the store, with its own schema even while it is empty."""
+    """The committed rows of a table of the store, with its own schema even while it is empty."""
     schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{store}/_schemas/{table}").first().schema))
-    rest = T.StructType([f for f in schema.fields if f.name != "capture_id"] + [schema["capture_id"]])
-    return spark.read.schema(rest).parquet(f"{store}/{table}").select(*schema.names)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(f"{store}/{table}")
+    return rows.join(commits(spark, store), ["batch", "capture_id"], "left_semi").select(*schema.names)
 
 
 def get_or_create(spark: SparkSession, store: str, table: str, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import diagnosis, summary
+from ..operators import facts
+from ..sources.places import scratch, written
+from . import diagnosis, search, summary
 from .registry import E, events, query, read
 
 
@@ -123,3 +125,34 @@ count(*) FILTER (WHERE event_type = 'view') AS freeze_events, count(*) FILTER (W
 def report_counts(spark, d):
     """All counts of the reports, by the kinds of their rows."""
     return summary.report_counts(captures_of(spark, d), fact_tables(spark, d))
+
+
+def search_terms(spark, d) -> DataFrame:
+    """Pieces of rows: of their numbers, kinds and quotes, in any case, with blanks around; short ones, an empty one, a null one and some in no row."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("term_id"))
+    i = F.col("term_id")
+    said = F.when(i % 5 == 0, F.concat(F.lit(' "USER_id":'), (i % 150).cast("string"), F.lit(", "))).when(i % 5 == 1, F.concat(F.lit("k\\\": "), (i % 100).cast("string"))).when(i % 5 == 2, F.substr(F.lit("PURCHASEsignupView"), (i % 17 + 1).cast("int"), F.lit(4)))
+    said = said.when(i % 5 == 3, (i % 100).cast("string")).when(i == 4, "").when(i == 9, F.lit(None).cast("string")).otherwise(F.concat(F.lit("nowhere"), i.cast("string")))
+    return c.where("term_id < 60").select("term_id", said.alias("term"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS term_id, lower(trim(CASE WHEN c_custkey % 5 = 0 THEN ' "USER_id":' || (c_custkey % 150) || ', ' WHEN c_custkey % 5 = 1 THEN 'k\\": ' || (c_custkey % 100) WHEN c_custkey % 5 = 2 THEN substr('PURCHASEsignupView', c_custkey % 17 + 1, 4)
+  WHEN c_custkey % 5 = 3 THEN CAST(c_custkey % 100 AS VARCHAR) WHEN c_custkey = 4 THEN '' WHEN c_custkey = 9 THEN NULL ELSE 'nowhere' || c_custkey END)) AS term FROM customer WHERE c_custkey < 60),
+r AS (SELECT user_id % 8 AS capture_id, lower(CAST(to_json({'capture_id': user_id % 8, 'event_id': event_id, 'user_id': user_id, 'event_type': event_type, 'props': props}) AS VARCHAR)) AS text FROM events)
+SELECT term_id, capture_id, count(*) AS rows FROM t, r WHERE contains(text, term) GROUP BY ALL""".replace("\\\\", "\\"))
+def search_rows(spark, d):
+    rows = events(spark, d).join(read(spark, d, "events").select("event_id", "props"), "event_id").select("capture_id", "event_id", "user_id", "event_type", "props")
+    texts = search.row_texts({"events": rows})
+    index = written(search.postings(texts), "postings")
+    return search.found(search_terms(spark, d), texts, index).groupBy("term_id", "capture_id").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {E}, x AS (SELECT * FROM e WHERE capture_id <> 2) SELECT event_id, capture_id, package FROM x""")
+def store_committed_rows(spark, d):
+    """Facts of two batches, of which one lacks its commit for a capture."""
+    e = events(spark, d).select("event_id", "capture_id", "package")
+    place = scratch(spark, "store")
+    for batch, which in (("a", "capture_id % 2 = 0"), ("b", "capture_id % 2 = 1")):
+        facts.persist(e.where(which), place, "events", batch)
+        facts.commit(e.where(which).where("capture_id <> 2").select("capture_id"), place, batch)
+    return facts.stored(spark, place, "events")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks, facts, log_lines, packets
 from ..operators.sections import WANTED, section_intervals, section_lines
 from ..sources import captures as files
-from ..sources.places import written
-from . import diagnosis, evidence, summary
+from ..sources.places import opened, written
+from . import diagnosis, evidence, parsers, summary
 
 #: What is missed when a section is not there.
 MISSING = {n: f"section '{n}' not found in this capture" for n in WANTED if n != "preamble"}
@@ -46,7 +47,7 @@ def parse_reports(spark: SparkSession, path: str, staging: str | None = None) ->
     found = files.files(spark, path)
     rows = kept(files.report_rows(spark, path), staging, "report")
     report = files.lines_of(rows)
-    lines = kept(section_lines(report), staging, "lines", "section")
+    lines = kept(section_lines(report, parsers.sections()), staging, "lines", "section")
     entries = kept(files.archive_entries(spark, path), staging, "entries", "role")
     rotated = kept(files.rotated_lines(spark, path), staging, "rotated")
     of = lambda *names: lines.where(F.col("section").isin(*names))
@@ -65,6 +66,7 @@ def parse_reports(spark: SparkSession, path: str, staging: str | None = None) ->
         "bt_hci_events": packets.hci_events(hci), "bt_hci_summary": packets.hci_summary(hci),
     }
     out["freeze_summary"] = facts.freeze_summary(out["freeze_events"])
+    out |= {p.name: p.facts(of(*p.sections)) for p in parsers.PARSERS.values()}
     reports = found.where("kind IN ('.zip', '.txt')").select("capture_id", "kind")
     have = section_intervals(report).select("capture_id", F.col("name").alias("section"))
     wanted = spark.createDataFrame(list(MISSING.items()), "section string, warning string")
@@ -101,32 +103,46 @@ def fact_counts(captures: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, store: str, device: str, investigation: str | None = None) -> DataFrame:
-    """Append all facts of the files below ``path`` to ``store``; the receipt: captures with the number of facts of each table and their warnings.
+    """Add all facts of the files below ``path`` to ``store``; the receipt: captures with the number of facts of each table and their warnings.
 
-    What the files hold is staged in the store while tables are made of it.
+    What the files hold is staged in the store while tables are made of it.  All tables of a call become visible by one commit;
+    a call that fails has changed nothing, and a file that has been committed is not added again.
     """
     devices = facts.get_or_create(spark, store, "device", spark.createDataFrame([(device,)], "label string"))
     device_id = devices.where(F.col("label") == device).first().id
     found = files.files(spark, path)
-    captures = found.select("capture_id", F.lit(device_id).alias("device_id"), F.col("name").alias("original_filename"), F.current_timestamp().alias("ingested_at"), F.lit(None).cast("timestamp").alias("captured_at"))
-    captures.write.mode("append").parquet(f"{store}/capture")
-    if investigation is not None:
-        made = facts.get_or_create(spark, store, "investigation", spark.createDataFrame([(investigation,)], "label string"))
-        own = made.where(F.col("label") == investigation).first().id
-        captures.select("capture_id", F.lit(own).alias("investigation_id")).write.mode("append").parquet(f"{store}/investigation_capture_link")
-    staging = f"{store}/_staging-{uuid.uuid4().hex}"
-    tables = parse_reports(spark, path, staging)
-    more = parse_packets(spark, path, staging)
-    tables["warnings"] = tables["warnings"].unionByName(more.pop("warnings"))
-    for name, rows in (tables | more).items():
-        facts.persist(rows, store, name)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    stored = spark.read.parquet(f"{store}/capture").join(found.select("capture_id"), "capture_id", "left_semi")
-    stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in (tables | more) if n != "warnings"})
+    new = written(found.join(facts.commits(spark, store), "capture_id", "left_anti"), "new-captures")
+    tables = {}
+    if not new.isEmpty():
+        batch = uuid.uuid4().hex
+        own = lambda rows: rows.join(new.select("capture_id"), "capture_id", "left_semi").select(*rows.columns)
+        captures = new.select("capture_id", F.lit(device_id).alias("device_id"), F.col("name").alias("original_filename"), F.current_timestamp().alias("ingested_at"), F.lit(None).cast("timestamp").alias("captured_at"))
+        staging = f"{store}/_staging-{batch}"
+        tables = parse_reports(spark, path, staging)
+        more = parse_packets(spark, path, staging)
+        tables["warnings"] = tables["warnings"].unionByName(more.pop("warnings"))
+        links = spark.createDataFrame([], "capture_id long, investigation_id long")
+        if investigation is not None:
+            made = facts.get_or_create(spark, store, "investigation", spark.createDataFrame([(investigation,)], "label string"))
+            links = captures.select("capture_id", F.lit(made.where(F.col("label") == investigation).first().id).alias("investigation_id"))
+        for name, rows in (tables | more).items():
+            facts.persist(own(rows), store, name, batch)
+        facts.persist(links, store, "investigation_capture_link", batch)
+        facts.persist(captures, store, "capture", batch)
+        facts.commit(captures, store, batch)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    stored = facts.stored(spark, store, "capture").join(found.select("capture_id"), "capture_id", "left_semi")
+    stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in fact_names(spark, store) if n not in ("warnings", "capture", "investigation_capture_link")})
     return stored.join(facts.stored(spark, store, "warnings").groupBy("capture_id").agg(F.sort_array(F.collect_set("warning")).alias("parse_warnings")), "capture_id", "left")
 
 
+def fact_names(spark: SparkSession, store: str) -> list[str]:
+    """Tables that the store has a schema of."""
+    fs, path = opened(f"{store}/_schemas")
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path)))
+
+
 class Store:
     """Reads of a store.  Unknown labels and ids raise ``KeyError``."""
 
@@ -134,7 +150,7 @@ class Store:
         self.spark, self.path = spark, path
 
     def table(self, name: str) -> DataFrame:
-        plain = name in ("device", "investigation", "capture", "investigation_capture_link")
+        plain = name in ("device", "investigation")
         return self.spark.read.parquet(f"{self.path}/{name}") if plain else facts.stored(self.spark, self.path, name)
 
     def devices(self) -> DataFrame:

@@ -446,6 +446,32 @@ def test_search_finds_what_comparing_every_row_finds(spark):
     assert got == sorted((*k, n) for k, n in want.items()) and len(want) > 60
 
 
+def long_section(name, *parts):
+    """Parts dealt over some 700 lines, with lines between them that belong to nothing."""
+    r, out = random.Random(name), []
+    for i in range(60):
+        out += r.choice(parts).replace("%d", str(i)).split("\n") + [f"    filler {i}"] * r.randrange(3)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize(("section", "parse", "text"), [
+    ("package", blocks.package_facts, long_section("p", "  Package [com.x%d] (2459f93):\n    versionCode=5 minSdk=21\n    versionName=1.0\n    appId=10077", "  Package [com.y] (ab):\n    versionCode=%d targetSdk=3", "    versionName=9.%d")),
+    ("media_session", blocks.media_sessions, "Media button session is com.m7/x\n" + long_section("m", "    tag com.m%d/foo/3 (userId=0)\n      active=true", "      package=com.n%d", "      state=PlaybackState {state=PLAYING(3), position=%d, buffered=1, speed=1.0, updated=5,", "Audio %d")),
+    ("activity", blocks.foreground_services, long_section("s", "  * ServiceRecord{ab u0 com.s%d/.Svc c:com.call}", "    infoAllowStartForeground=[callingPackage: com.q; callingUid: %d]", "x\n" * 70)),
+    ("batterystats", blocks.battery_uid_stats, "Estimated power use (mAh):\n" + long_section("b", "  UID u0a%d: 99.0 fg: 12.2 (1m) bg: 3\n    cpu=7.05 wifi=1", "    cpu=%d screen=4") + "\nDone\n  UID 5: 1"),
+    ("audio", blocks.focus_stack, "Audio Focus stack entries (last is top of stack):\n" + long_section("f", "  source:A -- pack: com.a%d -- client: c1 -- gain: GAIN -- flags: -- loss: none -- notified: true -- limbofalse -- uid: 10 -- attr: A=b -- sdk:35", "  odd") + "\n\nno"),
+    ("audio", blocks.focus_events, "focus commands as seen by MediaFocusControl\n" + long_section("g", "08-13 22:36:25:419 requestAudioFocus() from uid/pid 10/20 AA=USAGE_MEDIA clientId=cl callingPack=com.a%d req=1 flags=0x0 sdk=35", "08-13 22:36:25:420 ").replace("    filler", "08-13 22:36:25:421") + "\nend\n08-13 22:36:25:423 abandonAudioFocus() from uid/pid 10/20 clientId=cl callingPack=com.z"),
+    ("system_log", blocks.crash_events, long_section("c", crash("FATAL EXCEPTION: main%d", "Process: com.a.b:remote, PID: 77", "java.lang.RuntimeException: outer", "\tat a.B.c(B.java:1)", "Caused by: x.MiddleException: mid", "\tat m.N.o(N.java:2)"), crash(*["\tat a.B.c(B.java:%d)"] * 9), crash("Caused by: y.DeepException: deep%d", "\tat d.E.f(E.java:3)"))),
+])
+def test_blocks_do_not_depend_on_ranges(spark, monkeypatch, section, parse, text):
+    """Ranges of 100 lines, and of 3, against one range."""
+    got = []
+    for size in (1 << 16, 100, 3):
+        monkeypatch.setattr(blocks, "RANGE", size)
+        got.append(sorted(str(r) for r in parse(table(spark, text, section)).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 5
+
+
 def test_radio_headers(spark):
     frame = bytes([0x80, 8]) + b"\0\0" + b"\xff" * 6 + bytes.fromhex("aabbccddeeff") * 2 + b"\0" * 14 + b"\x03\x01\x06\0\x02a\xff"
     two = struct.pack("<HII", 31, 0xFFFFFFFF & (1 << 31 | 0b101111), 0) + b"\0" * 4 + b"\x01" * 8 + b"\x02" + b"\x03" + b"\x04" * 4 + bytes([200])  # signal behind clock, flags and channel

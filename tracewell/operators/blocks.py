@@ -1,6 +1,7 @@
 """Facts spread over several lines of a section: blocks under a header, runs of lines, look-ahead.
 
-Lines: ``capture_id, section, line_no, line``.  All windows are over one capture's section, after a filter to it.
+Lines: ``capture_id, section, line_no, line``.  A long section is no task's whole work: it is dealt out by ranges of lines,
+each range is summed up by the last mark in it, and the sums of the ranges before are carried into it.
 """
 
 from __future__ import annotations
@@ -13,12 +14,32 @@ from ..functions.expr import grab, matches, resolve_uid, rx, some, truth
 from .log_lines import NUMERIC, STAMP
 
 
-def section():
-    return W.partitionBy("capture_id", "section")
+SECTION = ["capture_id", "section"]
+#: Lines of a section that are sorted and scanned together.
+RANGE = 1 << 16
 
 
-def in_order():
-    return section().orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+def carried(lines: DataFrame, mark: Column, name: str) -> DataFrame:
+    """``lines`` with ``name``: the last mark that is not null up to each line of its section.
+
+    Ranges are scanned on their own; of the ranges before, a row each, the last mark is carried in.
+    """
+    own = lines.withColumns({name: mark, "range": F.floor(F.col("line_no") / RANGE)})
+    ends = own.groupBy(*SECTION, "range").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias("end"))
+    before = W.partitionBy(*SECTION).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*SECTION, "range", F.last("end", ignorenulls=True).over(before).alias("before"))
+    inside = W.partitionBy(*SECTION, "range").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    scanned = own.withColumn(name, F.last(name, ignorenulls=True).over(inside)).join(ends, [*SECTION, "range"])
+    return scanned.withColumn(name, F.coalesce(name, "before")).drop("range", "before")
+
+
+def of_section(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` with an aggregate of their section, which is summed up before it meets them."""
+    return lines.join(lines.groupBy(*SECTION).agg(value.alias(name)), SECTION)
+
+
+def first_line(where: Column) -> Column:
+    return F.min(F.when(where, F.col("line_no")))
 
 
 #: Line shapes.
@@ -73,8 +94,7 @@ def source(name: str | Column, start: Column, end: Column) -> list[Column]:
 
 def under(lines: DataFrame, pattern: str) -> DataFrame:
     """Lines from the first header on, with ``head``: the line number of the last header up to each."""
-    head = F.when(matches(F.col("line"), pattern), F.col("line_no"))
-    return lines.withColumn("head", F.last(head, ignorenulls=True).over(in_order())).where("head IS NOT NULL")
+    return carried(lines, F.when(matches(F.col("line"), pattern), F.col("line_no")), "head").where("head IS NOT NULL")
 
 
 def last_of(value: Column) -> Column:
@@ -87,14 +107,15 @@ def first_of(value: Column) -> Column:
 
 def after_header(lines: DataFrame, header: str, stop: Column) -> DataFrame:
     """Lines between the first line that is ``header`` and the first one after it where ``stop`` holds."""
-    lines = lines.withColumn("h", F.min(F.when(F.trim("line") == header, F.col("line_no"))).over(section())).where("line_no > h")
-    return lines.withColumn("e", F.min(F.when(stop, F.col("line_no"))).over(section())).where("e IS NULL OR line_no < e")
+    lines = of_section(lines, first_line(F.trim("line") == header), "h").where("line_no > h")
+    return of_section(lines, first_line(stop), "e").where("e IS NULL OR line_no < e")
 
 
 def focus_stack(lines: DataFrame) -> DataFrame:
     """The last line of the block is the top of the stack, whether or not each line has the entry's shape."""
     line = F.col("line")
-    rows = after_header(lines.where("section = 'audio'"), STACK_HEADER, F.trim("line") == "").withColumn("top", F.col("line_no") == F.max("line_no").over(section()))
+    rows = after_header(lines.where("section = 'audio'"), STACK_HEADER, F.trim("line") == "")
+    rows = of_section(rows, F.max("line_no"), "end").withColumn("top", F.col("line_no") == F.col("end"))
     of = lambda g: F.regexp_extract(line, rx(STACK), g)
     return rows.where(matches(line, STACK)).select(
         "capture_id", of(1).alias("package"), of(8).try_cast("int").alias("uid"), of(2).alias("client_id"), of(3).alias("gain"), of(4).alias("flags"), of(5).alias("loss"),
@@ -105,9 +126,9 @@ def focus_stack(lines: DataFrame) -> DataFrame:
 
 def focus_events(lines: DataFrame) -> DataFrame:
     line = F.col("line")
-    audio = lines.where("section = 'audio'").withColumn("h", F.min(F.when(line.contains(EVENTS_HEADER), F.col("line_no"))).over(section())).where("line_no > h")
+    audio = of_section(lines.where("section = 'audio'"), first_line(line.contains(EVENTS_HEADER)), "h").where("line_no > h")
     stop = (F.trim("line") != "") & ~matches(line, FOCUS_STAMP)
-    rows = audio.withColumn("e", F.min(F.when(stop, F.col("line_no"))).over(section())).where("e IS NULL OR line_no < e")
+    rows = of_section(audio, first_line(stop), "e").where("e IS NULL OR line_no < e")
     shapes = {"request": REQUEST, "abandon": ABANDON, "owner_change": OWNER}
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(shapes.items()):
@@ -139,9 +160,9 @@ def package_facts(lines: DataFrame) -> DataFrame:
 
 def media_sessions(lines: DataFrame) -> DataFrame:
     line = F.col("line")
-    rows = lines.where("section = 'media_session'").withColumn("button", F.min_by(grab(line, BUTTON), F.when(matches(line, BUTTON), F.col("line_no"))).over(section()))
+    rows = of_section(lines.where("section = 'media_session'"), F.min_by(grab(line, BUTTON), F.when(matches(line, BUTTON), F.col("line_no"))), "button")
     edge = F.when(matches(line, SESSION), F.col("line_no")).when((F.trim("line") != "") & ~line.rlike(r"^\s"), F.lit(-1))
-    rows = rows.withColumn("head", F.last(edge, ignorenulls=True).over(in_order())).where("head > 0")
+    rows = carried(rows, edge, "head").where("head > 0")
     block = rows.groupBy("capture_id", "head", "button").agg(
         F.min_by(grab(line, SESSION, 1), "line_no").alias("session_tag"), F.coalesce(last_of(grab(line, OWN_PACKAGE)), F.min_by(grab(line, SESSION, 2), "line_no")).alias("package"),
         F.coalesce(last_of(grab(line, ACTIVE)) == "true", F.lit(False)).alias("active"), last_of(grab(line, PLAYBACK, 1)).alias("playback_state"),
@@ -175,13 +196,13 @@ def crash_events(lines: DataFrame) -> DataFrame:
     """Runs of consecutive runtime lines that begin with a fatal one: process, first exception, deepest cause and its frame."""
     line, rest = F.col("line"), F.col("rest")
     own = lines.where(line.contains("E AndroidRuntime: ") & matches(line, RUNTIME)).withColumn("rest", F.regexp_extract(line, rx(RUNTIME), 2))
-    order = section().orderBy("line_no")
-    fatal = matches(rest, FATAL)
-    fresh = fatal | (F.col("line_no") - F.coalesce(F.lag("line_no").over(order), F.lit(-9)) != 1)
-    runs = own.withColumn("run", F.sum(fresh.cast("int")).over(in_order())).withColumn("rest_next", F.lead("rest").over(W.partitionBy("capture_id", "section", "run").orderBy("line_no")))
-    skipped = F.lead("rest", 2).over(W.partitionBy("capture_id", "section", "run").orderBy("line_no"))
-    runs = runs.withColumn("below", F.when(matches(F.col("rest_next"), PROCESS), skipped).otherwise(F.col("rest_next")))
-    runs = runs.withColumn("head", F.min("line_no").over(W.partitionBy("capture_id", "section", "run"))).where(F.col("line_no") - F.col("head") < CRASH_LINES)
+    above = own.select(*SECTION, (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("joined"))
+    fresh = matches(rest, FATAL) | F.col("joined").isNull()
+    runs = carried(own.join(above, [*SECTION, "line_no"], "left"), F.when(fresh, F.col("line_no")), "run")
+    runs = runs.where(F.col("line_no") - F.col("run") < CRASH_LINES + 2)
+    in_run = W.partitionBy(*SECTION, "run").orderBy("line_no")
+    runs = runs.withColumns({"rest_next": F.lead("rest").over(in_run), "skipped": F.lead("rest", 2).over(in_run)})
+    runs = runs.withColumn("below", F.when(matches(F.col("rest_next"), PROCESS), F.col("skipped")).otherwise(F.col("rest_next"))).where(F.col("line_no") - F.col("run") < CRASH_LINES)
     thrown = F.struct(grab(rest, EXCEPTION, 1).alias("c"), grab(rest, EXCEPTION, 2).alias("m"))
     cause = F.struct(grab(rest, CAUSE, 1).alias("c"), grab(rest, CAUSE, 2).alias("m"), grab(F.col("below"), FRAME).alias("f"))
     block = runs.groupBy("capture_id", "section", "run").agg(

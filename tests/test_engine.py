@@ -13,7 +13,7 @@ from tracewell.functions.expr import cut_micros, iso_time, minute_of_day, resolv
 from tracewell.operators import blocks, facts, log_lines, packets
 from tracewell.operators.sections import section_intervals, section_lines
 from tracewell.plans import evidence, registry, summary
-from tracewell.plans.ingest import Store, ingest, parse_packets, parse_reports
+from tracewell.plans.ingest import REPORTED, Store, ingest, parse_packets, parse_reports
 from tracewell.sources import capture_source, captures, packet_walk
 from tracewell.sources.capture_source import starts_in
 from tracewell.sources.places import Bytes, opened
@@ -391,6 +391,11 @@ def test_ingest_and_ask(spark, tmp_path):
     assert (claim["confidence"], claim["matched_how"], claim["cross_capture_history"]["captures_checked"]) == ("HIGH", "literal_package_id", 3)
     hci = json.loads(bundle)["captures"][0]["bt_hci_summary"]["rows"]
     assert [e["kind"] for e in hci[0]["notable_events"]] == ["disconnection_complete", "command_complete"] and "packet_capture_summary" in bundle
+    for some in ("true", "original_filename <> 'b.txt'", "original_filename = 'a.zip'", "false"):
+        own = captures.where(some)
+        row, tables = one(store.overview(own)).asDict(recursive=True), {n: facts.of_captures(store.table(n), own) for n in REPORTED}
+        counts = one(summary.merged_counts(summary.report_counts(own, tables))).asDict()
+        assert {k: row[k] for k in counts} == {k: v or 0 for k, v in counts.items()} and row["n_events"] == facts.of_captures(store.timeline(), own).count()
     text = json.loads(store.merged_summary(captures).first().summary)
     assert [c["original_filename"] for c in sorted(text["captures"], key=lambda c: c["original_filename"])] == ["a.zip", "b.txt", "c.pcap"] and text["counts"]["java_crashes"] == 2 and text["counts"]["process_kills"] == 2 and len(text["device_infos"]) == 2 and len(text["packet_analysis"]) == 1
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..sources.places import scratch, written
-from . import diagnosis, search, summary
+from . import diagnosis, ingest, search, summary
 from .registry import E, events, query, read
 
 
@@ -156,3 +156,20 @@ def store_committed_rows(spark, d):
         facts.persist(e.where(which), place, "events", batch)
         facts.commit(e.where(which).where("capture_id <> 2").select("capture_id"), place, batch)
     return facts.stored(spark, place, "events")
+
+
+@query(f"""WITH {E}, c AS (SELECT * FROM e WHERE capture_id <> 4), b AS (SELECT capture_id, user_id, k, event_id FROM c WHERE event_type = 'purchase' AND k % 5 = 1 ORDER BY k DESC, capture_id, event_id LIMIT 15),
+t AS (SELECT stamp FROM c WHERE event_type = 'error' AND (k % 3 = 0 OR k % 3 = 1 AND k > 70 OR k % 3 = 2 AND k > 80) OR event_type = 'click' OR event_type = 'purchase' AND k % 5 = 2 AND k % 2 = 0 OR event_type = 'signup' AND k % 5 = 0 AND k % 2 = 1
+UNION ALL SELECT stamp FROM c WHERE event_type = 'click' AND k % 4 = 1 AND (k % 8 = 1 OR k % 3 = 2))
+SELECT (SELECT count(DISTINCT capture_id) FROM c) AS capture_count, (SELECT count(*) FROM c WHERE event_type = 'error' AND k % 3 = 0) AS java_crashes, (SELECT count(*) FROM c WHERE event_type = 'signup' AND k % 5 = 0 AND k % 2 = 1) AS process_kills,
+(SELECT count(*) FROM c WHERE event_type = 'view') AS freeze_events, (SELECT min(stamp) FROM t) AS first_time, (SELECT max(stamp) FROM t) AS last_time, (SELECT count(*) FROM t) AS n_events,
+(SELECT string_agg(capture_id || ':com.user' || user_id || '.app:' || k, ',' ORDER BY k DESC, capture_id, event_id) FROM b) AS top""")
+def merged_states(spark, d):
+    """Summaries of captures merged without one of them: no fact is read again."""
+    tables = fact_tables(spark, d)
+    tables["battery_uid_stats"] = tables["battery_uid_stats"].withColumn("uid", F.col("uid_token").cast("long"))
+    events_ = ingest.timeline_of(tables)
+    own = written(summary.states(captures_of(spark, d), tables, events_), "states")
+    out = summary.merged_states(own.where("capture_id <> 4"))
+    said = F.array_join(F.transform("top_battery", lambda b: F.concat_ws(":", b["capture_id"].cast("string"), b["package"], b["total_mah"].cast("long").cast("string"))), ",")
+    return out.select("capture_count", "java_crashes", "process_kills", "freeze_events", "first_time", "last_time", "n_events", said.alias("top"))

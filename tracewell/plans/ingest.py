@@ -24,6 +24,8 @@ DIAGNOSED = (
     "selinux_denials", "pairing_events", "companion_associations", "bt_hci_summary", "bt_hci_events", "packet_capture_summary", "packet_analysis", "device_info",
 )
 
+#: Kinds of the timeline and their tables.
+EVENTS = {"crash": "crash_events", "focus_event": "focus_events", "anr": "anrs", "native_crash": "tombstones", "bt_hci": "bt_hci_events", "wifi": "wifi_events", "process_kill": "process_kills"}
 #: Lists of rows in summaries, and tables that summaries read.
 LISTED = ("crash_events", "tombstones", "anrs", "wifi_events", "selinux_denials", "process_kills", "media_sessions", "focus_stack")
 REPORTED = (*LISTED, "package_facts", "focus_events", "foreground_services", "freeze_summary", "battery_uid_stats", "bt_hci_summary", "bt_hci_events", "packet_capture_summary", "packet_analysis", "device_info", "warnings")
@@ -127,16 +129,22 @@ def ingest(spark: SparkSession, path: str, store: str, device: str, investigatio
             links = captures.select("capture_id", F.lit(made.where(F.col("label") == investigation).first().id).alias("investigation_id"))
         for name, rows in (tables | more).items():
             facts.persist(own(rows), store, name, batch)
+        of_batch = {n: spark.read.schema(rows.schema).parquet(f"{store}/{n}/batch={batch}") for n, rows in (tables | more).items()}
+        facts.persist(summary.states(captures, of_batch, timeline_of(of_batch)), store, "summary_states", batch)
         facts.persist(links, store, "investigation_capture_link", batch)
         facts.persist(captures, store, "capture", batch)
         facts.commit(captures, store, batch)
         folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     stored = facts.stored(spark, store, "capture").join(found.select("capture_id"), "capture_id", "left_semi")
-    stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in fact_names(spark, store) if n not in ("warnings", "capture", "investigation_capture_link")})
+    stored = fact_counts(stored, {n: facts.stored(spark, store, n) for n in fact_names(spark, store) if n not in ("warnings", "capture", "investigation_capture_link", "summary_states")})
     return stored.join(facts.stored(spark, store, "warnings").groupBy("capture_id").agg(F.sort_array(F.collect_set("warning")).alias("parse_warnings")), "capture_id", "left")
 
 
+def timeline_of(tables: dict[str, DataFrame]) -> DataFrame:
+    return summary.timeline({k: tables[v] for k, v in EVENTS.items()})
+
+
 def fact_names(spark: SparkSession, store: str) -> list[str]:
     """Tables that the store has a schema of."""
     fs, path = opened(f"{store}/_schemas")
@@ -197,12 +205,12 @@ class Store:
         tables = {n: facts.of_captures(self.table(n), captures) for n in {summary.REPORT[c][0] for c in names}}
         return captures.join(summary.severity_badge(summary.report_counts(captures, tables, names)), "capture_id").orderBy("ingested_at")
 
-    def events(self) -> dict[str, DataFrame]:
-        names = {"crash": "crash_events", "focus_event": "focus_events", "anr": "anrs", "native_crash": "tombstones", "bt_hci": "bt_hci_events", "wifi": "wifi_events", "process_kill": "process_kills"}
-        return {k: self.table(v) for k, v in names.items()}
-
     def timeline(self) -> DataFrame:
-        return summary.timeline(self.events())
+        return timeline_of({n: self.table(n) for n in EVENTS.values()})
+
+    def overview(self, captures: DataFrame) -> DataFrame:
+        """Counts, highest battery rows and times of several captures, merged from what was summed up when they were ingested."""
+        return summary.merged_states(facts.of_captures(self.table("summary_states"), captures))
 
     def capture_summary(self, captures: DataFrame) -> DataFrame:
         tables = {n: facts.of_captures(self.table(n), captures) for n in REPORTED}

@@ -107,6 +107,30 @@ def merged_battery(stats: DataFrame, n: int = TOP_BATTERY) -> DataFrame:
     return stats.orderBy(F.desc("total_mah"), "capture_id", "ord").limit(n)
 
 
+def states(captures: DataFrame, tables: dict[str, DataFrame], events: DataFrame) -> DataFrame:
+    """``capture_id, counts, top_battery, first_time, last_time, n_events``: what of each capture's summary can be merged.
+
+    The highest rows of several captures are among the highest rows of each, so lists cut per capture lose nothing.
+    events: the timeline.  Empty times are unknown.
+    """
+    counted = report_counts(captures, tables)
+    counts = F.struct(*[c for c in counted.columns if c != "capture_id"])
+    top = top_battery(tables["battery_uid_stats"]).groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("total_mah")).alias("less"), "ord", "uid", "package", "total_mah"))).alias("top_battery"))
+    stamp = F.nullif("timestamp", F.lit(""))
+    spans = events.groupBy("capture_id").agg(F.min(stamp).alias("first_time"), F.max(stamp).alias("last_time"), F.count("*").alias("n_events"))
+    out = counted.select("capture_id", counts.alias("counts")).join(top, "capture_id", "left").join(spans, "capture_id", "left")
+    return out.withColumns({"top_battery": F.coalesce("top_battery", F.array().cast(top.schema["top_battery"].dataType)), "n_events": F.coalesce("n_events", F.lit(0).cast("long"))})
+
+
+def merged_states(own: DataFrame, n: int = TOP_BATTERY) -> DataFrame:
+    """One row of the states of any captures: their number, summed counts, the highest battery rows and the span of times; no fact is read."""
+    names = own.schema["counts"].dataType.fieldNames()
+    total = own.agg(F.count("*").alias("capture_count"), *[F.coalesce(F.sum(f"counts.{c}"), F.lit(0)).cast("long").alias(c) for c in names], F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"))
+    rows = own.select("capture_id", F.explode("top_battery").alias("b")).select("b.less", "capture_id", "b.ord", "b.uid", "b.package", "b.total_mah").orderBy("less", "capture_id", "ord").limit(n)
+    top = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("less", "capture_id", "ord", "uid", "package", "total_mah"))), lambda x: F.struct(x["capture_id"].alias("capture_id"), x["uid"].alias("uid"), x["package"].alias("package"), x["total_mah"].alias("total_mah"))).alias("top_battery"))
+    return total.withColumn("top_battery", top.scalar())
+
+
 def merged_summary(captures: DataFrame, counts: DataFrame, lists: dict[str, DataFrame], freezes: DataFrame) -> DataFrame:
     """One JSON document for several captures: which they are, summed counts, and rows tagged with their capture's file name, in order."""
     own = captures.select("capture_id", "original_filename", "ingested_at").distinct()

@@ -50,17 +50,26 @@ def either(words: Iterable[str]) -> str:
 
 
 _WORD, _DOT, _AT = either(SPOKEN), either(["dot"]), either(["at"])
-_SPOKEN_RUN = re.compile(rf"\b(?:{either(['plus'])}[\s-]+)?(?:{_WORD})(?:(?:[\s,-]+{_DOT})?[\s,-]+(?:{_WORD}))+\b")
+_SPOKEN_RUN = re.compile(rf"\b(?:{either(['plus'])}[\s-]+)?(?:{_WORD})(?:(?:[\s,-]+{_DOT})?[\s,-]+(?:{_WORD}))*\b")
 _SPOKEN_WORD = re.compile(rf"(?:[\s,-]*)\b({_WORD}|{either(['plus', 'dot'])})\b")
 _DIGIT_WORDS = frozenset(SPOKEN)
 _BEYOND = re.compile("[\U00010000-\U0010ffff]")
-#: Digits a spoken run has at least; shorter ones are speech.
+#: Identifiers have four digits at least, so a shorter run that stands beside no digit is part of none.
 SPOKEN_DIGITS = 4
-#: Last labels without which a spoken "at ... dot ..." is prose.
-LAST_LABELS = "com org net edu gov info io de fr es it uk eu ch nl co us ai dev app example test invalid"
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s,().-]{0,8}\Z"), re.compile(r"[\s,().-]{0,8}[0-9]")
+#: Last labels of a spoken domain beside those of two letters, and the words of two letters that are none.
+LAST_LABELS = "com org net edu gov info biz name pro xyz online site shop club top app dev io de fr es it uk eu ch nl co us ai example test invalid"
+SHORT_WORDS = "ad ah am an as at ax be by do eh er et ex go ha he hi if in is la le me my no of oh ok on or ox pa so to tu um un up us we wo ye yo zu"
+#: Words before "dot" that make it the thing, and words before "at" that make it a place.
+DETERMINERS = "the a an this that his her its their our your my each every one first last next any some no"
+PLACED = "us me him her them it you is are was were be been look looks see find found online available more out only here work works worked buy shop visit read store stay meet sold held seen call order join us page site website home arrive stop sit live learn"
 _LABEL = "[A-Za-z0-9-]+"
 _SPOKEN_DOT = rf"(?:\s+{_DOT}\s+|\s*[\[({{<]\s*{_DOT}\s*[\])}}>]\s*)"
-_AT_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=(?:{_LABEL}{_SPOKEN_DOT})+(?:{either(LAST_LABELS.split())})\b)")
+_LAST = rf"(?:(?:{either(LAST_LABELS.split())})|(?!(?:{either(SHORT_WORDS.split())})\b)[A-Za-z]{{2}})\b"
+_NAME = rf"(?!(?:{either(DETERMINERS.split())})\b){_LABEL}"
+_AT_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=(?:{_NAME}{_SPOKEN_DOT})+{_LAST})")
+_AT_BEFORE_DOMAIN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT}\s+(?=(?:{_LABEL}\.)+{_LAST}(?!\.[A-Za-z]))")
+_LAST_WORD = re.compile(r"[A-Za-z0-9]+\Z")
 _DOT_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9])\s+{_DOT}\s+(?=[A-Za-z0-9])")
 _AT_CLOSED, _DOT_CLOSED = (re.compile(rf"[\[({{<]\s*{w}\s*[\])}}>]\s*") for w in (_AT, _DOT))
 
@@ -164,7 +173,8 @@ def spoken_digits(text: str) -> list[tuple[int, int, str]]:
     changes = []
     for m in _SPOKEN_RUN.finditer(text):
         words = list(_SPOKEN_WORD.finditer(text, m.start(), m.end()))
-        if sum(w[1].lower() in SPOKEN for w in words) < SPOKEN_DIGITS:
+        few = sum(w[1].lower() in SPOKEN for w in words) < SPOKEN_DIGITS
+        if few and not _DIGIT_AFTER.match(text, m.end()) and not _DIGIT_BEFORE.search(text[max(0, m.start() - 9) : m.start()]):
             continue
         for w in words:
             a = w.start(1) if w is words[0] else w.start()
@@ -172,6 +182,12 @@ def spoken_digits(text: str) -> list[tuple[int, int, str]]:
     return changes
 
 
+def named(text: str, at: int) -> bool:
+    """Whether the word that ends at ``at`` may be a mailbox: not one that "at" follows to tell a place, as in "sold at example.com"."""
+    word = _LAST_WORD.search(text[max(0, at - 64) : at])[0].lower()
+    return word not in PLACED.split() and not word.endswith(("ed", "ing"))
+
+
 def disguises(text: str) -> list[tuple[int, int, str]]:
     """What the transducers would replace: (start, end, replacement), not overlapping within a kind of disguise.
 
@@ -188,8 +204,9 @@ def disguises(text: str) -> list[tuple[int, int, str]]:
     if not _DIGIT_WORDS.isdisjoint(low.replace(",", " ").replace("-", " ").split()):
         changes += spoken_digits(text)
     at, dots = closed(_AT_CLOSED, text, "@"), "dot" in low
-    if dots and "at" in low:
-        at += [(m.start(), m.end(), "@") for m in _AT_SPOKEN.finditer(text)]
+    if "at" in low:
+        at += [(m.start(), m.end(), "@") for m in _AT_SPOKEN.finditer(text)] if dots else []
+        at += [(m.start(), m.end(), "@") for m in _AT_BEFORE_DOMAIN.finditer(text) if named(text, m.start())]
     if dots and (at or "@" in text):
         at += closed(_DOT_CLOSED, text, ".") + [(m.start(), m.end(), ".") for m in _DOT_SPOKEN.finditer(text)]
     return changes + at

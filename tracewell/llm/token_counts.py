@@ -102,13 +102,26 @@ class CountTree:
         region = region[: at - start] + inserted + region[at - start + n_deleted :]
         parts = leaves_of(region)
         room = hi - lo + 1
-        if len(parts) > room:
-            parts = [*parts[: room - 1], "".join(parts[room - 1 :])]
         counts = [len(b) // 4 for b in enc.encode(parts)]
         self.encoded += len(region)
+        if len(parts) > room:
+            self._grow(lo, hi, parts, counts)
+            return
         for i in range(room):
             self.put(lo + i, parts[i] if i < len(parts) else "", counts[i] if i < len(parts) else 0)
 
+    def _grow(self, lo: int, hi: int, parts: list[str], counts: list[int]) -> None:
+        """Leaves ``lo`` to ``hi`` become more of them: others keep their sums, empty ones are left out, and the tree is as wide as it then needs.
+
+        Leaves are split by the characters that come in, so this happens once for ``LEAF`` of them at most; nothing is encoded.
+        """
+        own = [(x, n) for i, (x, n) in enumerate(zip(self.leaves, self.tokens[self.width :], strict=True)) if x and not lo <= i <= hi]
+        before = sum(1 for x in self.leaves[:lo] if x)
+        own[before:before] = list(zip(parts, counts, strict=True))
+        encoded = self.encoded
+        self.__init__([x for x, _ in own], [n for _, n in own])
+        self.encoded = encoded
+
     @property
     def count(self) -> int:
         return self.tokens[1]

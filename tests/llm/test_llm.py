@@ -195,7 +195,7 @@ def test_licenses(spark):
 
 def test_every_license_of_a_notice_file_is_found():
     known = licenses.index()
-    texts = [t for _, t, _ in licenses.TEMPLATES]
+    texts = [t for _, t, _ in licenses.all_templates()]
     notice = "\n\n".join([texts[2], texts[12], texts[13], texts[7], "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"])
     assert known.scan(licenses.words_of(notice))[2] == {"gpl", "lgpl", "mit", "bsd", "isc", "cc-by-nc", "cc-by-sa"}
     assert known.scan(licenses.words_of("\n".join(texts)))[2] == set(known.labels)
@@ -211,6 +211,31 @@ def test_every_license_of_a_notice_file_is_found():
         assert found[3] == pytest.approx(min(1.0, max((x for x in shares.values() if x >= licenses.LEAST_SHARE), default=0.0)))
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("// SPDX-License-Identifier: AGPL-3.0-or-later", {"agpl"}), ("SPDX-License-Identifier: Zlib", {"zlib"}), ("under the European Union Public Licence (EUPL)", {"eupl"}), ("Distributed under the Boost Software License, Version 1.0.", {"boost"}),
+    ("released as CC0 1.0 Universal", {"cc0"}), ("licensed under GNU GPL v3", {"gpl"}), ("an identifier of a license", set()), ("GNU is not a general licence", set()),
+])
+def test_names_and_tags_of_licenses(text, labels):
+    assert licenses.index().scan(licenses.words_of(text))[2] == labels
+
+
+def test_license_base_columns_against_plain_python(spark):
+    r = random.Random(3)
+    parts = ["MIT", "mit", "License", "license", "LICENSE", "Apache", "apache", "general", "General", "public", "Public", "x", "été", "l1cense", "license.license"]
+    rows = [(i % 37 if i % 11 else None, r.choice([" ", "-", "\n", ", "]).join(r.choice(parts) for _ in range(r.randrange(14)))) for i in range(400)]
+    rows += [(1, None), (2, ""), (3, " ".join(r.choice(parts) for _ in range(60000)))]
+    schema = "doc_id long, text string, labels int, n_words string, score string"
+    got = sorted(str((x.doc_id, x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels)) for x in licenses.scan_licenses(spark.createDataFrame([(*x, 1, "a", "b") for x in rows], schema)).collect())
+    want = []
+    for doc_id, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        at = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in at]
+        want.append(str((doc_id, len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))))
+    assert got == sorted(want)
+    assert licenses.scan_licenses(spark.createDataFrame([], schema)).collect() == []
+
+
 def regex_base(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):

@@ -2,8 +2,10 @@
 
 Licence texts are indexed word by word: word -> postings ``(template, position)``, with the inverse document frequency
 of the word among templates.  A template's key phrases must stand in the file; they are looked up by their rarest word.
-Then every occurrence at ``p`` of the template's word at ``q`` gives its weight to the alignments around ``p - q``, give
-or take ``SLACK`` words, and the best of all alignments counts.  No template depends on what else the file holds.
+The file's words are then looked up, rarest first: a posting ``(t, q)`` of a word at ``p`` gives its weight to the alignments
+of ``t`` around ``p - q``, give or take ``SLACK`` words, so that postings meet by relative position.  A template is given up
+when what its words still to come weigh cannot bring its best alignment to ``LEAST_SHARE``; no other cut is made, so no
+template depends on what else the file holds.
 """
 
 from __future__ import annotations
@@ -41,6 +43,25 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("unencumbered software", "public domain")),
 )
+#: Label and name of further licences, found by their name, and label and identifier of those that a tag names.
+NAMES = (
+    ("agpl", "GNU Affero General Public License"), ("lgpl", "GNU Lesser General Public License"), ("gpl", "GNU GPL v2"), ("gpl", "GNU GPL v3"), ("gpl", "GPLv2"), ("gpl", "GPLv3"), ("mpl", "Mozilla Public License, version 2.0"),
+    ("epl", "Eclipse Public License"), ("eupl", "European Union Public Licence"), ("boost", "Boost Software License"), ("artistic", "Artistic License 2.0"), ("cc0", "CC0 1.0 Universal"), ("cddl", "Common Development and Distribution License"),
+    ("bsd", "BSD 2-Clause License"), ("bsd", "BSD 3-Clause License"), ("isc", "ISC License"), ("zlib", "zlib License"), ("wtfpl", "Do What The Fuck You Want To Public License"), ("ofl", "SIL Open Font License"), ("odbl", "Open Database License"),
+    ("cc-by-nd", "CC BY-ND 4.0"), ("cc-by-nc-sa", "CC BY-NC-SA 4.0"), ("cc-by-nc-nd", "CC BY-NC-ND 4.0"),
+)
+TAGS = (
+    ("mit", "MIT"), ("apache", "Apache-2.0"), ("gpl", "GPL-2.0"), ("gpl", "GPL-3.0"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("isc", "ISC"), ("mpl", "MPL-2.0"),
+    ("epl", "EPL-2.0"), ("eupl", "EUPL-1.2"), ("boost", "BSL-1.0"), ("zlib", "Zlib"), ("cc0", "CC0-1.0"), ("unlicense", "Unlicense"), ("cc-by", "CC-BY-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"),
+)
+
+
+def all_templates() -> tuple[tuple[str, str, tuple[str, ...]], ...]:
+    """Clauses and notices, names, and tags; names and tags are phrases as a whole."""
+    tagged = [(label, f"SPDX-License-Identifier: {tag}") for label, tag in TAGS]
+    return (*TEMPLATES, *((label, text, (text,)) for label, text in (*NAMES, *tagged)))
+
+
 #: Words that a word may stand away from its aligned place, and the weight share that verifies a template.
 SLACK, LEAST_SHARE = 3, 0.7
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -52,7 +73,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Index:
-    def __init__(self, templates: tuple = TEMPLATES) -> None:
+    def __init__(self, templates: tuple) -> None:
         self.texts = [words_of(t) for _, t, _ in templates]
         self.labels = [label for label, _, _ in templates]
         self.keys = [[words_of(p) for p in phrases] for _, _, phrases in templates]
@@ -73,19 +94,37 @@ class Index:
         n = len(phrase)
         return [s for s in starts if s >= 0 and words[s : s + n] == list(phrase)]
 
-    def share(self, t: int, n: int, where: dict[bytes, list[int]], around: dict[bytes, np.ndarray]) -> float:
-        """The greatest weight share, over all alignments with a file of ``n`` words, of the template's words that stand where it has them, give or take ``SLACK``; 0 where their sum cannot reach ``LEAST_SHARE``."""
-        words = self.texts[t]
-        if sum(self.idf[w] for w in words if w in where) < LEAST_SHARE * self.weight[t]:
-            return 0.0
-        last = len(words) - 1
-        got = np.zeros(n + last + 2 * SLACK)  # the alignment that has the template's first word at d is at d + last + SLACK
-        for q, w in enumerate(words):
-            if w in where:
-                if w not in around:
-                    around[w] = np.unique(np.add.outer(np.array(where[w]), np.arange(2 * SLACK + 1)))
-                got[around[w] + (last - q)] += self.idf[w]
-        return float(got.max()) / self.weight[t]
+    def shares(self, keyed: set[int], n: int, where: dict[bytes, list[int]]) -> dict[int, float]:
+        """For templates of ``keyed``, the greatest weight share over all alignments with a file of ``n`` words of the words
+        that stand where the template has them, give or take ``SLACK``; those below ``LEAST_SHARE`` are left out.
+
+        The alignment that has the template's first word at ``d`` is at ``d + last + SLACK``.
+        """
+        last = {t: len(self.texts[t]) - 1 for t in keyed}
+        words = sorted((w for w in where if where[w]), key=lambda w: (-self.idf[w], w))
+        ahead = dict.fromkeys(keyed, 0.0)  # weight of the template's words that are in the file and not yet looked up
+        for w in words:
+            for t, _ in self.postings[w]:
+                if t in ahead:
+                    ahead[t] += self.idf[w]
+        got: dict[int, np.ndarray] = {}
+        best = dict.fromkeys(keyed, 0.0)
+        open_ = {t for t in keyed if ahead[t] >= LEAST_SHARE * self.weight[t] - 1e-9}
+        for w in words:
+            hits = [(t, q) for t, q in self.postings[w] if t in open_]
+            if not hits:
+                continue
+            around = np.unique(np.add.outer(np.array(where[w]), np.arange(2 * SLACK + 1)))
+            for t, q in hits:
+                if t not in got:
+                    got[t] = np.zeros(n + last[t] + 2 * SLACK)
+                at = around + (last[t] - q)
+                got[t][at] += self.idf[w]
+                best[t] = max(best[t], float(got[t][at].max()))
+                ahead[t] -= self.idf[w]
+            open_ -= {t for t, _ in hits if best[t] + ahead[t] < LEAST_SHARE * self.weight[t] - 1e-9}
+        found = {t: best[t] / self.weight[t] for t in open_}
+        return {t: share for t, share in found.items() if share >= LEAST_SHARE}
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
         """Places of base phrases, base labels, all labels, and the best share of a verified template."""
@@ -104,17 +143,15 @@ class Index:
                 labels.add(label)
         all_labels, best = set(labels), 0.0
         keyed = {t for t, keys in enumerate(self.keys) if all(self.places(words, p, where) for p in keys)}
-        around: dict[bytes, np.ndarray] = {}
-        for t in keyed:
-            if (share := self.share(t, len(words), where, around)) >= LEAST_SHARE:
-                all_labels.add(self.labels[t])
-                best = max(best, share)
+        for t, share in self.shares(keyed, len(words), where).items():
+            all_labels.add(self.labels[t])
+            best = max(best, share)
         return base, labels, all_labels, min(1.0, best)
 
 
 @cache
 def index() -> Index:
-    return Index()
+    return Index(all_templates())
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

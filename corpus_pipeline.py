@@ -12,9 +12,6 @@ from tracewell.llm.packing import pack_documents
 from tracewell.llm.pii import redact_documents
 from tracewell.llm.quality import keep_good
 
-#: The column of row numbers within a stage.
-ROW = "row_number_of_stage"
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -22,26 +19,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number for each row, ``ROW``; written, so that a task that is run again gives no other numbers."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the name of its column, which none of ``docs`` has; written, so that a task that is run again gives no other numbers."""
+    row = "row_number_of_stage"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, of those with the smallest id; a row without an id comes last."""
     attach(spark)
-    rows = numbered(docs, "numbered")
-    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW))
-    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, "numbered")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row))
+    kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of similarity 0.8 or more to a benchmark item go."""
-    rows = numbered(docs, "numbered")
-    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(found, ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "numbered")
+    found = contaminated(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(found, row, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

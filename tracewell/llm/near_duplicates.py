@@ -523,10 +523,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = texts(docs)
     first = written(sets_pass(own), "counts")
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = written(postings(own, bucket_counts(first), parts), "postings")
+    counts = bucket_counts(first)
+    discard(spark, first)
+    release(spark)
+    posted = written(postings(own, counts, parts), "postings")
     found = written(candidates(posted.where("part IS NOT NULL").select("part", "payload").repartition(parts // PARTS, "part").sortWithinPartitions("part")), "candidates")
     ids = written(posted.where("part IS NULL").select("doc_id", "n", node("n", "h").alias("node"), node("n", "g").alias("g"), "h"), "ids")
-    discard(spark, first, posted)
+    discard(spark, posted)
     release(spark)
     each = written(ids.where("n > 0").groupBy("node", "g", "n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sizes = each.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")

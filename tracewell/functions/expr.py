@@ -103,7 +103,8 @@ def hci_word(payload: Column, at: int) -> Column:
 def byte(payload: Column, at: int | Column) -> Column:
     """One byte as an integer; null past the end."""
     pos = at + 1 if isinstance(at, Column) else F.lit(at + 1)
-    return F.nullif(F.conv(F.hex(F.substring(payload, pos, F.lit(1))), 16, 10), F.lit("")).try_cast("int")
+    one = F.decode(F.substring(payload, pos, F.lit(1)), "ISO-8859-1")
+    return F.when(one != "", F.ascii(one))
 
 
 def mac(payload: Column, at: int | Column) -> Column:

@@ -202,7 +202,7 @@ def dns_question(p: Column, ip_end: Column) -> Column:
     """The name a query packet to port 53 asks for: length-prefixed labels, walked over as many bytes as there are."""
     port = byte(p, ip_end + 2) * 256 + byte(p, ip_end + 3)
     body = F.substring(p, ip_end + 8 + 12 + 1, F.length(p))
-    octets = F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.conv(F.hex(F.substring(body, i, F.lit(1))), 16, 10).cast("int"))
+    octets = F.transform(F.filter(F.split(F.decode(body, "ISO-8859-1"), ""), lambda c: c != ""), F.ascii)  # a character for each byte
     walked = F.aggregate(
         octets,
         F.struct(F.lit(0).alias("left"), F.lit(False).alias("done"), F.lit("").alias("name")),

@@ -465,15 +465,14 @@ def packet_totals(spark, d):
     return packet_summary(rows, files).select("capture_id", "total_packets", "captured_bytes", "original_bytes", "truncated_packets")
 
 
-@query("""WITH f AS (SELECT l_suppkey AS capture_id, CASE WHEN l_linenumber <> 3 THEN 0 END AS ftype, l_linenumber % 2 = 0 AS retry FROM lineitem)
-SELECT capture_id, count(*) AS packets_analyzed, count(*) FILTER (WHERE retry AND ftype IS NOT NULL) AS retry_count, floor(10000 * (count(*) FILTER (WHERE retry AND ftype IS NOT NULL)) / nullif(count(ftype), 0)) / 100 AS retry_floor FROM f GROUP BY 1""")
+@query("""WITH f AS (SELECT l_suppkey AS capture_id, CASE WHEN l_linenumber <> 3 THEN 0 END AS ftype, l_linenumber % 2 = 0 AS retry, -(l_partkey % 60) AS rssi FROM lineitem)
+SELECT capture_id, count(*) AS packets_analyzed, count(*) FILTER (WHERE retry AND ftype IS NOT NULL) AS retry_count, round(100.0 * (count(*) FILTER (WHERE retry AND ftype IS NOT NULL)) / nullif(count(ftype), 0), 2)::DOUBLE AS retry_rate_pct, CAST(min(rssi) AS INTEGER) AS rssi_min_dbm, CAST(max(rssi) AS INTEGER) AS rssi_max_dbm FROM f GROUP BY 1""")
 def retry_rate(spark, d):
     from ..operators.packets import field_analysis
 
-    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("capture_id"), F.when(F.col("l_linenumber") != 3, 0).alias("ftype"), F.lit(8).alias("subtype"), (F.col("l_linenumber") % 2 == 0).alias("retry"), F.lit(-50).alias("rssi"))
-    typed = rows.groupBy("capture_id").agg(F.count("ftype").alias("n"))
-    out = field_analysis(rows).join(typed, "capture_id")
-    return out.select("capture_id", "packets_analyzed", "retry_count", (F.floor(F.try_divide(F.col("retry_count") * 10000, F.col("n"))) / 100).alias("retry_floor"))
+    rssi = (-(F.col("l_partkey") % 60)).cast("int")
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("capture_id"), F.when(F.col("l_linenumber") != 3, 0).alias("ftype"), F.lit(8).alias("subtype"), (F.col("l_linenumber") % 2 == 0).alias("retry"), rssi.alias("rssi"))
+    return field_analysis(rows).drop("rssi_avg_dbm")
 
 
 @query("SELECT DISTINCT p_size, CASE p_size % 8 WHEN 0 THEN 'Success' WHEN 1 THEN 'Unknown HCI Command' WHEN 2 THEN 'Unknown Connection Identifier' WHEN 3 THEN 'Hardware Failure' WHEN 4 THEN 'Page Timeout' WHEN 5 THEN 'Authentication Failure' WHEN 6 THEN 'PIN or Key Missing' ELSE 'Memory Capacity Exceeded' END AS status, CASE WHEN p_size % 4 = 0 THEN 'Data' ELSE 'Data (subtype ' || (p_size % 4) || ')' END AS frame FROM part")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -331,6 +332,27 @@ def test_secret_ledger(spark):
     assert spark.read.parquet(ledger).count() == 8
 
 
+def plain_secrets(text):
+    """The contract's base by the patterns as they are stated."""
+    shapes = (("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", r"(AKIA[A-Z0-9]+)", 1, 18), ("hex", r"([0-9a-f]+)", 1, 16))
+    found = [(m.start(), k, name, m.end()) for k, (name, p, g, least) in enumerate(shapes) for m in re.finditer(p, text) if len(m[g]) >= least]
+    return [f"{name}:{a}:{b}" for a, _, name, b in sorted(found)]
+
+
+def test_secrets_against_plain_python(spark):
+    r = random.Random(11)
+    parts = ["password", "Api_Key", "token", "TOKEN", "secret", "=", ":", " ", "\"", "'", "AKIA", "ABCDEF0123456789", "deadbeef", "0123", "x", "é", "😀", "\n", "-", "abcdefghijkl"]
+    rows = [(i % 50 if i % 13 else None, "".join(r.choice(parts) for _ in range(r.randrange(16)))) for i in range(500)]
+    rows += [(1, None), (2, ""), (3, "".join(r.choice(parts) for _ in range(40000)))]
+    schema = "path long, text string, blob string, found int, kind int"
+    versions = spark.createDataFrame([(*x, "a", 1, 2) for x in rows], schema).withColumn("version", F.lit(1))
+    out = secrets.digest(secrets.scan_versions(versions, scratch(spark, "ledger")))
+    base = [(i, plain_secrets(t or "")) for i, t in rows]
+    want = sorted(str((i, *[sum(x.startswith(k) for x in b) for k in ("assign", "access", "hex")], hashlib.sha256(",".join(b).encode()).hexdigest())) for i, b in base)
+    assert sorted(str((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256)) for x in out.collect()) == want and sum(len(b) for _, b in base) > 200
+    assert secrets.digest(secrets.scan_versions(versions.limit(0), scratch(spark, "ledger"))).collect() == []
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -561,6 +583,19 @@ def test_sql_agrees(spark, tmp_path, docs):
     assert sorted(rows.fetchall(), key=key) == sorted((tuple(r) for r in quality.quality(docs).select(*names).collect()), key=key)
 
 
+def test_pipeline_stages_of_nothing_and_of_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, prose(40, 77))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = prose(200, 5)
+    docs = spark.createDataFrame([(1, text, 7, "a"), (2, text, 8, "b"), (3, prose(200, 6), 9, "c")], "doc_id long, text string, row_number_of_stage long, node string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns and sorted((r.doc_id, r.row_number_of_stage) for r in near.collect()) == [(1, 7), (3, 9)]
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r.row_number_of_stage for r in left.collect()) == [7, 8, 9]
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     base = [prose(150, 100 + i) + " the of and der die das" for i in range(6)]
     leak = prose(30, 300)

@@ -87,7 +87,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: ``doc_id, text``; items: ``item_id, text``.  Null and empty texts match nothing.  Of equally similar windows the
     first counts.  A row that repeats another is reported as often as it is there.  Items that repeat are reported each.
-    Empty tables give no rows.
+    Texts of any length are compared whole; empty tables give no rows.
     """
     spark = docs.sparkSession
     own = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)

@@ -517,7 +517,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing: their component is their own id.  Rows with equal
     sets are linked whatever their ids; null ids have no part in the smallest id of a component.  Sets are told apart by
-    their size and a 64-bit hash, shingles by 64-bit hashes.  An empty table gives no rows.
+    their size and a 64-bit hash, shingles by 64-bit hashes.  Texts of any length
+    are hashed whole, piece by piece.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = texts(docs)

@@ -30,6 +30,7 @@ def preferences(turns: DataFrame) -> DataFrame:
     ``start:end`` code points of prompt and completion together that are trained on: assistant turns after the prompt.
     Turns go by number, ties by role and text; null numbers come first, null role and text are empty.  A side without
     turns is empty, so the prompt is empty too; equal sides are all prompt.  Null ``pair_id`` is one pair.
+    Texts of any length are rendered whole; an empty table gives no rows.
     """
     rows = turns.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("said", rendered())
     order = W.partitionBy("pair_id", "side").orderBy("turn", "role", "text")

@@ -7,7 +7,7 @@ Measures of a text (words are runs of characters other than ASCII white space):
 * ``n_dup_lines`` - lines with a word that equal an earlier line;  ``n_lines`` - lines with a word
 * ``n_repeat_words`` - words in 5-word windows found twice or more in the text, the first included.  Windows are told
   apart by 64-bit hashes within one text
-* ``n_stop`` - words that are stop words of English, German, French or Spanish, as written or with a capital first letter
+* ``n_stop`` - different words that are stop words of English, German, French or Spanish, as written or with a capital first letter
 
 A rule ``(name, weight, measure, factor, base)`` fails a text when ``weight * measure > factor * base``.
 """
@@ -31,7 +31,7 @@ BASE_RULES = (
     ("few_words", 1, "ten", 1, "n_words"),
     ("repeated_windows", 100, "n_repeat_words", 20, "n_words"),
 )
-#: Beyond the base rules: only what prose of any kind does not reach.
+#: Beyond the base rules; the last one takes long texts in other languages than those of ``STOP_WORDS`` for no prose.
 RULES = (
     ("symbols", 100, "n_symbols", 20, "n_words"),
     ("duplicate_lines", 100, "n_dup_lines", 40, "n_lines"),

@@ -85,7 +85,7 @@ def codec(data: bytes):
 def write_token_files(docs: DataFrame, path: str, tokenizer: tuple[str, bool] = WORD_BPE, end_id: int = 1, width: int = 2) -> None:
     """Encode every document and write the set at ``path``.
 
-    Null text counts as empty, so each row of ``docs`` has a frame, if only of the end id.  An empty table gives a set
+    Texts of any length are encoded whole.  Null text counts as empty, so each row of ``docs`` has a frame, if only of the end id.  An empty table gives a set
     without blocks.  Repeated rows are kept.  Encoding runs once, in place; only compressed ids are dealt out by range.
     """
     spark = docs.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,9 +32,20 @@ PACKAGE_ID = r"(?i)\b([a-z][a-z0-9_]*(?:\.[a-z0-9_]+){2,})\b"
 SEVERITY = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 
+def says(question: Column, pattern: str) -> Column:
+    """Whether a question holds words of a pattern in plain letters, whatever letters stand beside them.
+
+    Java's ``\\b`` takes é for a part of a word, though ``\\w`` does not, and its ``(?i)`` knows neither the long s nor the
+    Kelvin sign; both are said in full here, as SQL engines take them.
+    """
+    edge = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    folded = re.sub(r"(\\.)|([ks])", lambda m: m[1] or {"k": "[k\u212a]", "s": "[s\u017f]"}[m[2]], pattern)
+    return F.coalesce(question.rlike(folded.replace(r"\b", edge)), F.lit(False))
+
+
 def triggers(question: Column, include_all: bool = False) -> dict[str, Column]:
     """A flag per kind of evidence; asking for all does not ask for history."""
-    return {k: F.lit(True) if include_all else F.coalesce(question.rlike(p), F.lit(False)) for k, p in TRIGGERS.items()} | {"history": F.coalesce(question.rlike(HISTORY), F.lit(False))}
+    return {k: F.lit(True) if include_all else says(question, p) for k, p in TRIGGERS.items()} | {"history": says(question, HISTORY)}
 
 
 def question_words(question: Column) -> Column:

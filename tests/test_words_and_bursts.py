@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tracewell.plans import evidence
+from tracewell.plans import diagnosis, evidence
 
 
 def test_words_end_at_letters_that_are_not_plain(spark):
@@ -15,3 +15,14 @@ def test_words_end_at_letters_that_are_not_plain(spark):
     rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", *[v.alias(k) for k, v in evidence.triggers(F.col("q")).items()]).collect()
     assert {r["q"]: tuple(r[k] for k in patterns) for r in rows} == want
     assert want["éanr"][0] and want["waKelock x"][2]
+
+
+def test_blocks_are_asked_for_beside_letters_that_are_not_plain(spark):
+    """A question that says crash between other letters asks for the block, so sources name it."""
+    asked = spark.createDataFrame([(1, 5, "日crash語?"), (2, 5, "crashes"), (3, 5, "écrashe")], "question_id long, capture_id long, question string")
+    captures = spark.createDataFrame([(5, 2)], "capture_id long, device_id long")
+    blocks = spark.createDataFrame([(2, "device_wide_crash_evidence", 1)], "device_id long, name string, captures_checked long")
+    wanted = diagnosis.asked_for(asked, blocks, captures)
+    claimed = spark.createDataFrame([], "question_id long, capture_id long, package string, matched_how string")
+    got = {r["question_id"]: [x["category"] for x in r["evidence_sources"]] for r in diagnosis.sources(asked, claimed, wanted).collect()}
+    assert got == {n: ["crash / ANR / native-crash evidence"] for n in (1, 2, 3)}

@@ -25,12 +25,6 @@ def rates(events: DataFrame, late: str = "10 minutes", every: str = "1 hour") ->
     return own.select(F.col("w.start").alias("start"), "event_type", "package", "n", "total")
 
 
-def bursts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Runs of events of a package with no pause longer than ``gap``."""
-    own = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "package").agg(F.count("*").alias("n"))
-    return own.select("package", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
 def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Each key once within ``late``, whichever log brought it."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,20 +17,27 @@ from ..sources.places import opened, scratch
 
 #: Bytes of a range in queries, small enough that most files have several.
 RANGE = 997
+#: Folders that files are dealt into.
+SHARDS = 256
 
 
 def made(spark: SparkSession, rows: DataFrame, content: Callable[[dict], tuple[str, bytes]]) -> str:
-    """A folder with a file ``capture-<key><suffix>`` for each row."""
+    """A folder with a file ``capture-<key><suffix>`` for each row, dealt into folders that can be listed apart."""
     folder = scratch(spark, "captures")
     fs, place = opened(folder)
     fs.create_dir(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = opened(folder)
+        there = set()
         for batch in batches:
             for row in batch.to_pylist():
                 suffix, data = content(row)
-                with fs.open_output_stream(f"{place}/capture-{row['key']}{suffix}") as out:
+                shard = f"{place}/shard={zlib.crc32(str(row['key']).encode()) % SHARDS}"
+                if shard not in there:
+                    fs.create_dir(shard)
+                    there.add(shard)
+                with fs.open_output_stream(f"{shard}/capture-{row['key']}{suffix}") as out:
                     out.write(data)
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
 

@@ -1,7 +1,9 @@
 """A Python data source over capture files: ``spark.read.format("captures").option("table", ...).load(path)``.
 
-A partition is an archive entry, a byte range of a text or packet file, or several small ones of them.  Archives are listed
-from their directory alone and entries streamed, so a task holds a batch of rows however large its file is.  Tables:
+A unit is an archive entry or a byte range of a text or packet file.  Archives are listed from their directory alone and
+entries streamed, so a task holds a batch of rows however large its file is.  With ``plan`` a partition is a file of units that
+tasks have written (``captures.planned``), so the driver knows no file by name; without it the driver plans, for folders whose
+units it can hold, and a partition is a unit or several small ones.  Tables:
 
 * ``files`` - a row for each file
 * ``lines`` - lines of reports and rotated logs, numbered from 0 within their range; an archive entry is one range
@@ -10,7 +12,7 @@ from their directory alone and entries streamed, so a task holds a batch of rows
 * ``hci`` - packets of the HCI log that is preferred in each archive
 * ``surveys`` - for each range of a packet file what a walk from its likely first border finds
 
-Options: ``table``; ``roles``, those wanted, comma-separated; ``bytes`` of a range; ``pack``, the bytes that small units of a
+Options: ``table``; ``plan``, a folder of units; ``roles``, those wanted, comma-separated; ``bytes`` of a range; ``pack``, the bytes that small units of a
 partition have together; ``text``, to take all files as text.  Only the columns of the schema given to ``spark.read`` are
 made, and only entries of the wanted roles opened.  Filters are not taken: Spark 4.1 keeps those of one query for the next
 one over the same frame.
@@ -27,6 +29,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -75,12 +78,16 @@ class Unit:
     error: str | None = None
 
 
+UNITS = "path string, capture_id long, kind string, name string, start long, stop long, role string, entry string, modified_at string, error string"
+
+
 @dataclass
 class Units(InputPartition):
     units: list[Unit]
+    file: str | None
 
-    def __init__(self, units: list[Unit]) -> None:
-        self.units = units
+    def __init__(self, units: list[Unit], file: str | None = None) -> None:
+        self.units, self.file = units, file
 
 
 def capture_id(path: str) -> int:
@@ -127,15 +134,12 @@ class CaptureReader(DataSourceReader):
         self.columns, self.table, self.path = columns, options.get("table", "files"), options["path"]
         self.bytes, self.pack, self.as_text = int(options.get("bytes", RANGE)), int(options.get("pack", RANGE)), options.get("text", "false") == "true"
         roles = options.get("roles") or ",".join(ROLES.get(self.table, ()))
-        self.roles = set(filter(None, roles.split(",")))
+        self.roles, self.plan = set(filter(None, roles.split(","))), options.get("plan")
 
     def partitions(self) -> list[Units]:
-        found = []
-        for path, name, size in listed(self.path):
-            kind = ".txt" if self.as_text else "." + name.lower().rpartition(".")[2]
-            if kind not in KINDS:
-                raise ValueError(f"unsupported capture file: {name}")
-            found.append(Unit(path, capture_id(path), kind, name, 0, size))
+        if self.plan is not None:
+            return [Units([], path) for path, name, _ in listed(self.plan) if name.endswith(".parquet")] or [Units([])]
+        found = [file_of(*file, self.as_text) for file in listed(self.path)]
         with ThreadPoolExecutor(READERS) as pool:
             units = [u for some in pool.map(self.units_of, found) for u in some]
         return self.dealt(units) or [Units([])]
@@ -178,12 +182,12 @@ class CaptureReader(DataSourceReader):
     def read(self, partition: Units) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.path)
         rows = getattr(self, f"_{self.table}")
-        for unit in partition.units:
+        for unit in units_in(self.plan, partition.file) if partition.file else partition.units:
             yield from rows(fs, unit)
 
     def batch(self, n: int, **columns) -> pa.RecordBatch:
         """``n`` rows of the wanted columns; a value stands for a column of it."""
-        types = {f.name: f.type for f in _arrow(self.table)}
+        types = {f.name: f.type for f in arrow(SCHEMAS[self.table])}
         arrays = [pa.array(v, types[c]) if isinstance(v, list) else pa.nulls(n, types[c]) if v is None else pa.repeat(pa.scalar(v, types[c]), n) for c in self.columns for v in [columns.get(c)]]
         return pa.record_batch(arrays, pa.schema([(c, types[c]) for c in self.columns]))
 
@@ -236,9 +240,25 @@ class CaptureReader(DataSourceReader):
         yield self.batch(1, capture_id=unit.capture_id, path=unit.path, start=unit.start, stop=unit.stop, error=error, **found)
 
 
-def _arrow(table: str) -> pa.Schema:
+def file_of(path: str, name: str, size: int, as_text: bool = False) -> Unit:
+    """A whole file; one of another kind is an error."""
+    kind = ".txt" if as_text else "." + name.lower().rpartition(".")[2]
+    if kind not in KINDS:
+        raise ValueError(f"unsupported capture file: {name}")
+    return Unit(path, capture_id(path), kind, name, 0, size)
+
+
+def units_in(plan: str, file: str) -> Iterator[Unit]:
+    """The units of one file of a plan."""
+    fs, _ = opened(plan)
+    with fs.open_input_file(file) as raw:
+        for batch in pq.ParquetFile(raw).iter_batches(1024):
+            yield from (Unit(**row) for row in batch.to_pylist())
+
+
+def arrow(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMAS[table].split(", "))])
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
 
 def batches(items: Iterator) -> Iterator[list]:

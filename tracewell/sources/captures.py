@@ -3,31 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import packet_walk
-from .capture_source import RANGE, SCHEMAS, TEXTS, CaptureSource, batches
-from .places import Bytes, listed, opened, written
+from .capture_source import BATCH, OPENING, RANGE, READERS, SCHEMAS, TEXTS, UNITS, CaptureReader, CaptureSource, Unit, arrow, batches, file_of
+from .places import Bytes, info_of, listed_in, opened, scratch, written
 
 TXT_WARNING = "Raw .txt upload: tombstones, ANR traces, Bluetooth HCI and rotated logs are only in the full .zip"
-#: Ranges whose first line numbers, 24 bytes each, are sent to every executor at most.
-MOST_RANGES = 1 << 20
+#: Ranges whose first line numbers, some 100 bytes each in the driver, are sent to every executor at most.
+MOST_RANGES = 1 << 17
 
 
-def captured(spark: SparkSession, path: str, table: str, columns: str | None = None, **options) -> DataFrame:
-    """A table of the capture source; ``columns``: those to read, all where none are named."""
+def listing(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
+    """``capture_id, path, name, kind, size`` of the files in a folder and in its folders named ``key=value``, however deep.
+
+    Tasks list folders and write what they find, level by level; the driver learns how many there are.
+    """
+    root = info_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            files, folders = listed_in(fs, folder)
+            for some in (files[i : i + BATCH] for i in range(0, len(files), BATCH)):
+                found = [file_of(*file, text) for file in some]
+                yield pa.RecordBatch.from_pylist([{"capture_id": f.capture_id, "path": f.path, "name": f.name, "kind": f.kind, "size": f.stop} for f in found], arrow(SCHEMAS["files"]))
+            if folders:
+                yield pa.RecordBatch.from_pylist([{"path": f} for f in folders], arrow(SCHEMAS["files"]))
+
+    if root.type == FileType.File:
+        f = file_of(root.path, root.base_name, root.size, text)
+        return spark.createDataFrame([(f.capture_id, f.path, f.name, f.kind, f.stop)], SCHEMAS["files"])
+    folders, out = spark.createDataFrame([(root.path,)], "path string"), None
+    while True:
+        found = written(folders.mapInArrow(run, SCHEMAS["files"]), "listing")
+        files, folders = found.where("capture_id IS NOT NULL"), found.where("capture_id IS NULL").select("path")
+        out = files if out is None else out.unionByName(files)
+        below = folders.count()
+        if not below:
+            return out
+        folders = folders.repartition(min(below, at_most(spark)))
+
+
+def at_most(spark: SparkSession) -> int:
+    """Tasks that list, plan or read: each streams what it is dealt, so a few for each core do."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def planned(spark: SparkSession, path: str, found: DataFrame, options: dict[str, str]) -> str:
+    """A folder with the units of listed files, in a file for each task that is to read them."""
+    own = CaptureReader([], options | {"path": path})
+    files, size = found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(-(-(size + files * OPENING) // own.pack), at_most(spark)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(READERS) as pool:
+            for some in (batch.slice(i, READERS).to_pylist() for batch in batches for i in range(0, batch.num_rows, READERS)):
+                units = [u for of in pool.map(own.units_of, [Unit(f["path"], f["capture_id"], f["kind"], f["name"], 0, f["size"]) for f in some]) for u in of]
+                for i in range(0, len(units), BATCH):
+                    yield pa.RecordBatch.from_pylist([vars(u) for u in units[i : i + BATCH]], arrow(UNITS))
+
+    folder = scratch(spark, "units")
+    found.repartition(tasks).mapInArrow(run, UNITS).repartition(tasks).write.parquet(folder)
+    return folder
+
+
+def captured(spark: SparkSession, path: str, table: str, columns: str | None = None, found: DataFrame | None = None, **options) -> DataFrame:
+    """A table of the capture source; ``columns``: those to read, all where none are named; ``found``: the listing, if there is one."""
     spark.dataSource.register(CaptureSource)
     schema = ", ".join(c for c in SCHEMAS[table].split(", ") if columns is None or c.split()[0] in columns.split())
-    return spark.read.format("captures").schema(schema).options(table=table, **options).load(path)
+    options = {"table": table} | {k: str(v) for k, v in options.items()}
+    plan = planned(spark, path, listing(spark, path, options.get("text") == "true") if found is None else found, options)
+    return spark.read.format("captures").schema(schema).options(plan=plan, **options).load(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """``capture_id, path, name, kind, size``; a file of another kind is an error when it is read."""
-    return captured(spark, path, "files")
+    """``capture_id, path, name, kind, size``; a file of another kind is an error."""
+    return listing(spark, path)
 
 
 def numbered(lines: DataFrame, breaks: DataFrame, ranges: int) -> DataFrame:
@@ -46,11 +104,11 @@ def text_lines(spark: SparkSession, path: str, size: int = RANGE, text: bool = F
 
     Where no text has a second range, what is numbered within ranges is numbered.
     """
-    options = {"bytes": size, "text": str(text).lower()}
+    options = {"found": listing(spark, path, text), "bytes": size, "text": str(text).lower()}
     lines = captured(spark, path, "lines", "capture_id start at line error", roles=role, **options)
-    cuts = [-(-n // size) for _, name, n in listed(path) if text or name.lower().endswith(TEXTS)]
-    several = max(cuts, default=0) > 1
-    out = numbered(lines, captured(spark, path, "breaks", **options), sum(cuts)) if several else lines.withColumn("line_no", F.col("at") + 1)
+    cuts = F.ceil(F.col("size") / size)
+    most, ranges = options["found"].where(F.col("kind").isin(*TEXTS)).agg(F.coalesce(F.max(cuts), F.lit(0)), F.coalesce(F.sum(cuts), F.lit(0))).first()
+    out = numbered(lines, captured(spark, path, "breaks", **options), ranges) if most > 1 else lines.withColumn("line_no", F.col("at") + 1)
     return out.select("capture_id", "line_no", "line", "error")
 
 

@@ -21,14 +21,25 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else Path(uri).absolute().as_uri())
 
 
-def listed(uri: str) -> list[tuple[str, str, int]]:
-    """``path, name, size`` of a file, or of the files in a folder but hidden ones, by path."""
+def info_of(uri: str) -> pafs.FileInfo:
     fs, path = opened(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
-    found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path))
-    return sorted((f.path, f.base_name, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
+    return info
+
+
+def listed(uri: str) -> list[tuple[str, str, int]]:
+    """``path, name, size`` of a file, or of the files in a folder but hidden ones, by path."""
+    fs, _ = opened(uri)
+    info = info_of(uri)
+    return sorted(listed_in(fs, info.path)[0] if info.type == pafs.FileType.Directory else [(info.path, info.base_name, info.size)])
+
+
+def listed_in(fs: pafs.FileSystem, folder: str) -> tuple[list[tuple[str, str, int]], list[str]]:
+    """``path, name, size`` of the files in a folder but hidden ones, and its folders named ``key=value``."""
+    found = [f for f in fs.get_file_info(pafs.FileSelector(folder)) if not f.base_name.startswith((".", "_"))]
+    return [(f.path, f.base_name, f.size) for f in found if f.type == pafs.FileType.File], [f.path for f in found if f.type == pafs.FileType.Directory and "=" in f.base_name]
 
 
 class Bytes(io.RawIOBase):

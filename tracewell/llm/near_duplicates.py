@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,14 +112,15 @@ def of_planes(raw: bytes) -> np.ndarray:
 
 def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     """Rows of ``part, payload``: shingle, prefix hash, set size and place in the order of every prefix entry, as four arrays
-    one after another; and, with a null part, ``doc_id, n, g, h`` of every document: size and hashes of prefix and set."""
+    one after another; and, with no payload and parts below zero in turn, ``doc_id, n, g, h`` of every document: size and
+    hashes of prefix and set."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat = shared.value
         held: list[tuple[np.ndarray, int, int]] = []
         seen: set[tuple[int, int]] = set()
-        size = 0
+        size = rows = 0
 
         def flush() -> pa.RecordBatch:
             lengths = [len(t) for t, _, _ in held]
@@ -156,7 +158,9 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
                     held, size = [], 0
             if own:
                 n, g, h = zip(*own, strict=True)
-                yield pa.record_batch([pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()), batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int32()), pa.array(g, pa.int64()), pa.array(h, pa.int64())], names)
+                turn = -1 - np.arange(rows, rows + len(own)) % parts
+                rows += len(own)
+                yield pa.record_batch([pa.array(turn, pa.int64()), pa.nulls(len(own), pa.binary()), batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int32()), pa.array(g, pa.int64()), pa.array(h, pa.int64())], names)
         if held:
             yield flush()
 
@@ -164,6 +168,8 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
     return docs.mapInArrow(trimmed(run), "part long, payload binary, doc_id long, n int, g long, h long")
 
 
+#: The kind of rows that stand for documents among candidates.
+DOC = -1
 PAIRS = "kind int, token long, na int, ha long, nb int, hb long"
 
 
@@ -228,6 +234,7 @@ def pair_up(token: np.ndarray, h: np.ndarray, n: np.ndarray, place: np.ndarray,
 
 
 def candidates(posted: DataFrame) -> DataFrame:
+    """Pairs of groups and long runs, and a row of kind ``DOC`` for each document: its id as token, size, and hashes of prefix and set."""
     most = RUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +248,11 @@ def candidates(posted: DataFrame) -> DataFrame:
             yield from pair_up(token, node, n, place, most)
 
         for batch in batches:
-            for key, payload in zip(*rows_of(batch, "part", "payload"), strict=True):
+            known = batch.filter(pc.less(batch.column("part"), 0))
+            if known.num_rows:
+                doc_id, n, g, h = (known.column(c) for c in ("doc_id", "n", "g", "h"))
+                yield pa.record_batch([pa.repeat(pa.scalar(DOC, pa.int32()), len(n)), doc_id, n, g, n, h], ["kind", "token", "na", "ha", "nb", "hb"])
+            for key, payload in zip(*rows_of(batch.filter(pc.greater_equal(batch.column("part"), 0)), "part", "payload"), strict=True):
                 if key != part and held:
                     yield from close()
                     held = []
@@ -527,17 +538,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = bucket_counts(first)
     discard(spark, first)
     release(spark)
-    posted = written(postings(own, counts, parts), "postings")
-    found = written(candidates(posted.where("part IS NOT NULL").select("part", "payload").repartition(parts // PARTS, "part").sortWithinPartitions("part")), "candidates")
-    ids = written(posted.where("part IS NULL").select("doc_id", "n", node("n", "h").alias("node"), node("n", "g").alias("g"), "h"), "ids")
-    discard(spark, posted)
+    found = written(candidates(postings(own, counts, parts).repartition(parts // PARTS, "part").sortWithinPartitions("part")), "candidates")  # postings are in their shuffle alone
     release(spark)
+    ids = written(found.where(F.col("kind") == DOC).select(F.col("token").alias("doc_id"), F.col("na").alias("n"), node("na", "hb").alias("node"), node("na", "ha").alias("g"), F.col("hb").alias("h")), "ids")
     each = written(ids.where("n > 0").groupBy("node", "g", "n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
     sizes = each.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     nodes = written(each.join(sizes, "g", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "groups")
     discard(spark, each)
     pairs, members = expanded(found, nodes)
     todo = written(pairs, "pairs")
+    discard(spark, found)
     wanted = todo.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     release(spark)
     sets = sets_of(own, nodes.select("node", "doc_id").join(wanted, "node"))
@@ -565,7 +575,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.join(labels, "node", "left").join(linked, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = ids.join(placed, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = written(out, "near-duplicates")
-    discard(spark, ids, found, nodes, members, sets, links, labels)
+    discard(spark, ids, nodes, members, sets, links, labels)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import facts
 from ..sources.places import scratch, written
@@ -44,11 +45,19 @@ def captures_of(spark, d) -> DataFrame:
 
 
 def asked_of(spark, d) -> DataFrame:
-    """The users' turns as questions about a capture, each with the name of a package, every third with a word that asks for history."""
+    """The users' turns as questions about a capture, each with the name of a package, every third with a word that asks for history; a null text asks for nothing else."""
     c = read(spark, d, "conversations").where("role = 'user'")
     number = F.col("conv_id") * 100 + F.col("turn")
-    more = F.concat(F.lit(" com.user"), (number % 150).cast("string"), F.lit(".app"), F.when(number % 3 == 0, " since week").otherwise(""), F.when(number % 4 == 0, " selinux").when(number % 4 == 1, " battery oom").otherwise(""))
-    return c.select(number.alias("question_id"), (number % 8).alias("capture_id"), F.concat("text", more).alias("question"))
+    name = F.concat(F.lit(" com.user"), (number % 150).cast("string"), F.lit(".app"))
+    more = F.concat(F.when(number % 3 == 0, " since week").otherwise(""), F.when(number % 4 == 0, " selinux").when(number % 4 == 1, " battery oom").otherwise(""))
+    return c.select(number.alias("question_id"), (number % 8).alias("capture_id"), F.coalesce(F.concat("text", name, more), name).alias("question"))
+
+
+def told_apart(asked: DataFrame) -> DataFrame:
+    """``asked`` with ``question_id`` as a struct of it and a number, so that questions with the same id, as turns from 100 on have, stay apart.
+    Written, as every reading must number them alike."""
+    n = F.row_number().over(W.partitionBy("question_id").orderBy("question"))
+    return written(asked.withColumn("question_id", F.struct("question_id", n.alias("n"))), "asked")
 
 
 ASKED = """a AS (SELECT question_id, question_id % 8 AS capture_id, question_id % 8 % 3 AS device_id, 'com.user' || (question_id % 150) || '.app' AS package, question FROM (SELECT conv_id * 100 + turn AS question_id, text || ' com.user' || ((conv_id * 100 + turn) % 150) || '.app'
@@ -87,12 +96,12 @@ CASE WHEN pairing THEN 'Bluetooth / Companion Device Manager pairing evidence' |
 CASE WHEN pairing AND packets THEN 'packet capture protocol-level analysis' || s END) AS sources FROM (SELECT *, ': checked across ' || n || ' capture(s) on file for this device' AS s FROM t JOIN c USING (device_id) JOIN x USING (device_id))""")
 def batch_evidence_sources(spark, d):
     """Sources of all bundles: captures that were searched, whether or not they have rows."""
-    asked, captures, tables = asked_of(spark, d), captures_of(spark, d), fact_tables(spark, d)
+    asked, captures, tables = told_apart(asked_of(spark, d)), captures_of(spark, d), fact_tables(spark, d)
     claimed = diagnosis.claims(asked, captures, tables).where("matched_how = 'literal_package_id'")
     wanted = diagnosis.asked_for(asked, diagnosis.device_blocks(tables, captures), captures)
     out = diagnosis.sources(asked, claimed, wanted)
     said = F.transform("evidence_sources", lambda x: F.when(x["category"] == "named app verification", x["detail"]).otherwise(F.concat(x["category"], F.lit(": "), x["detail"])))
-    return out.select("question_id", "capture_id", F.array_join(said, "; ").alias("sources"))
+    return out.select("question_id.question_id", "capture_id", F.array_join(said, "; ").alias("sources"))
 
 
 BLOCK = "c AS (SELECT device_id, count(DISTINCT capture_id) AS n FROM e GROUP BY 1), w AS (SELECT device_id, CASE WHEN n >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN n >= 2 THEN 'Backed by 1 structured fact(s), checked across ' || n || ' capture(s).' ELSE 'Backed by 1 structured fact from a single capture only; not yet corroborated across history.' END AS corroboration FROM c)"

@@ -18,7 +18,7 @@ WHITE = "\t-\r\x20\x85\xa0  -     　"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 NOT_LETTER = "!-@\\[-`{-~"
 #: Bytes that an encoder's remembered chunks take at most, about: two generations of half of it each.
-MOST_BYTES = 80 << 20
+MOST_BYTES = 160 << 20
 #: What an entry takes beside the characters of its chunk and the bytes of its ids.
 ENTRY_BYTES = 190
 #: Characters; longer chunks are encoded but not remembered.
@@ -91,7 +91,8 @@ class ChunkEncoder:
             chunk = f"[{LETTER}]+{ends}|[^{WHITE}{LETTER}]*[{LETTER}]+{ends}|[^{WHITE}]+"
         self.chunks = re.compile(chunk).findall
         self.is_word = re.compile(f"[ ]?[{LETTER}]+" if keeps_space else f"[{LETTER}]+").fullmatch
-        self.bytes = byte_letters()
+        other = byte_letters()
+        self.letter_of = [chr(other.get(b, b)) for b in range(256)].__getitem__
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("only added tokens that are taken as they stand can be cut out of a text")
@@ -103,9 +104,12 @@ class ChunkEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunk: str) -> bytes:
-        if len(chunk) <= LONG_CHUNK and self.is_word(chunk):
+        if len(chunk) <= LONG_CHUNK:
             word = chunk if self.keeps_space else chunk.lower()
-            return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+            if chunk.isascii() and word.removeprefix(" ").isalpha():  # plain letters stand for themselves
+                return array("I", [t.id for t in self.merge(word.replace(" ", "\u0120"))]).tobytes()
+            if self.is_word(chunk):
+                return array("I", [t.id for t in self.merge("".join(map(self.letter_of, word.encode())))]).tobytes()
         return array("I", self._ids(chunk)).tobytes()
 
     def _one(self, text: str) -> bytes:

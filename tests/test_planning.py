@@ -3,6 +3,7 @@
 import pickle
 import zipfile
 
+from tracewell.plans import fixtures
 from tracewell.sources import capture_source, captures
 
 
@@ -21,3 +22,11 @@ def test_units_are_planned_by_tasks(spark, tmp_path):
     assert not any(p.units for p in parts) and len(parts) <= captures.at_most(spark) and len(pickle.dumps(parts)) < 300 * 20
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 600
     assert sorted(r.line for r in captures.report_lines(spark, path).where("line_no = 1").collect()) == sorted(f"first {i}" for i in range(300))
+
+
+def test_keys_of_files_do_not_go_through_the_driver(spark):
+    """Not even where they are few enough for Spark to broadcast them."""
+    folder = fixtures.texts(spark, spark.createDataFrame([(i, f"line {i}") for i in range(9)], "key long, text string"))
+    rows = fixtures.keyed(spark, folder, captures.report_lines(spark, folder))
+    assert sorted((r.capture_id, r.line) for r in rows.collect()) == [(i, f"line {i}") for i in range(9)]
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

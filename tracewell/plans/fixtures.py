@@ -46,9 +46,9 @@ def made(spark: SparkSession, rows: DataFrame, content: Callable[[dict], tuple[s
 
 
 def keyed(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    """``rows`` with the key of their file as ``capture_id``."""
+    """``rows`` with the key of their file as ``capture_id``.  Keys are a row for each file, so the driver is kept from gathering them for a broadcast."""
     keys = captures.files(spark, folder).select("capture_id", F.regexp_extract("name", r"^capture-(-?\d+)", 1).cast("long").alias("key"))
-    return rows.join(keys, "capture_id").drop("capture_id").withColumnRenamed("key", "capture_id").select(*rows.columns)
+    return rows.join(keys.hint("merge"), "capture_id").drop("capture_id").withColumnRenamed("key", "capture_id").select(*rows.columns)
 
 
 def texts(spark: SparkSession, rows: DataFrame) -> str:

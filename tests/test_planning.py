@@ -30,3 +30,13 @@ def test_keys_of_files_do_not_go_through_the_driver(spark):
     rows = fixtures.keyed(spark, folder, captures.report_lines(spark, folder))
     assert sorted((r.capture_id, r.line) for r in rows.collect()) == [(i, f"line {i}") for i in range(9)]
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_many_ranges_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    """Not even where Spark finds them few enough to broadcast while it runs the join."""
+    monkeypatch.setattr(captures, "MOST_RANGES", 4)
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("".join(f"line {n}\n" for n in range(20)))
+    rows = captures.report_lines(spark, tmp_path.as_uri(), 16)
+    assert sorted((r.line_no, r.line) for r in rows.collect()) == sorted((n + 1, f"line {n}") for n in range(20) for _ in range(3))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

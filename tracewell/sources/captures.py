@@ -95,7 +95,7 @@ def numbered(lines: DataFrame, breaks: DataFrame, ranges: int) -> DataFrame:
     """
     before = W.partitionBy("capture_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     first = breaks.select("capture_id", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")).where("start > 0")
-    first = F.broadcast(first) if ranges <= MOST_RANGES else first
+    first = F.broadcast(first) if ranges <= MOST_RANGES else first.hint("merge")
     return lines.join(first, ["capture_id", "start"], "left").withColumn("line_no", F.coalesce("before", F.lit(0)) + F.col("at") + 1).drop("before")
 
 
